@@ -9,11 +9,28 @@ from veridant.functions.timeparse import parse_instant
 from veridant.operators.asof import as_of_join, validity_intervals
 from veridant.operators.orphans import current_orphans, normal_key, orphan_references, orphan_report, signed_counts
 from veridant.operators.timestamps import resolve_times
+from veridant.operators.units import to_common_units
 from veridant.session import table
 
 REMOVED = ("deleted", "tombstoned", "removed")
 
 
+# --- 3: common units
+
+
+def p3_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest delivery of each chart point, with its value in common units."""
+    points = table(spark, sf_dir, "chart_series_points").groupBy("series_key", "period").agg(F.max(F.struct("loaded_at", "value", "formatted_value")).alias("p"))
+    points = points.select("series_key", "period", "p.value", "p.formatted_value")
+    units = table(spark, sf_dir, "chart_series").groupBy("series_key").agg(F.max("unit").alias("unit"))
+    return to_common_units(points.join(units, "series_key", "left"), "value", "formatted_value", "unit")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points that are not in the common unit yet, with the power of ten to it."""
+    return p3_points(spark, sf_dir).filter("exp10 != 0").select("series_key", "period", "exp10")
+
+
 # --- 4: the macro reading known when asked
 
 
@@ -100,4 +117,4 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.filter(~plain).select("table_name", "record_id", "utc_time").distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found}
