@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridant.functions.periods import frequency_code, period_day
 from veridant.functions.timeparse import parse_instant
 from veridant.operators.asof import as_of_join, validity_intervals
 from veridant.operators.orphans import current_orphans, normal_key, orphan_references, orphan_report, signed_counts
+from veridant.operators.regular_grid import regularize
+from veridant.operators.spikes import flag_readings
 from veridant.operators.timestamps import resolve_times
 from veridant.operators.units import to_common_units
 from veridant.session import table
@@ -15,6 +18,52 @@ from veridant.session import table
 REMOVED = ("deleted", "tombstoned", "removed")
 
 
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per series: repeated rows agree, or the greatest non-null spelling counts."""
+    c = table(spark, sf_dir, "series_catalog").filter("series_key IS NOT NULL")
+    return c.groupBy("series_key").agg(F.max(frequency_code(F.col("frequency"))).alias("code"), F.max("canonical_metric").alias("metric"), F.max("unit").alias("unit"))
+
+
+# --- 1: doubtful readings
+
+#: Quantities that cannot be negative, by metric or unit; and rates set in steps, which may stand still.
+COUNTED = "metric LIKE '%index%' OR metric LIKE '%starts%' OR metric LIKE '%claims%' OR metric LIKE '%unemployment%' OR unit IN ('index', 'persons', 'thousand units')"
+
+
+def p1_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All doubtful readings with their table, field and reason."""
+    o = table(spark, sf_dir, "observations").select("observation_id", "series_key", "phenomenon_time", "value").filter("value IS NOT NULL")
+    o = parse_instant(o, F.col("phenomenon_time"), F.lit("UTC"), "sec").join(_catalog(spark, sf_dir), "series_key", "left")
+    kind = F.when(F.col("metric").like("%price%") | F.col("series_key").like("price_close:%"), "price").when(F.col("metric") == "policy_rate", "rate_steps").when(F.expr(COUNTED), "count").otherwise("level")
+    period = F.unix_date(period_day(F.col("sec"), F.coalesce("code", F.lit("D"))))
+    rows = o.select(F.lit("observations").alias("table_name"), "observation_id", F.lit("value").alias("field_name"), F.col("series_key").alias("source"), period.alias("period"), "value", kind.alias("kind"))
+    h = table(spark, sf_dir, "ohlcv_observations").select("observation_id", "ticker", "trade_date", "close", "volume")
+    h = parse_instant(h, F.col("trade_date"), F.lit("UTC"), "sec")
+    fields = F.array(F.struct(F.lit("close").alias("field_name"), F.col("close").alias("value"), F.lit("price").alias("kind")), F.struct(F.lit("volume").alias("field_name"), F.col("volume").alias("value"), F.lit("volume").alias("kind")))
+    h = h.select(F.lit("ohlcv_observations").alias("table_name"), "observation_id", F.col("ticker").alias("source"), F.unix_date(period_day(F.col("sec"), F.lit("D"))).alias("period"), F.inline(fields))
+    return flag_readings(rows.unionByName(h), ["table_name", "source", "field_name"], "period", "value", F.col("kind"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubtful readings of observations and daily bars."""
+    return p1_readings(spark, sf_dir).select("table_name", "observation_id", "field_name").distinct()
+
+
+# --- 2: regular series
+
+
+def p2_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every period of every series with its reading or its smoothed fill."""
+    o = table(spark, sf_dir, "observations").select("series_key", "phenomenon_time", "value", F.coalesce("result_time", "vintage").alias("known")).filter("value IS NOT NULL")
+    o = parse_instant(o, F.col("phenomenon_time"), F.lit("UTC"), "sec").join(_catalog(spark, sf_dir).filter("code IS NOT NULL"), "series_key")
+    return regularize(o, "series_key", "sec", "value", "code", "known")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing periods between the first and the last reading of each series."""
+    return p2_grid(spark, sf_dir).filter("missing").select("series_key", F.col("period_start").cast("string").alias("period_start"))
+
+
 # --- 3: common units
 
 
@@ -117,4 +166,4 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.filter(~plain).select("table_name", "record_id", "utc_time").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_grid": p2_grid, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found}
