@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridant.llm.leakage import find_leaks
 from veridant.llm.truncation import find_truncated, truncation_rates
 from veridant.session import table
 
@@ -13,6 +14,19 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
 
 
+# --- 9: evaluation items in training texts
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items by document, with the passages and the greatest overlap."""
+    return find_leaks(_documents(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 12 consecutive words of an evaluation item."""
+    return p9_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
 # --- 10: cut texts
 
 
@@ -26,5 +40,5 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_rates(find_truncated(_documents(spark, sf_dir).distinct(), "text", "source"), "source")
 
 
-QUERIES = {"p10_found": p10_found, "p10_rates": p10_rates}
+QUERIES = {"p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_rates": p10_rates}
 ORACLE_SQL: dict[str, str] = {}
