@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridant.llm.leakage import find_leaks
+from veridant.llm.packing import count_tokens, pack_containers, packing_summary
+from veridant.llm.splitting import split_texts
 from veridant.llm.truncation import find_truncated, truncation_rates
 from veridant.session import table
 
@@ -14,6 +16,36 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
 
 
+# --- 7: oversized sections
+
+
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sections in pieces of at most 2,000 characters, overlapping by 200; repeated rows count once."""
+    spans = table(spark, sf_dir, "mini_10k_spans").select("id", "text", "section_name", "start_char").distinct()
+    return split_texts(spans, "id", "text", "section_name", "start_char")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oversized sections with the coarsest boundary at which they can be cut."""
+    spans = table(spark, sf_dir, "mini_10k_spans").select("id", "text", "section_name", "start_char").filter(F.length("text") > 2000)
+    pieces = split_texts(spans, "id", "text", "section_name", "start_char")
+    return pieces.filter("piece_index = 0").select("span_id", "coarsest_boundary").distinct()
+
+
+# --- 8: containers of 2,048 tokens
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in a container of 2,048 tokens; a document delivered again counts once."""
+    sizes = count_tokens(_documents(spark, sf_dir), "doc_id", "text").groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
+    return pack_containers(sizes, "doc_id", "n_tokens")
+
+
+def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are, by size."""
+    return packing_summary(p8_containers(spark, sf_dir))
+
+
 # --- 9: evaluation items in training texts
 
 
@@ -40,5 +72,5 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_rates(find_truncated(_documents(spark, sf_dir).distinct(), "text", "source"), "source")
 
 
-QUERIES = {"p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_rates": p10_rates}
+QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p8_usage": p8_usage, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_rates": p10_rates}
 ORACLE_SQL: dict[str, str] = {}
