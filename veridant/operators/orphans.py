@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from veridant.operators.asof import as_of_join, validity_intervals
 
 SALTS = 32
+#: Microseconds of a time bucket of the interval join.
+HEAVY_BUCKET = 28 * 86400 * 10**6
 HOT_SHARE = 200
 
 
@@ -46,67 +48,51 @@ def current_orphans(counts: DataFrame) -> DataFrame:
     return counts.filter("reference_count > 0 AND existence_count = 0")
 
 
-def existence_deltas(objects: DataFrame, heavy_changes: int) -> tuple[DataFrame, DataFrame]:
-    """Per key the first time and its deltas over time, and the changes of heavy keys.
+def hot_keys(keys: DataFrame) -> DataFrame:
+    """Keys in more than 1 of HOT_SHARE rows, by a frequent-items sketch: at most HOT_SHARE rows."""
+    top = keys.agg(F.expr(f"approx_top_k(key, {HOT_SHARE}, {50 * HOT_SHARE})").alias("top"), F.count("*").alias("total"))
+    return top.select("total", F.inline("top")).filter(F.col("count") * HOT_SHARE > F.col("total")).select(F.col("item").alias("key"), F.lit(True).alias("__hot"))
 
-    objects: key, at, removed (boolean). Two deliveries of a key at one time count as present
-    if one says so. Returns (key, first_at, heavy, deltas array<struct<at, delta>>) and
-    the changes (key, at, present) of the keys with more than `heavy_changes` times.
-    """
-    states = objects.filter("key IS NOT NULL AND at IS NOT NULL").groupBy("key", "at").agg(F.max((~F.col("removed")).cast("int")).alias("present"))
-    sizes = states.groupBy("key").agg(F.count("*").alias("changes"), F.min("at").alias("first_at"))
-    heavy = sizes.filter(F.col("changes") > heavy_changes).select("key", "first_at")
-    light = (
-        states.join(heavy.select("key"), "key", "left_anti")
-        .groupBy("key")
-        .agg(F.min("at").alias("first_at"), F.array_sort(F.collect_list(F.struct("at", "present"))).alias("s"))
-    )
-    delta = "transform(s, (x, i) -> struct(x.at AS at, x.present - IF(i = 0, 0, s[i - 1].present) AS delta))"
-    return light.select("key", "first_at", F.expr(delta).alias("deltas")), states.join(heavy, "key")
-
-
-def orphan_references(references: DataFrame, objects: DataFrame, heavy_changes: int = 64, salts: int = SALTS) -> DataFrame:
+
+def orphan_references(references: DataFrame, objects: DataFrame, sketch_from: DataFrame | None = None, heavy_changes: int = 64, salts: int = SALTS) -> DataFrame:
     """References that name no object known to exist at their time, with `kind`.
 
     references: key, at and any further columns, one row per reference; objects: key, at,
-    removed. Times are epoch seconds. kind is `missing` if the key never has an object,
+    removed. Times are epoch microseconds. kind is `missing` if the key never has an object,
     `late` if its first object comes after the reference, `deleted` if the existence count
     up to the reference's time is zero again. References with null key or time are no
     cases; sound references do not come out. Equal rows stay as they are.
+
+    sketch_from: a cheaper relation with the keys of `references` (such as the raw rows), to
+    find hot keys in. Whether any key is heavy is asked of the object side first, in a job
+    of its own; only if there is one, its references take the interval join.
     """
     refs = references.filter("key IS NOT NULL AND at IS NOT NULL")
-    top = refs.agg(F.expr(f"approx_top_k(key, {HOT_SHARE}, {50 * HOT_SHARE})").alias("top"), F.count("*").alias("total"))
-    hot = top.select("total", F.inline("top")).filter(F.col("count") * HOT_SHARE > F.col("total")).select(F.col("item").alias("key"), F.lit(True).alias("__hot"))
-    return _judge(refs, objects, F.broadcast(hot), heavy_changes, salts)
-
-
-def _judge(refs: DataFrame, objects: DataFrame, hot: DataFrame, heavy_changes: int, salts: int) -> DataFrame:
-    """hot: at most HOT_SHARE keys, each with more than 1 in HOT_SHARE of the references."""
-    light, heavy = existence_deltas(objects, heavy_changes)
-    spread = F.when(F.col("__hot"), F.pmod(F.xxhash64(*[F.col(c) for c in refs.columns if c != "key"]), F.lit(salts))).otherwise(F.lit(0))
-    refs_salted = refs.join(hot, "key", "left").withColumn("__salt", spread.cast("int")).drop("__hot")
+    hot = F.broadcast(hot_keys((refs if sketch_from is None else sketch_from).select("key").filter("key IS NOT NULL")))
+    states = objects.filter("key IS NOT NULL AND at IS NOT NULL").groupBy("key", "at").agg(F.max((~F.col("removed")).cast("int")).alias("present"))
+    heavy = states.groupBy("key").agg(F.count("*").alias("__n")).filter(F.col("__n") > heavy_changes).select("key")
+    columns = refs.columns
+    if heavy.isEmpty():
+        return _judge_light(refs, states, hot, salts)
+    light = _judge_light(refs.join(heavy, "key", "left_anti"), states.join(heavy, "key", "left_anti"), hot, salts)
+    changes = states.join(heavy, "key").withColumn("changed", F.col("at"))
+    intervals = validity_intervals(changes, "key", "at", ["changed", "present"], HEAVY_BUCKET)
+    judged = as_of_join(refs.join(heavy, "key", "left_semi"), "key", "at", intervals, HEAVY_BUCKET)
+    kind = F.when(F.col("best").isNull(), "late").when(F.col("best.present") == 0, "deleted")
+    return light.unionByName(judged.withColumn("kind", kind).filter("kind IS NOT NULL").select(*columns, "kind"))
+
+
+def _judge_light(refs: DataFrame, states: DataFrame, hot: DataFrame, salts: int) -> DataFrame:
+    """References against keys of few changes, one row of existence deltas per key."""
+    side = states.groupBy("key").agg(F.min("at").alias("first_at"), F.array_sort(F.collect_list(F.struct("at", "present"))).alias("s"))
+    deltas = "transform(s, (x, i) -> struct(x.at AS at, x.present - IF(i = 0, 0, s[i - 1].present) AS delta))"
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    side = light.join(hot, "key", "left").withColumn("__salt", F.explode(copies)).drop("__hot")
-    heavy_keys = heavy.groupBy("key").agg(F.min("first_at").alias("heavy_first"))
-    heavy_side = heavy_keys.join(hot, "key", "left").withColumn("__salt", F.explode(copies)).drop("__hot")
-    both = side.withColumn("heavy_first", F.lit(None).cast("bigint")).unionByName(
-        heavy_side.select("key", F.lit(None).cast("bigint").alias("first_at"), F.lit(None).cast(dict(light.dtypes)["deltas"]).alias("deltas"), "__salt", "heavy_first")
-    )
-    joined = refs_salted.join(both, ["key", "__salt"], "left")
+    side = side.select("key", "first_at", F.expr(deltas).alias("deltas")).join(hot, "key", "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    spread = F.when(F.col("__hot"), F.pmod(F.xxhash64(*[F.col(c) for c in refs.columns if c != "key"]), F.lit(salts))).otherwise(F.lit(0))
+    salted = refs.join(hot, "key", "left").withColumn("__salt", spread.cast("int")).drop("__hot")
     existence = F.expr("aggregate(deltas, 0, (n, x) -> n + IF(x.at <= at, x.delta, 0))")
-    kind = (
-        F.when(F.col("first_at").isNull() & F.col("heavy_first").isNull(), "missing")
-        .when(F.coalesce("first_at", "heavy_first") > F.col("at"), "late")
-        .when(existence == 0, "deleted")
-        .when(F.col("heavy_first").isNotNull(), "?")
-    )
-    columns = refs.columns
-    judged = joined.withColumn("kind", kind).filter("kind IS NOT NULL").select(*columns, "kind")
-    settled = judged.filter("kind != '?'")
-    intervals = validity_intervals(heavy.withColumn("changed", F.col("at")), "key", "at", ["changed", "present"])
-    open_ = as_of_join(judged.filter("kind = '?'").drop("kind"), "key", "at", intervals)
-    deleted = open_.filter("best.present = 0").select(*columns, F.lit("deleted").alias("kind"))
-    return settled.unionByName(deleted)
+    kind = F.when(F.col("first_at").isNull(), "missing").when(F.col("first_at") > F.col("at"), "late").when(existence == 0, "deleted")
+    return salted.join(side, ["key", "__salt"], "left").withColumn("kind", kind).filter("kind IS NOT NULL").select(*refs.columns, "kind")
 
 
 def orphan_report(orphans: DataFrame, table: str = "table_name", period: str = "period") -> DataFrame:

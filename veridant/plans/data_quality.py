@@ -115,20 +115,30 @@ def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(normal_key(F.col("object_id")).alias("key"), _micros("loaded_at").alias("at"), F.coalesce(F.lower(F.trim("quality_status")).isin(*REMOVED), F.lit(False)).alias("removed"))
 
 
-def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per record and reference column, at the record's first delivery."""
-    edges = table(spark, sf_dir, "global_edge_spine").select("edge_id", "from_object_id", "to_object_id", "period", _micros("loaded_at").alias("at"))
-    edges = edges.groupBy("edge_id").agg(F.min(F.struct("at", "from_object_id", "to_object_id", "period")).alias("r"))
-    named = F.array(*[F.struct(F.lit(c).alias("ref_column"), normal_key(F.col(f"r.{c}")).alias("key")) for c in ("from_object_id", "to_object_id")])
-    edges = edges.select(F.lit("global_edge_spine").alias("table_name"), F.col("edge_id").alias("record_key"), F.col("r.period").alias("period"), F.col("r.at").alias("at"), F.inline(named))
-    points = table(spark, sf_dir, "chart_series_points").select(F.concat_ws("@", "series_key", "period").alias("record_key"), "object_id", "period", _micros("loaded_at").alias("at"))
-    points = points.groupBy("record_key").agg(F.min(F.struct("at", "object_id", "period")).alias("r"))
-    points = points.select(F.lit("chart_series_points").alias("table_name"), "record_key", F.col("r.period").alias("period"), F.col("r.at").alias("at"), F.lit("object_id").alias("ref_column"), normal_key(F.col("r.object_id")).alias("key"))
+EDGE_REFS = ("from_object_id", "to_object_id")
+
+
+def _references(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per record and reference column, at the record's first delivery, with `extra` columns."""
+    edges = table(spark, sf_dir, "global_edge_spine").select("edge_id", *EDGE_REFS, *extra, _micros("loaded_at").alias("at"))
+    edges = edges.groupBy("edge_id").agg(F.min(F.struct("at", *EDGE_REFS, *extra)).alias("r"))
+    named = F.array(*[F.struct(F.lit(c).alias("ref_column"), normal_key(F.col(f"r.{c}")).alias("key")) for c in EDGE_REFS])
+    more = [F.col(f"r.{c}").alias(c) for c in extra]
+    edges = edges.select(F.lit("global_edge_spine").alias("table_name"), F.col("edge_id").alias("record_key"), *more, F.col("r.at").alias("at"), F.inline(named))
+    points = table(spark, sf_dir, "chart_series_points").select(F.concat_ws("@", "series_key", "period").alias("record_key"), "object_id", *extra, _micros("loaded_at").alias("at"))
+    points = points.groupBy("record_key").agg(F.min(F.struct("at", "object_id", *extra)).alias("r"))
+    points = points.select(F.lit("chart_series_points").alias("table_name"), "record_key", *more, F.col("r.at").alias("at"), F.lit("object_id").alias("ref_column"), normal_key(F.col("r.object_id")).alias("key"))
     return edges.unionByName(points).filter("key IS NOT NULL")
 
 
-def p5_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphan_references(_references(spark, sf_dir), _objects(spark, sf_dir))
+def _raw_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of all deliveries, read without a shuffle."""
+    edges = table(spark, sf_dir, "global_edge_spine").select(F.explode(F.array(*EDGE_REFS)).alias("key"))
+    return edges.unionByName(table(spark, sf_dir, "chart_series_points").select(F.col("object_id").alias("key"))).select(normal_key(F.col("key")).alias("key"))
+
+
+def p5_orphans(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    return orphan_references(_references(spark, sf_dir, extra), _objects(spark, sf_dir), _raw_keys(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +148,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphan references counted by table, period, column and kind."""
-    return orphan_report(p5_orphans(spark, sf_dir))
+    return orphan_report(p5_orphans(spark, sf_dir, ("period",)))
 
 
 # --- 6: one UTC instant for every written time
