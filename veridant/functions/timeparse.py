@@ -67,7 +67,7 @@ def time_candidates(df: DataFrame, text: Column, zone: Column, out: str, slash_o
     shape = " ".join(f"WHEN {p}t RLIKE {_q(rx)} THEN {_q(k)}" for k, (rx, _) in kinds)
     part = lambda i: f"CASE {p}k " + " ".join(f"WHEN {_q(k)} THEN regexp_extract({p}t, {_q(rx)}, {g[i]})" for k, (rx, g) in kinds) + " END"
     names = "array(" + ", ".join(map(_q, MONTHS)) + ")"
-    clock = rf"^[T ,]*\s*(\d{{1,2}}):(\d{{2}})(?::(\d{{2}})(?:[.,]\d{{1,9}})?)?\s*([AaPp][Mm])?\s*({_OFFSET}|[A-Za-z]+(?:/[A-Za-z0-9_+-]+)*)?$"
+    clock = rf"^[T ,]*\s*(\d{{1,2}}):(\d{{2}})(?::(\d{{2}})(?:[.,]\d{{1,9}})?)?\s*(?:([AaPp][Mm])(?![A-Za-z]))?\s*({_OFFSET}|[A-Za-z]+(?:/[A-Za-z0-9_+-]+)*)?$"
     grab = lambda i: f"regexp_extract({p}r, {_q(clock)}, {i})"
     hour = f"CASE WHEN {p}ap = '' THEN {p}h WHEN {p}h BETWEEN 1 AND 12 THEN {p}h % 12 + IF({p}ap = 'pm', 12, 0) END"
     abbr = "map(" + ", ".join(f"{_q(k)}, {v}" for k, v in ZONE_MINUTES.items()) + ")"

@@ -67,7 +67,7 @@ def cap_links(links: DataFrame, a: str, b: str, weight: str, per_pair: int = 8,
             keep.append(ok)
             if ok:
                 used[x], used[y] = used.get(x, 0) + 1, used.get(y, 0) + 1
-        return pdf.sort_values([weight, a, b], ascending=[False, True, True])[keep][columns].drop(columns="__one", errors="ignore")
+        return pdf.sort_values([weight, a, b], ascending=[False, True, True])[keep][columns]
 
-    settled = over.groupBy(F.lit(1)).applyInPandas(lambda pdf: settle(pdf[columns]), over.schema)
+    settled = over.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(lambda pdf: settle(pdf[columns]), over.select(*columns).schema)
     return free.select(*columns).unionByName(settled).drop("__p")

@@ -79,8 +79,8 @@ def period_changes(points: DataFrame, series: list[str], step: str) -> DataFrame
     p = p.filter("value = top").select(*series, "fiscal_year", "fiscal_quarter", "value", index.alias("i"), (index - gap).alias("before"))
     prior = p.select(*series, F.col("i").alias("before"), F.col("value").alias("previous_value"))
     j = p.join(prior, [*series, "before"])
-    growth = F.when((F.col("previous_value") > 0) & (F.col("value") >= 0), F.round(F.col("value") / F.col("previous_value") - 1, 6))
-    return j.select(*series, "fiscal_year", "fiscal_quarter", "previous_value", "value", F.round(F.col("value") - F.col("previous_value"), 4).alias("absolute_change"), growth.alias("growth_rate"))
+    growth = F.when((F.col("previous_value") > 0) & (F.col("value") >= 0), F.col("value") / F.col("previous_value") - 1)
+    return j.select(*series, "fiscal_year", "fiscal_quarter", "previous_value", "value", (F.col("value") - F.col("previous_value")).alias("absolute_change"), growth.alias("growth_rate"))
 
 
 def share_of_total(points: DataFrame, total_keys: list[str]) -> DataFrame:

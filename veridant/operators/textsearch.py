@@ -55,10 +55,10 @@ def bm25(documents: DataFrame, doc: str, fields: dict[str, float], terms: list[s
     as often as it comes.
     """
     hits = query_hits(documents, doc, fields, terms, prefix)
-    stats = hits.groupBy("q").agg(F.count("*").alias("N"), F.count_if(F.col("f") > 0).alias("n"), F.avg("dl").alias("avgdl"))
+    stats = hits.groupBy("q").agg(F.count("*").alias("n_all"), F.count_if(F.col("f") > 0).alias("n"), F.avg("dl").alias("avgdl"))
     # one row per query term: bounded by the query
     s = hits.filter("f > 0").join(F.broadcast(stats), "q")
-    idf = F.greatest(F.log((F.col("N") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
+    idf = F.greatest(F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     out = s.groupBy(doc).agg(F.sum(part).alias("score"), F.countDistinct("q").alias("matched"))
     return out.filter(F.col("matched") == len(set(terms))) if mode == "and" else out
@@ -72,7 +72,7 @@ def coverage_rank(scored: DataFrame, doc: str, n_terms: int, limit: int) -> Data
     scaled = F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low))
     primary = 0.65 * F.col("matched") / n_terms + 0.35 * scaled
     strict = F.col("matched") >= -(-6 * n_terms // 10)
-    return pool.withColumns({"primary": F.round(F.when(strict, primary).otherwise(primary * 0.25), 6), "strict": strict}).select(doc, "primary", "strict", "matched")
+    return pool.withColumns({"primary": F.when(strict, primary).otherwise(primary * 0.25), "strict": strict}).select(doc, "primary", "strict", "matched")
 
 
 def term_pairs(documents: DataFrame, doc: str, text: str, terms: list[str]) -> DataFrame:

@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridant.plans import data_quality
+from veridant.plans import data_quality, evidence
+from veridant.plans.data_quality_sql import ORACLE_SQL
 
-FLAGSHIP = data_quality.p4_found
+FLAGSHIP = evidence.latest_context_depth
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(data_quality.QUERIES)
+    return data_quality.QUERIES | evidence.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLE_SQL | evidence.SQL
