@@ -39,16 +39,12 @@ def length_hazards(lengths: DataFrame, source: str, length: str, alpha: float =
     b = counts.select("source", "n", "length", widths).groupBy("source", "width", F.floor(F.col("length") / F.col("width")).alias("block")).agg(F.sum("n").alias("ends"))
     at = Window.partitionBy("source", "width").orderBy("block")
     b = b.withColumn("at_risk", F.sum("ends").over(at.rowsBetween(0, Window.unboundedFollowing)))
-    # blocks without an end carry risk too: a block's risk holds until the next one that has ends
-    below = at.rangeBetween(-NEIGHBOURS, -2)
-    above = at.rangeBetween(2, NEIGHBOURS)
-    near = F.coalesce(F.sum("ends").over(below), F.lit(0)) + F.coalesce(F.sum("ends").over(above), F.lit(0))
-    b = b.withColumns({"near": near, "span": F.lit(2.0 * (NEIGHBOURS - 1))})
-    b = b.withColumn("expected", (F.col("near") + 0.5) / F.col("span"))
-    # the neighbours above are reached by fewer texts: their hazard is put on this block's risk
-    over = F.max("at_risk").over(above)
-    fewer = F.coalesce(over, F.lit(1)) / F.col("at_risk")
-    b = b.withColumn("expected", F.greatest(F.col("expected") / F.sqrt(F.least(F.greatest(fewer, F.lit(0.05)), F.lit(1.0))), F.lit(0.05)))
+    below, above = F.coalesce(F.sum("ends").over(at.rangeBetween(-NEIGHBOURS, -2)), F.lit(0)), F.coalesce(F.sum("ends").over(at.rangeBetween(2, NEIGHBOURS)), F.lit(0))
+    b = b.withColumns({"below": below, "above": above})
+    # blocks without an end are at risk too: all that exist below, and those above with the texts that get there
+    exposed = F.greatest(F.least(F.col("block"), F.lit(NEIGHBOURS)) - 1, F.lit(0)) * F.col("at_risk") + (NEIGHBOURS - 1) * F.greatest(F.col("at_risk") - F.col("ends"), F.lit(1))
+    hazard = (F.col("below") + F.col("above") + 0.5) / exposed
+    b = b.withColumn("expected", F.greatest(F.least(hazard, F.lit(1.0)) * F.col("at_risk"), F.lit(0.05)))
     excess = F.col("ends") * F.log(F.col("ends") / F.col("expected")) - F.col("ends") + F.col("expected")
     b = b.withColumn("p_value", F.when(F.col("ends") > F.col("expected"), F.exp(-excess)).otherwise(1.0))
     ranked = Window.partitionBy("source", "width").orderBy("p_value", "block")
