@@ -65,10 +65,13 @@ def time_candidates(df: DataFrame, text: Column, zone: Column, out: str, slash_o
     p = f"__{out}_"
     kinds = list(SHAPES.items())
     shape = " ".join(f"WHEN {p}t RLIKE {_q(rx)} THEN {_q(k)}" for k, (rx, _) in kinds)
-    part = lambda i: f"CASE {p}k " + " ".join(f"WHEN {_q(k)} THEN regexp_extract({p}t, {_q(rx)}, {g[i]})" for k, (rx, g) in kinds) + " END"
+    # the frequent shapes have their parts at fixed places, the others take the pattern again
+    fixed = {"iso": ("1, 4", "6, 2", "9, 2", "11"), "compact": ("1, 4", "5, 2", "7, 2", "9")}
+    take = lambda k, rx, g, i: f"substr({p}t, {fixed[k][i]})" if k in fixed else f"regexp_extract({p}t, {_q(rx)}, {g[i]})"
+    part = lambda i: f"CASE {p}k " + " ".join(f"WHEN {_q(k)} THEN {take(k, rx, g, i)}" for k, (rx, g) in kinds) + " END"
     names = "array(" + ", ".join(map(_q, MONTHS)) + ")"
     clock = rf"^[T ,]*\s*(\d{{1,2}}):(\d{{2}})(?::(\d{{2}})(?:[.,]\d{{1,9}})?)?\s*(?:([AaPp][Mm])(?![A-Za-z]))?\s*({_OFFSET}|[A-Za-z]+(?:/[A-Za-z0-9_+-]+)*)?$"
-    grab = lambda i: f"regexp_extract({p}r, {_q(clock)}, {i})"
+    grab = lambda i: f"IF({p}r = '', '', regexp_extract({p}r, {_q(clock)}, {i}))"
     hour = f"CASE WHEN {p}ap = '' THEN {p}h WHEN {p}h BETWEEN 1 AND 12 THEN {p}h % 12 + IF({p}ap = 'pm', 12, 0) END"
     abbr = "map(" + ", ".join(f"{_q(k)}, {v}" for k, v in ZONE_MINUTES.items()) + ")"
     signed = f"IF(substr({p}z, 1, 1) = '-', -1, 1) * (cast(substr({p}z, 2, 2) AS INT) * 60 + IF(length({p}z) > 3, cast(right({p}z, 2) AS INT), 0))"
