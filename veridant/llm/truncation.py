@@ -63,6 +63,10 @@ CLOSING = r"^(page \d+( of \d+)?|end of .+|source: .+|contact: .+|[*#=_ -]{3,}|.
 LABEL_NUMBER = r"(?i)(fiscal|item|items|note|notes|page|section|part|year|ejercicio|exercice|jahr|geschäftsjahr|january|february|march|april|may|june|july|august|september|october|november|december)\s+\d+\.$"
 
 
+#: A word and a number with a full stop.
+NUMBER_END = r"(\S+\s+\S*\d\.)"
+
+
 def _ending(t: str, last: str, prior: str) -> Column:
     """closed, open, unclear, list or signature, from the trimmed text, its last line and the one before."""
     T, L, P = F.col(t), F.col(last), F.col(prior)
@@ -102,7 +106,16 @@ def find_truncated(documents: DataFrame, text: str, source: str, alpha: float =
     known = d.filter("__part IS NOT NULL").groupBy("__part").agg(F.count("*").alias("__support"))
     d = d.join(known, "__part", "left")
     recurs = F.col("__support") >= CLOSING_SUPPORT
-    d = d.withColumn("ending", F.when(F.col("__part").isNotNull(), F.when(recurs, "closed").otherwise("unclear")).otherwise(F.col("__class")))
+    # a number and a full stop end a sentence if they do so inside texts, and are a cut decimal if they hardly do anywhere
+    masked = lambda c: F.regexp_replace(c, r"\d+", "#")
+    d = d.withColumn("__number", F.when(F.col("__class") == "unclear", masked(F.regexp_extract("__t", NUMBER_END + "$", 1))))
+    inside = d.select(F.explode(F.regexp_extract_all("__t", F.lit(NUMBER_END + r"""\s+["“(]?\p{Lu}"""), 1)).alias("p")).select(masked(F.col("p")).alias("__number"), F.lit(1).alias("body"), F.lit(0).alias("tail"))
+    ends = d.filter("__number IS NOT NULL").select("__number", F.lit(0).alias("body"), F.lit(1).alias("tail"))
+    number_ends = inside.unionByName(ends).groupBy("__number").agg(F.sum("body").alias("__body"), F.sum("tail").alias("__tail"))
+    d = d.join(number_ends, "__number", "left")
+    as_number = F.when(F.col("__body") >= CLOSING_SUPPORT, "closed").when((F.col("__body") < 3) & (F.col("__tail") < CLOSING_SUPPORT), "open").otherwise("unclear")
+    ending = F.when(F.col("__part").isNotNull(), F.when(recurs, "closed").otherwise("unclear")).when(F.col("__number").isNotNull(), as_number).otherwise(F.col("__class"))
+    d = d.withColumn("ending", ending)
     d = d.withColumns({"__src": F.coalesce(source, F.lit("")), "__chars": F.length(text), "__bytes": F.octet_length(text)})
     measured = d.select("__src", F.explode(F.array(F.struct(F.lit("chars").alias("m"), F.col("__chars").alias("l")), F.struct(F.lit("bytes").alias("m"), F.col("__bytes").alias("l")))).alias("x")).select(
         F.concat_ws("\u0001", "x.m", "__src").alias("key"), F.col("x.l").alias("l")
