@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veridant.llm.leakage import find_leaks
 from veridant.llm.packing import count_tokens, pack_containers, packing_summary
+from veridant.llm.queries_sql import ORACLE_SQL  # noqa: F401
 from veridant.llm.splitting import split_texts
 from veridant.llm.truncation import find_truncated, truncation_rates
 from veridant.session import table
@@ -73,4 +74,3 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p8_usage": p8_usage, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_rates": p10_rates}
-ORACLE_SQL: dict[str, str] = {}
