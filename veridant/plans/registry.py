@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridant.plans import data_quality, evidence
+from veridant.plans import data_quality, evidence, rollups
 from veridant.plans.data_quality_sql import ORACLE_SQL
 
 FLAGSHIP = evidence.latest_context_depth
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return data_quality.QUERIES | evidence.QUERIES
+    return data_quality.QUERIES | evidence.QUERIES | rollups.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE_SQL | evidence.SQL
+    return ORACLE_SQL | evidence.SQL | rollups.SQL
