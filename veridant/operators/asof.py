@@ -50,8 +50,10 @@ def as_of_join(events: DataFrame, entity: str, at: str, intervals: DataFrame, bu
 
     Events without such an interval, or with null entity or time, get null. `span` bounds the
     buckets to explode into; if not given, the first and last event time are aggregated
-    first, which costs one pass over that column. Every event row comes out once.
+    first, which costs one pass over that column. Every event row comes out once. Columns of
+    events named valid_from, valid_to or best are replaced.
     """
+    events = events.drop("valid_from", "valid_to", "best")
     if span is None:
         low, high = events.agg(F.min(at), F.max(at)).first()
         span = (0, 0) if low is None else (int(low), int(high))

@@ -61,13 +61,14 @@ def orphan_references(references: DataFrame, objects: DataFrame, sketch_from: Da
     removed. Times are epoch microseconds. kind is `missing` if the key never has an object,
     `late` if its first object comes after the reference, `deleted` if the existence count
     up to the reference's time is zero again. References with null key or time are no
-    cases; sound references do not come out. Equal rows stay as they are.
+    cases; sound references do not come out. Equal rows stay as they are. Columns of references
+    named kind, first_at or deltas are replaced.
 
     sketch_from: a cheaper relation with the keys of `references` (such as the raw rows), to
     find hot keys in. Whether any key is heavy is asked of the object side first, in a job
     of its own; only if there is one, its references take the interval join.
     """
-    refs = references.filter("key IS NOT NULL AND at IS NOT NULL")
+    refs = references.drop("kind", "first_at", "deltas").filter("key IS NOT NULL AND at IS NOT NULL")
     hot = F.broadcast(hot_keys((refs if sketch_from is None else sketch_from).select("key").filter("key IS NOT NULL")))
     states = objects.filter("key IS NOT NULL AND at IS NOT NULL").groupBy("key", "at").agg(F.max((~F.col("removed")).cast("int")).alias("present"))
     heavy = states.groupBy("key").agg(F.count("*").alias("__n")).filter(F.col("__n") > heavy_changes).select("key")
