@@ -20,11 +20,11 @@ def valid_period(period: Column) -> Column:
 def section_key(name: Column) -> Column:
     """Canonical section of a spelled section name: item1, item1a, item7, ...; null if unknown."""
     slug = F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9]+", "")
-    item = F.regexp_extract(slug, r"^(item\d+[a-c]?)(?![a-z]*\d)", 1)
+    item = F.regexp_extract(F.lower(F.trim(name)), r"^item[ _.-]*(\d+[a-c]?)(?![a-z])", 1)
     # Titles that stand for an item.
     titles = {"business": "item1", "riskfactors": "item1a", "mda": "item7", "managementsdiscussionandanalysis": "item7", "financialstatements": "item8", "controls": "item9a", "controlsandprocedures": "item9a", "marketrisk": "item7a"}
     named = F.create_map(*[F.lit(x) for kv in titles.items() for x in kv])
-    return F.coalesce(F.try_element_at(named, slug), F.nullif(item, F.lit("")))
+    return F.coalesce(F.try_element_at(named, slug), F.when(item != "", F.concat(F.lit("item"), item)))
 
 
 def slug(text: Column) -> Column:

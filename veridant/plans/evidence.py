@@ -455,8 +455,8 @@ def section_boundaries(spark, d):
 
 
 @query(
-    """WITH n AS (SELECT id, section_name, regexp_replace(lower(trim(section_name)), '[^a-z0-9]+', '', 'g') g FROM mini_10k_spans) SELECT DISTINCT id, section_name, CASE g WHEN 'business' THEN 'item1' WHEN 'riskfactors' THEN 'item1a' WHEN 'mda' THEN 'item7' WHEN 'financialstatements' THEN 'item8' WHEN 'controls' THEN 'item9a' WHEN 'marketrisk' THEN 'item7a'
-    ELSE nullif(regexp_extract(g, '^(item[0-9]+[a-c]?)', 1), '') END section_key FROM n"""
+    """WITH n AS (SELECT id, section_name, lower(trim(section_name)) n, regexp_replace(lower(trim(section_name)), '[^a-z0-9]+', '', 'g') g FROM mini_10k_spans) SELECT DISTINCT id, section_name, CASE g WHEN 'business' THEN 'item1' WHEN 'riskfactors' THEN 'item1a' WHEN 'mda' THEN 'item7' WHEN 'financialstatements' THEN 'item8' WHEN 'controls' THEN 'item9a' WHEN 'marketrisk' THEN 'item7a'
+    ELSE 'item' || nullif(regexp_extract(n, '^item[ _.-]*([0-9]+[a-c]?)([^a-z]|$)', 1), '') END section_key FROM n"""
 )
 def canonical_sections(spark, d):
     """Sections under one key however they are spelled."""

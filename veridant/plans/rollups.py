@@ -224,8 +224,8 @@ def sliding_window(spark, d):
 
 
 @query(
-    """WITH x AS (SELECT DISTINCT id, ticker, regexp_replace(lower(trim(section_name)), '[^a-z0-9]+', '', 'g') g, length(text) n FROM mini_10k_spans), y AS (SELECT ticker, CASE g WHEN 'business' THEN 'item1' WHEN 'riskfactors' THEN 'item1a' WHEN 'mda' THEN 'item7' WHEN 'financialstatements' THEN 'item8' WHEN 'controls' THEN 'item9a' WHEN 'marketrisk' THEN 'item7a' ELSE nullif(regexp_extract(g, '^(item[0-9]+[a-c]?)', 1), '') END s, n FROM x)
-    SELECT ticker, CASE WHEN grouping(s) = 1 THEN 'all' ELSE coalesce(s, 'unknown') END section, count(*) spans, sum(n) chars FROM y GROUP BY ticker, ROLLUP (s)"""
+    """WITH x AS (SELECT DISTINCT id, ticker, lower(trim(section_name)) n, regexp_replace(lower(trim(section_name)), '[^a-z0-9]+', '', 'g') g, length(text) chars FROM mini_10k_spans), y AS (SELECT ticker, CASE g WHEN 'business' THEN 'item1' WHEN 'riskfactors' THEN 'item1a' WHEN 'mda' THEN 'item7' WHEN 'financialstatements' THEN 'item8' WHEN 'controls' THEN 'item9a' WHEN 'marketrisk' THEN 'item7a' ELSE 'item' || nullif(regexp_extract(n, '^item[ _.-]*([0-9]+[a-c]?)([^a-z]|$)', 1), '') END s, chars FROM x)
+    SELECT ticker, CASE WHEN grouping(s) = 1 THEN 'all' ELSE coalesce(s, 'unknown') END section, count(*) spans, sum(chars) chars FROM y GROUP BY ticker, ROLLUP (s)"""
 )
 def section_sizes(spark, d):
     """Characters by company and section, and over all sections."""
