@@ -94,16 +94,16 @@ def pack_sizes(sizes: list[int], capacities: tuple[int, ...]) -> list[tuple[int,
     return out
 
 
-def pack_containers(items: DataFrame, item_id: str, size: str, capacities: tuple[int, ...] = CAPACITIES, shard_items: int = 20000) -> DataFrame:
+def pack_containers(items: DataFrame, item_id: str, size: str, capacities: tuple[int, ...] = CAPACITIES, shard_items: int = 20000, about: int | None = None) -> DataFrame:
     """Each item's place: container_id, capacity, item, part, part_start, part_size, position_in_container.
 
     A part is the whole item unless it exceeds the largest capacity. Items of null or zero size
-    need no room and are left out. Item ids are taken as unique. The number of items is counted
-    first, to set the number of shards.
+    need no room and are left out. Item ids are taken as unique. `about` is the number of items, to
+    set the number of shards by; if not given it is counted first, which computes the sizes twice.
     """
     biggest = max(capacities)
     sized = items.filter(F.col(size) > 0)
-    shards = max(1, -(-sized.count() // shard_items))
+    shards = max(1, -(-(sized.count() if about is None else about) // shard_items))
     starts = F.sequence(F.lit(0), F.col(size) - 1, F.lit(biggest))
     parts = sized.select(item_id, F.col(size).alias("__n"), F.posexplode(starts).alias("part", "part_start"))
     parts = parts.select(item_id, F.col("part").cast("int"), F.col("part_start").cast("int"), F.least(F.lit(biggest), F.col("__n") - F.col("part_start")).cast("int").alias("part_size"))

@@ -38,8 +38,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text in a container of 2,048 tokens; a document delivered again counts once."""
-    sizes = count_tokens(_documents(spark, sf_dir), "doc_id", "text").groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
-    return pack_containers(sizes, "doc_id", "n_tokens")
+    documents = _documents(spark, sf_dir)
+    sizes = count_tokens(documents, "doc_id", "text").groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
+    return pack_containers(sizes, "doc_id", "n_tokens", about=documents.count())
 
 
 def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
