@@ -576,12 +576,12 @@ def session_windows(spark, d):
 
 
 @query(
-    """SELECT n_name, year(o_orderdate) AS order_year, count(*) orders, round(sum(o_totalprice), 2) total, round(avg(o_totalprice), 4) mean FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2"""
+    """SELECT n_name, year(o_orderdate) AS order_year, count(*) orders, round(sum(o_totalprice), 2) total, round(avg(o_totalprice), 6) mean FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2"""
 )
 def orders_by_nation(spark, d):
     """Orders of each nation by year."""
     j = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.groupBy("n_name", F.year("o_orderdate").alias("order_year")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    return j.groupBy("n_name", F.year("o_orderdate").alias("order_year")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.round(F.avg("o_totalprice"), 6).alias("mean"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
