@@ -31,12 +31,13 @@ def query_hits(documents: DataFrame, doc: str, fields: dict[str, float], terms:
     No posting is shuffled: a document is matched where it is read, by higher-order functions.
     With `prefix`, all terms that begin with a query term count for it.
     """
-    parts = []
+    # behind a Generate, so that the tokens are made once and not at each use
+    made = F.inline(F.array(F.struct(*[tokens(F.col(f)).alias(f"__t{i}") for i, f in enumerate(fields)])))
+    documents = documents.select(doc, made)
+    parts = [(F.col(f"__t{i}"), w) for i, w in enumerate(fields.values())]
     total = F.lit(0)
-    for f, w in fields.items():
-        ts = tokens(F.col(f))
+    for ts, _ in parts:
         total = total + F.size(ts)
-        parts.append((ts, w))
     match = lambda q: (lambda x: x.startswith(q)) if prefix else (lambda x: x == q)
     rows = []
     for q in terms:

@@ -13,7 +13,7 @@ from veridant.operators.regular_grid import regularize
 from veridant.operators.spikes import flag_readings
 from veridant.operators.timestamps import resolve_times
 from veridant.operators.units import to_common_units
-from veridant.session import table
+from veridant.session import spread, table
 
 REMOVED = ("deleted", "tombstoned", "removed")
 
@@ -32,12 +32,12 @@ COUNTED = "metric LIKE '%index%' OR metric LIKE '%starts%' OR metric LIKE '%clai
 
 def p1_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All doubtful readings with their table, field and reason."""
-    o = table(spark, sf_dir, "observations").select("observation_id", "series_key", "phenomenon_time", "value").filter("value IS NOT NULL")
+    o = spread(table(spark, sf_dir, "observations").select("observation_id", "series_key", "phenomenon_time", "value").filter("value IS NOT NULL"))
     o = parse_instant(o, F.col("phenomenon_time"), F.lit("UTC"), "sec").join(_catalog(spark, sf_dir), "series_key", "left")
     kind = F.when(F.col("metric").like("%price%") | F.col("series_key").like("price_close:%"), "price").when(F.col("metric") == "policy_rate", "rate_steps").when(F.expr(COUNTED), "count").otherwise("level")
     period = F.unix_date(period_day(F.col("sec"), F.coalesce("code", F.lit("D"))))
     rows = o.select(F.lit("observations").alias("table_name"), "observation_id", F.lit("value").alias("field_name"), F.col("series_key").alias("source"), period.alias("period"), "value", kind.alias("kind"))
-    h = table(spark, sf_dir, "ohlcv_observations").select("observation_id", "ticker", "trade_date", "close", "volume")
+    h = spread(table(spark, sf_dir, "ohlcv_observations").select("observation_id", "ticker", "trade_date", "close", "volume"))
     h = parse_instant(h, F.col("trade_date"), F.lit("UTC"), "sec")
     fields = F.array(F.struct(F.lit("close").alias("field_name"), F.col("close").alias("value"), F.lit("price").alias("kind")), F.struct(F.lit("volume").alias("field_name"), F.col("volume").alias("value"), F.lit("volume").alias("kind")))
     h = h.select(F.lit("ohlcv_observations").alias("table_name"), "observation_id", F.col("ticker").alias("source"), F.unix_date(period_day(F.col("sec"), F.lit("D"))).alias("period"), F.inline(fields))
@@ -55,6 +55,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every period of every series with its reading or its smoothed fill."""
     o = table(spark, sf_dir, "observations").select("series_key", "phenomenon_time", "value", F.coalesce("result_time", "vintage").alias("known")).filter("value IS NOT NULL")
+    o = spread(o)
     o = parse_instant(o, F.col("phenomenon_time"), F.lit("UTC"), "sec").join(_catalog(spark, sf_dir).filter("code IS NOT NULL"), "series_key")
     return regularize(o, "series_key", "sec", "value", "code", "known")
 
@@ -84,7 +85,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _readings_known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "observations").filter("value IS NOT NULL").select("observation_id", "series_key", "phenomenon_time", "result_time", "vintage")
+    o = spread(table(spark, sf_dir, "observations").filter("value IS NOT NULL").select("observation_id", "series_key", "phenomenon_time", "result_time", "vintage"))
     for text in ("phenomenon_time", "result_time", "vintage"):
         o = parse_instant(o, F.col(text), F.lit("UTC"), f"{text}_sec")
     known = F.coalesce(F.when(F.col("result_time").isNotNull(), F.col("result_time_sec")), F.col("vintage_sec"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veridant.functions.text_units import compact_number, period_sort_key, section_key, slug, valid_period
 from veridant.operators import graph, lineage, links, ranking, relational, series, textsearch
-from veridant.session import table
+from veridant.session import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,10 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name)
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # --- series with vintages
 
 
@@ -469,7 +473,7 @@ _TOK = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 @query(f"WITH t AS (SELECT doc_id, unnest({_TOK}) term FROM documents) SELECT term, count(DISTINCT doc_id) df, count(*) cf FROM t GROUP BY 1")
 def term_statistics(spark, d):
     """Documents and occurrences of every term."""
-    return textsearch.term_statistics(textsearch.postings(_t(spark, d, "documents"), "doc_id", ["text"]), "doc_id")
+    return textsearch.term_statistics(textsearch.postings(_documents(spark, d), "doc_id", ["text"]), "doc_id")
 
 
 def _bm25_sql(match: str, mode_filter: str = "") -> str:
@@ -485,13 +489,13 @@ def _rounded(df):
 @query(_bm25_sql("x = q"))
 def bm25_or(spark, d):
     """BM25 scores of all documents with any of the terms."""
-    return _rounded(textsearch.bm25(_t(spark, d, "documents"), "doc_id", {"text": 1.0}, TERMS))
+    return _rounded(textsearch.bm25(_documents(spark, d), "doc_id", {"text": 1.0}, TERMS))
 
 
 @query(_bm25_sql("starts_with(x, q)", "HAVING count(DISTINCT q) = 4"))
 def bm25_prefix_and(spark, d):
     """BM25 scores of documents with all terms, as prefixes."""
-    return _rounded(textsearch.bm25(_t(spark, d, "documents"), "doc_id", {"text": 1.0}, TERMS, prefix=True, mode="and"))
+    return _rounded(textsearch.bm25(_documents(spark, d), "doc_id", {"text": 1.0}, TERMS, prefix=True, mode="and"))
 
 
 @query(
@@ -500,7 +504,7 @@ def bm25_prefix_and(spark, d):
 )
 def coverage_rank(spark, d):
     """Candidates of a search reranked by how many terms they cover."""
-    b = _rounded(textsearch.bm25(_t(spark, d, "documents"), "doc_id", {"text": 1.0}, TERMS))
+    b = _rounded(textsearch.bm25(_documents(spark, d), "doc_id", {"text": 1.0}, TERMS))
     return textsearch.coverage_rank(b, "doc_id", len(TERMS), 20).withColumn("primary", F.round("primary", 5))
 
 
@@ -509,7 +513,7 @@ def coverage_rank(spark, d):
 )
 def relaxation_ladder(spark, d):
     """Strict matches first, then documents with any term; each at its first rung."""
-    hits = _rounded(textsearch.bm25(_t(spark, d, "documents"), "doc_id", {"text": 1.0}, TERMS, prefix=True))
+    hits = _rounded(textsearch.bm25(_documents(spark, d), "doc_id", {"text": 1.0}, TERMS, prefix=True))
     return ranking.first_rung([hits.filter(F.col("matched") == len(TERMS)), hits], "doc_id", "score")
 
 
@@ -518,7 +522,7 @@ def relaxation_ladder(spark, d):
 )
 def pair_coherence(spark, d):
     """How often two query terms meet in a document."""
-    return textsearch.term_pairs(_t(spark, d, "documents"), "doc_id", "text", TERMS)
+    return textsearch.term_pairs(_documents(spark, d), "doc_id", "text", TERMS)
 
 
 @query(

@@ -54,3 +54,13 @@ def small_side(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_
     `rows` must be a proven bound or a count; beyond the limit the join shuffles.
     """
     return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores if its scan has fewer splits than there are cores, else unchanged.
+
+    For work that costs much more than a shuffle of the rows, over tables of a few files. Plans
+    the scan, but runs no job; a table of many files is never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
