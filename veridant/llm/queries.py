@@ -10,11 +10,11 @@ from veridant.llm.packing import count_tokens, pack_containers, packing_summary
 from veridant.llm.queries_sql import ORACLE_SQL  # noqa: F401
 from veridant.llm.splitting import split_texts
 from veridant.llm.truncation import find_truncated, truncation_rates
-from veridant.session import table
+from veridant.session import spread, table
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
 # --- 7: oversized sections
@@ -28,7 +28,7 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Oversized sections with the coarsest boundary at which they can be cut."""
-    spans = table(spark, sf_dir, "mini_10k_spans").select("id", "text", "section_name", "start_char").filter(F.length("text") > 2000)
+    spans = spread(table(spark, sf_dir, "mini_10k_spans").select("id", "text", "section_name", "start_char").filter(F.length("text") > 2000))
     pieces = split_texts(spans, "id", "text", "section_name", "start_char")
     return pieces.filter("piece_index = 0").select("span_id", "coarsest_boundary").distinct()
 
@@ -40,7 +40,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text in a container of 2,048 tokens; a document delivered again counts once."""
     documents = _documents(spark, sf_dir)
     sizes = count_tokens(documents, "doc_id", "text").groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
-    return pack_containers(sizes, "doc_id", "n_tokens", about=documents.count())
+    return pack_containers(sizes, "doc_id", "n_tokens", about=table(spark, sf_dir, "documents").count())
 
 
 def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
