@@ -64,23 +64,29 @@ LABEL_NUMBER = r"(?i)(fiscal|item|items|note|notes|page|section|part|year|ejerci
 
 
 #: A word and a number with a full stop.
-NUMBER_END = r"(\S+\s+\S*\d\.)"
+NUMBER_END = r"(?<!\S)(\S{1,40}\s\S{0,40}\d\.)"
+#: What may follow the end of a text without meaning anything.
+BLANKS = " \t\r\n\f\u000b\u00a0\u2028\u2029"
 
 
-def _ending(t: str, last: str, prior: str) -> Column:
-    """closed, open, unclear, list or signature, from the trimmed text, its last line and the one before."""
-    T, L, P = F.col(t), F.col(last), F.col(prior)
+#: Characters at the end of a text that the patterns of endings look at; each of them is shorter.
+TAIL = 400
+
+
+def _ending(t: str, tail: str, last: str, prior: str) -> Column:
+    """closed, open, unclear, list or signature, from the trimmed text, its tail, its last line and the one before."""
+    T, E, L, P = F.col(t), F.col(tail), F.col(last), F.col(prior)
     bars = lambda c: F.length(c) - F.length(F.regexp_replace(c, r"\|", ""))
     whole_row = L.endswith("|") & ((bars(L) == bars(P)) | (~P.startswith("|") & (bars(L) >= 3)))
     return (
         F.when(T == "", "none")
-        .when(T.rlike(MARK), "open")
+        .when(E.rlike(MARK), "open")
         .when(L.startswith("|"), F.when(whole_row, "closed").otherwise("open"))
-        .when(T.rlike(r"""[.!?…]["”»'’)\]]+$"""), "closed")
-        .when(T.rlike(r"[0-9]\.$"), F.when(T.rlike(LABEL_NUMBER), "closed").otherwise("unclear"))
-        .when(T.rlike(r"[.!?。！？]$"), "closed")
-        .when(T.rlike(r"""[.!?]["”]? \([\p{L} ]+\)$"""), "closed")
-        .when(F.lower(L).rlike(CLOSING), "closed")
+        .when(E.rlike(r"""[.!?…]["”»'’)\]]+$"""), "closed")
+        .when(E.rlike(r"[0-9]\.$"), F.when(E.rlike(LABEL_NUMBER), "closed").otherwise("unclear"))
+        .when(E.rlike(r"[.!?。！？]$"), "closed")
+        .when(E.rlike(r"""[.!?]["”]? \([\p{L} ]+\)$"""), "closed")
+        .when((F.length(L) <= TAIL) & F.lower(L).rlike(CLOSING), "closed")
         .when(L.rlike(r"^(/s/|—|–|--) ?\S"), F.when(L.contains(","), "signature").otherwise("closed"))
         .when(L.rlike(r"^([-*•]|\d+[.)]) "), "list")
         .when(~T.contains("\n") & (F.length(T) <= HEADLINE) & ~T.rlike(r"[.!?] "), "closed")
@@ -96,11 +102,11 @@ def find_truncated(documents: DataFrame, text: str, source: str, alpha: float =
     significant length. Every row comes out once; columns of the added names are replaced.
     """
     d = documents.drop("ending", "at_limit", "truncated")
-    trimmed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+$", "")
-    d = d.withColumn("__t", trimmed)
+    trimmed = F.rtrim(F.coalesce(F.col(text), F.lit("")), F.lit(BLANKS))
+    d = d.withColumn("__t", trimmed).withColumn("__end", F.right("__t", F.lit(TAIL)))
     lines = F.split(F.substring_index("__t", "\n", -2), "\n")
     d = d.withColumns({"__last": F.element_at(lines, -1), "__prior": F.when(F.size(lines) > 1, F.element_at(lines, 1)).otherwise("")})
-    d = d.withColumn("__class", _ending("__t", "__last", "__prior"))
+    d = d.withColumn("__class", _ending("__t", "__end", "__last", "__prior"))
     # the part of a list item or signature that recurs: the item, or the title after the name
     d = d.withColumn("__part", F.when(F.col("__class") == "list", F.trim("__last")).when(F.col("__class") == "signature", F.trim(F.substring_index("__last", ",", -1))))
     known = d.filter("__part IS NOT NULL").groupBy("__part").agg(F.count("*").alias("__support"))
@@ -108,7 +114,7 @@ def find_truncated(documents: DataFrame, text: str, source: str, alpha: float =
     recurs = F.col("__support") >= CLOSING_SUPPORT
     # a number and a full stop end a sentence if they do so inside texts, and are a cut decimal if they hardly do anywhere
     masked = lambda c: F.regexp_replace(c, r"\d+", "#")
-    d = d.withColumn("__number", F.when(F.col("__class") == "unclear", masked(F.regexp_extract("__t", NUMBER_END + "$", 1))))
+    d = d.withColumn("__number", F.when(F.col("__class") == "unclear", masked(F.regexp_extract("__end", NUMBER_END + "$", 1))))
     inside = d.select(F.explode(F.regexp_extract_all("__t", F.lit(NUMBER_END + r"""\s+["“(]?\p{Lu}"""), 1)).alias("p")).select(masked(F.col("p")).alias("__number"), F.lit(1).alias("body"), F.lit(0).alias("tail"))
     ends = d.filter("__number IS NOT NULL").select("__number", F.lit(0).alias("body"), F.lit(1).alias("tail"))
     number_ends = inside.unionByName(ends).groupBy("__number").agg(F.sum("body").alias("__body"), F.sum("tail").alias("__tail"))
