@@ -94,6 +94,12 @@ def _ending(t: str, tail: str, last: str, prior: str) -> Column:
     )
 
 
+def _left_join(df: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Left join in which rows with a null key, most of them here, are spread instead of meeting in one partition."""
+    spread_key = F.coalesce(key, F.concat(F.lit("\u0000"), F.xxhash64("__src", "__chars", "__bytes").cast("string")))
+    return df.withColumn("__key", spread_key).join(side.filter(F.col(key).isNotNull()).withColumnRenamed(key, "__key"), "__key", "left").drop("__key")
+
+
 def find_truncated(documents: DataFrame, text: str, source: str, alpha: float = 0.01) -> DataFrame:
     """`documents` with ending, at_limit and truncated.
 
@@ -107,10 +113,12 @@ def find_truncated(documents: DataFrame, text: str, source: str, alpha: float =
     lines = F.split(F.substring_index("__t", "\n", -2), "\n")
     d = d.withColumns({"__last": F.element_at(lines, -1), "__prior": F.when(F.size(lines) > 1, F.element_at(lines, 1)).otherwise("")})
     d = d.withColumn("__class", _ending("__t", "__end", "__last", "__prior"))
+    # lengths are taken here, so that no text passes through the joins below
+    d = d.withColumns({"__src": F.coalesce(source, F.lit("")), "__chars": F.length(text), "__bytes": F.octet_length(text)})
     # the part of a list item or signature that recurs: the item, or the title after the name
     d = d.withColumn("__part", F.when(F.col("__class") == "list", F.trim("__last")).when(F.col("__class") == "signature", F.trim(F.substring_index("__last", ",", -1))))
     known = d.filter("__part IS NOT NULL").groupBy("__part").agg(F.count("*").alias("__support"))
-    d = d.join(known, "__part", "left")
+    d = _left_join(d, known, "__part")
     recurs = F.col("__support") >= CLOSING_SUPPORT
     # a number and a full stop end a sentence if they do so inside texts, and are a cut decimal if they hardly do anywhere
     masked = lambda c: F.regexp_replace(c, r"\d+", "#")
@@ -118,11 +126,10 @@ def find_truncated(documents: DataFrame, text: str, source: str, alpha: float =
     inside = d.select(F.explode(F.regexp_extract_all("__t", F.lit(NUMBER_END + r"""\s+["“(]?\p{Lu}"""), 1)).alias("p")).select(masked(F.col("p")).alias("__number"), F.lit(1).alias("body"), F.lit(0).alias("tail"))
     ends = d.filter("__number IS NOT NULL").select("__number", F.lit(0).alias("body"), F.lit(1).alias("tail"))
     number_ends = inside.unionByName(ends).groupBy("__number").agg(F.sum("body").alias("__body"), F.sum("tail").alias("__tail"))
-    d = d.join(number_ends, "__number", "left")
+    d = _left_join(d, number_ends, "__number")
     as_number = F.when(F.col("__body") >= CLOSING_SUPPORT, "closed").when((F.col("__body") < 3) & (F.col("__tail") < CLOSING_SUPPORT), "open").otherwise("unclear")
     ending = F.when(F.col("__part").isNotNull(), F.when(recurs, "closed").otherwise("unclear")).when(F.col("__number").isNotNull(), as_number).otherwise(F.col("__class"))
     d = d.withColumn("ending", ending)
-    d = d.withColumns({"__src": F.coalesce(source, F.lit("")), "__chars": F.length(text), "__bytes": F.octet_length(text)})
     measured = d.select("__src", F.explode(F.array(F.struct(F.lit("chars").alias("m"), F.col("__chars").alias("l")), F.struct(F.lit("bytes").alias("m"), F.col("__bytes").alias("l")))).alias("x")).select(
         F.concat_ws("\u0001", "x.m", "__src").alias("key"), F.col("x.l").alias("l")
     )
