@@ -158,3 +158,15 @@ def test_hazards_find_a_limit_and_not_a_smooth_tail(spark):
     got = length_hazards(spark.createDataFrame(lengths, "source string, n int"), "source", "n").filter("significant").collect()
     assert {(r.source, r.block) for r in got if r.width == 1} == {("a", 1000)}
     assert not [r for r in got if r.source == "b"]
+
+
+@pytest.mark.parametrize("times", [1, 12])
+def test_cut_decimals_are_found_in_corpora_of_any_size(spark, times):
+    rng = random.Random(11)
+    rows = [(f"Sales of ${rng.randrange(1, 99)}.{rng.randrange(1, 99)} were noted on day {k}. Margin was 4.{k}. It rose.", "s") for k in range(40 * times)]
+    cut_ = [("Lead. " + "x" * rng.randrange(50, 900) + f" {k} with revenue of ${rng.randrange(1, 99)}.", "s") for k in range(3 * times)]
+    whole = [("Lead. " + "x" * rng.randrange(50, 900) + f" {k} margin was 4.{k}.", "s") for k in range(3 * times)]
+    rare = [("Lead. " + "y" * 77 + " which totalled $8.", "s")]
+    found = find_truncated(spark.createDataFrame(rows + cut_ + whole + rare, "text string, source string"), "text", "source")
+    assert {r.text for r in found.filter("ending = 'open'").collect()} == {t for t, _ in cut_ + rare}
+    assert {r.text for r in found.filter("ending = 'closed'").collect()} == {t for t, _ in rows + whole}

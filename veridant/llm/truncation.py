@@ -65,6 +65,11 @@ LABEL_NUMBER = r"(?i)(fiscal|item|items|note|notes|page|section|part|year|ejerci
 
 #: A word and a number with a full stop.
 NUMBER_END = r"(?<!\S)(\S{1,40}\s\S{0,40}\d\.)"
+#: What follows it inside a text: the next digit of a decimal, or the next sentence.
+NUMBER_NEXT = r"""(?:\d|\s+["“(]?\p{Lu})"""
+#: Share of its places inside texts in which a number with a full stop ends a sentence: from the first on it closes
+#: a text, up to the second it is a cut decimal. Bounds of Wilson's interval at Z decide, so that few places decide little.
+SENTENCE_SHARE, DECIMAL_SHARE, Z = 0.5, 0.1, 1.645
 #: What may follow the end of a text without meaning anything.
 BLANKS = " \t\r\n\f\u000b\u00a0\u2028\u2029"
 
@@ -94,6 +99,32 @@ def _ending(t: str, tail: str, last: str, prior: str) -> Column:
     )
 
 
+def _share_bounds(hits: Column, misses: Column) -> tuple[Column, Column]:
+    """Wilson's lower and upper bound of hits / (hits + misses); 0 and 1 without any."""
+    n, zz = hits + misses, Z * Z
+    middle, half = hits + zz / 2, Z * F.sqrt(F.when(n > 0, hits * misses / n).otherwise(0.0) + zz / 4)
+    return (middle - half) / (n + zz), (middle + half) / (n + zz)
+
+
+def _number_endings(texts: DataFrame) -> DataFrame:
+    """(__number, __as_number) of the masked number patterns at the ends of texts: closed, open or unclear.
+
+    Inside distinct texts a pattern goes on as a decimal or ends a sentence; the share of the latter does not depend
+    on the number of texts. What a pattern's own places leave open, those of its number after any word decide.
+    """
+    masked = lambda c: F.regexp_replace(c, r"\d+", "#")
+    found = F.array_distinct(F.transform(F.regexp_extract_all("__t", F.lit(f"({NUMBER_END}{NUMBER_NEXT})"), 1), lambda x: F.struct(masked(F.regexp_extract(x, "^" + NUMBER_END, 1)).alias("__number"), x.rlike(r"\d$").alias("decimal"))))
+    inside = texts.select("__hash", F.inline(found)).distinct().groupBy("__number").agg(F.count_if(~F.col("decimal")).alias("body"), F.count_if("decimal").alias("decimals"))
+    form = F.substring_index(F.regexp_replace("__number", r"\s", " "), " ", -1)
+    forms = inside.groupBy(form.alias("form")).agg(F.sum("body").alias("form_body"), F.sum("decimals").alias("form_decimals"))
+    at_end = texts.filter("__number IS NOT NULL").select("__number").distinct().withColumn("form", form)
+    e = at_end.join(inside, "__number", "left").join(forms, "form", "left").na.fill(0)
+    low, high = _share_bounds(F.col("body"), F.col("decimals"))
+    form_low, form_high = _share_bounds(F.col("form_body"), F.col("form_decimals"))
+    cut = (high <= DECIMAL_SHARE) | ((low <= DECIMAL_SHARE) & (form_high <= DECIMAL_SHARE))
+    return e.select("__number", F.when(low >= SENTENCE_SHARE, "closed").when(cut, "open").when((high >= SENTENCE_SHARE) & (form_low >= SENTENCE_SHARE), "closed").otherwise("unclear").alias("__as_number"))
+
+
 def _left_join(df: DataFrame, side: DataFrame, key: str) -> DataFrame:
     """Left join in which rows with a null key, most of them here, are spread instead of meeting in one partition."""
     spread_key = F.coalesce(key, F.concat(F.lit("\u0000"), F.xxhash64("__src", "__chars", "__bytes").cast("string")))
@@ -120,15 +151,10 @@ def find_truncated(documents: DataFrame, text: str, source: str, alpha: float =
     known = d.filter("__part IS NOT NULL").groupBy("__part").agg(F.count("*").alias("__support"))
     d = _left_join(d, known, "__part")
     recurs = F.col("__support") >= CLOSING_SUPPORT
-    # a number and a full stop end a sentence if they do so inside texts, and are a cut decimal if they hardly do anywhere
-    masked = lambda c: F.regexp_replace(c, r"\d+", "#")
-    d = d.withColumn("__number", F.when(F.col("__class") == "unclear", masked(F.regexp_extract("__end", NUMBER_END + "$", 1))))
-    inside = d.select(F.explode(F.regexp_extract_all("__t", F.lit(NUMBER_END + r"""\s+["“(]?\p{Lu}"""), 1)).alias("p")).select(masked(F.col("p")).alias("__number"), F.lit(1).alias("body"), F.lit(0).alias("tail"))
-    ends = d.filter("__number IS NOT NULL").select("__number", F.lit(0).alias("body"), F.lit(1).alias("tail"))
-    number_ends = inside.unionByName(ends).groupBy("__number").agg(F.sum("body").alias("__body"), F.sum("tail").alias("__tail"))
-    d = _left_join(d, number_ends, "__number")
-    as_number = F.when(F.col("__body") >= CLOSING_SUPPORT, "closed").when((F.col("__body") < 3) & (F.col("__tail") < CLOSING_SUPPORT), "open").otherwise("unclear")
-    ending = F.when(F.col("__part").isNotNull(), F.when(recurs, "closed").otherwise("unclear")).when(F.col("__number").isNotNull(), as_number).otherwise(F.col("__class"))
+    # a number and a full stop end a sentence if they do so inside texts, and are a cut decimal if they go on there
+    d = d.withColumn("__number", F.when(F.col("__class") == "unclear", F.regexp_replace(F.regexp_extract("__end", NUMBER_END + "$", 1), r"\d+", "#")))
+    d = _left_join(d, _number_endings(d.withColumn("__hash", F.xxhash64("__t"))), "__number")
+    ending = F.when(F.col("__part").isNotNull(), F.when(recurs, "closed").otherwise("unclear")).when(F.col("__number").isNotNull(), F.coalesce("__as_number", F.lit("unclear"))).otherwise(F.col("__class"))
     d = d.withColumn("ending", ending)
     measured = d.select("__src", F.explode(F.array(F.struct(F.lit("chars").alias("m"), F.col("__chars").alias("l")), F.struct(F.lit("bytes").alias("m"), F.col("__bytes").alias("l")))).alias("x")).select(
         F.concat_ws("\u0001", "x.m", "__src").alias("key"), F.col("x.l").alias("l")
