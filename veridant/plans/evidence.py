@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridant.functions.text_units import compact_number, period_sort_key, section_key, slug, valid_period
+from veridant.functions.timeparse import parse_instant
 from veridant.operators import graph, lineage, links, ranking, relational, series, textsearch
+from veridant.plans.data_quality_sql import _instants
+from veridant.plans.data_quality_sql import _instants
 from veridant.session import spread, table
 
 QUERIES: dict = {}
@@ -79,12 +82,26 @@ def release_events(spark, d):
     SELECT series_key, period, max(dy) last_day, max(struct_pack(dy := dy, v := value)).v AS value, count(*) readings FROM p GROUP BY 1, 2"""
 )
 def month_end_downsample(spark, d):
-    """Last reading of each month or quarter."""
+    """Last reading of each month or quarter among those written as yyyy-MM-dd; `month_end_instants` takes every spelling."""
     o = _t(spark, d, "observations").filter(F.col("phenomenon_time").rlike(r"^\d{4}-\d{2}-\d{2}$")).withColumn("day", F.expr("try_cast(phenomenon_time AS DATE)"))
     c = _t(spark, d, "series_catalog").groupBy("series_key").agg((F.max(F.lower(F.substring("frequency", 1, 1))) == "q").alias("q"))
     return series.downsample(o.join(c, "series_key"), "series_key", "day", "value", F.coalesce("q", F.lit(False)))
 
 
+@query(
+    f"""WITH {_instants("o", "SELECT series_key, phenomenon_time t, 'UTC' z, value FROM observations WHERE value IS NOT NULL")},
+    c AS (SELECT series_key, max(lower(substr(trim(frequency), 1, 1))) = 'q' q FROM series_catalog GROUP BY 1),
+    p AS (SELECT o.series_key, 'CY' || year(u) || CASE WHEN q THEN 'Q' || quarter(u) ELSE 'M' || lpad(month(u)::varchar, 2, '0') END AS period, u::date dy, value FROM o JOIN c USING (series_key) WHERE u IS NOT NULL)
+    SELECT series_key, period, max(dy) last_day, max(struct_pack(dy := dy, v := value)).v AS value, count(*) readings FROM p GROUP BY 1, 2"""
+)
+def month_end_instants(spark, d):
+    """Last reading of each month or quarter by UTC day, however its time is written; unreadable times are left out."""
+    o = spread(_t(spark, d, "observations").select("series_key", "phenomenon_time", "value").filter("value IS NOT NULL"))
+    o = parse_instant(o, F.col("phenomenon_time"), F.lit("UTC"), "sec").withColumn("day", F.date_from_unix_date(F.floor(F.col("sec") / 86400).cast("int")))
+    c = _t(spark, d, "series_catalog").groupBy("series_key").agg((F.max(F.lower(F.substring(F.trim("frequency"), 1, 1))) == "q").alias("q"))
+    return series.downsample(o.join(c, "series_key"), "series_key", "day", "value", F.coalesce("q", F.lit(False)))
+
+
 @query(
     """SELECT ticker, trade_date, max(struct_pack(i := observation_id, c := close, v := volume)).i AS observation_id, max(struct_pack(i := observation_id, c := close, v := volume)).c AS close,
     max(struct_pack(i := observation_id, c := close, v := volume)).v AS volume FROM (SELECT observation_id, ticker, trade_date, max(close) AS close, max(volume) AS volume FROM ohlcv_observations GROUP BY 1, 2, 3) GROUP BY 1, 2"""
