@@ -170,3 +170,14 @@ def test_cut_decimals_are_found_in_corpora_of_any_size(spark, times):
     found = find_truncated(spark.createDataFrame(rows + cut_ + whole + rare, "text string, source string"), "text", "source")
     assert {r.text for r in found.filter("ending = 'open'").collect()} == {t for t, _ in cut_ + rare}
     assert {r.text for r in found.filter("ending = 'closed'").collect()} == {t for t, _ in rows + whole}
+
+
+def test_a_list_item_cut_at_a_limit_is_no_closing_line_however_often_it_recurs(spark):
+    rng = random.Random(13)
+    body = lambda n: "Lead. " + "".join(rng.choice("abcdefgh") for _ in range(n)) + ".\n"
+    whole, fragment, title = "- Reconciliation of adjusted earnings", "- Reconciliation of adj", "/s/ Maren Oldt, Chief Accounting Officer"
+    rows = [(body(rng.randrange(50, 1500)) + x, "a") for x in (whole, title) for _ in range(150)] + [(body(rng.randrange(50, 1500)) + "It ended.", "a") for _ in range(300)]
+    cut_ = [(body(700) + fragment, "a") for _ in range(40)] + [(body(700) + "- Copied fragm", "a")] * 30
+    found = find_truncated(spark.createDataFrame(rows + cut_, "text string, source string"), "text", "source")
+    assert {r.text for r in found.filter("truncated").collect()} == {t for t, _ in cut_}
+    assert {r.ending for r in found.filter(F.col("text").endswith(whole) | F.col("text").endswith(title)).collect()} == {"closed"}

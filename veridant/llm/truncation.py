@@ -3,8 +3,8 @@
 Two kinds of evidence. Lengths: for each source the discrete hazard of a length (texts that
 end there among those that reach it) is tested against the hazards of neighbouring lengths,
 at single lengths and in blocks, with the false discovery rate held under `alpha` per source. Endings:
-the last line of each text is classed as closed, open or unclear; lines that close
-many texts (list items, titles, page marks) are learnt from the whole corpus. A text is cut
+the last line of each text is classed as closed, open or unclear; which list items and titles are
+whole, and which numbers end sentences, is learnt as shares of distinct texts of the whole corpus. A text is cut
 if its ending is open, or unclear at a significant length.
 
 Scale: texts are reduced to counts by source and length, and last lines to counts by
@@ -14,6 +14,8 @@ its longest text bounds. Only Catalyst expressions touch the texts.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 BLOCKS = (1, 8)
 #: Blocks on each side whose hazard is the comparison, leaving out the nearest one.
 NEIGHBOURS = 12
-#: Texts whose last line has one pattern, from which the pattern counts as a closing line.
-CLOSING_SUPPORT = 20
+#: Share of the distinct texts with a list item or title that hold it as a whole line before others, or end with it
+#: away from significant lengths, from which it closes texts; Wilson's lower bound decides.
+CLOSING_SHARE = 0.5
 #: A single line of up to this many characters without a sentence end is a headline.
 HEADLINE = 130
 
@@ -78,6 +81,10 @@ BLANKS = " \t\r\n\f\u000b\u00a0\u2028\u2029"
 TAIL = 400
 
 
+#: List items and signatures that are whole lines before others.
+INNER_LINES = {"list": r"(?<![^\n])((?:[-*•]|\d+[.)]) [^\n]*)(?=\n)", "signature": r"(?<![^\n])((?:/s/|—|–|--) ?\S[^\n]*,[^\n]*)(?=\n)"}
+
+
 def _ending(t: str, tail: str, last: str, prior: str) -> Column:
     """closed, open, unclear, list or signature, from the trimmed text, its tail, its last line and the one before."""
     T, E, L, P = F.col(t), F.col(tail), F.col(last), F.col(prior)
@@ -106,7 +113,7 @@ def _share_bounds(hits: Column, misses: Column) -> tuple[Column, Column]:
     return (middle - half) / (n + zz), (middle + half) / (n + zz)
 
 
-def _number_endings(texts: DataFrame) -> DataFrame:
+def _number_endings(texts: DataFrame, ends: DataFrame) -> DataFrame:
     """(__number, __as_number) of the masked number patterns at the ends of texts: closed, open or unclear.
 
     Inside distinct texts a pattern goes on as a decimal or ends a sentence; the share of the latter does not depend
@@ -117,7 +124,7 @@ def _number_endings(texts: DataFrame) -> DataFrame:
     inside = texts.select("__hash", F.inline(found)).distinct().groupBy("__number").agg(F.count_if(~F.col("decimal")).alias("body"), F.count_if("decimal").alias("decimals"))
     form = F.substring_index(F.regexp_replace("__number", r"\s", " "), " ", -1)
     forms = inside.groupBy(form.alias("form")).agg(F.sum("body").alias("form_body"), F.sum("decimals").alias("form_decimals"))
-    at_end = texts.filter("__number IS NOT NULL").select("__number").distinct().withColumn("form", form)
+    at_end = ends.filter("__number IS NOT NULL").distinct().withColumn("form", form)
     e = at_end.join(inside, "__number", "left").join(forms, "form", "left").na.fill(0)
     low, high = _share_bounds(F.col("body"), F.col("decimals"))
     form_low, form_high = _share_bounds(F.col("form_body"), F.col("form_decimals"))
@@ -125,6 +132,25 @@ def _number_endings(texts: DataFrame) -> DataFrame:
     return e.select("__number", F.when(low >= SENTENCE_SHARE, "closed").when(cut, "open").when((high >= SENTENCE_SHARE) & (form_low >= SENTENCE_SHARE), "closed").otherwise("unclear").alias("__as_number"))
 
 
+def _part(kind: str, x: Column) -> Column:
+    """Key of what recurs in a list item or signature: the item, or the title after the name."""
+    return F.md5(F.concat(F.lit(kind), F.trim(x if kind == "list" else F.substring_index(x, ",", -1))))
+
+
+def _closing_parts(texts: DataFrame, ends: DataFrame) -> DataFrame:
+    """(__part, __whole) of the parts at the ends of texts: whether a part is whole, by its share of distinct texts.
+
+    A part cut by a field limit ends texts at significant lengths only and is no whole line anywhere else; copies of
+    a text count once. ends: __part, __hash, at_limit.
+    """
+    lines = [F.transform(F.regexp_extract_all("__t", F.lit(rx), 1), partial(_part, k)) for k, rx in INNER_LINES.items()]
+    inside = texts.select("__hash", F.explode(F.array_distinct(F.concat(*lines))).alias("__part")).select("__part", "__hash", F.lit(True).alias("inside"), F.lit(False).alias("limit"))
+    seen = inside.unionByName(ends.select("__part", "__hash", F.lit(False).alias("inside"), F.col("at_limit").alias("limit")))
+    seen = seen.groupBy("__part", "__hash").agg(F.max("inside").alias("inside"), F.max("limit").alias("limit"))
+    counts = seen.groupBy("__part").agg(F.count_if(F.col("inside") | ~F.col("limit")).alias("free"), F.count_if("limit").alias("limited"))
+    return counts.select("__part", (_share_bounds(F.col("free"), F.col("limited"))[0] >= CLOSING_SHARE).alias("__whole"))
+
+
 def _left_join(df: DataFrame, side: DataFrame, key: str) -> DataFrame:
     """Left join in which rows with a null key, most of them here, are spread instead of meeting in one partition."""
     spread_key = F.coalesce(key, F.concat(F.lit("\u0000"), F.xxhash64("__src", "__chars", "__bytes").cast("string")))
@@ -144,18 +170,12 @@ def find_truncated(documents: DataFrame, text: str, source: str, alpha: float =
     lines = F.split(F.substring_index("__t", "\n", -2), "\n")
     d = d.withColumns({"__last": F.element_at(lines, -1), "__prior": F.when(F.size(lines) > 1, F.element_at(lines, 1)).otherwise("")})
     d = d.withColumn("__class", _ending("__t", "__end", "__last", "__prior"))
-    # lengths are taken here, so that no text passes through the joins below
+    # lengths, hashes and the keys of endings are taken here, so that no text passes through the joins below
     d = d.withColumns({"__src": F.coalesce(source, F.lit("")), "__chars": F.length(text), "__bytes": F.octet_length(text)})
-    # the part of a list item or signature that recurs: the item, or the title after the name
-    d = d.withColumn("__part", F.when(F.col("__class") == "list", F.trim("__last")).when(F.col("__class") == "signature", F.trim(F.substring_index("__last", ",", -1))))
-    known = d.filter("__part IS NOT NULL").groupBy("__part").agg(F.count("*").alias("__support"))
-    d = _left_join(d, known, "__part")
-    recurs = F.col("__support") >= CLOSING_SUPPORT
-    # a number and a full stop end a sentence if they do so inside texts, and are a cut decimal if they go on there
+    d = d.withColumn("__hash", F.xxhash64("__t"))
+    d = d.withColumn("__part", F.when(F.col("__class") == "list", _part("list", F.col("__last"))).when(F.col("__class") == "signature", _part("signature", F.col("__last"))))
     d = d.withColumn("__number", F.when(F.col("__class") == "unclear", F.regexp_replace(F.regexp_extract("__end", NUMBER_END + "$", 1), r"\d+", "#")))
-    d = _left_join(d, _number_endings(d.withColumn("__hash", F.xxhash64("__t"))), "__number")
-    ending = F.when(F.col("__part").isNotNull(), F.when(recurs, "closed").otherwise("unclear")).when(F.col("__number").isNotNull(), F.coalesce("__as_number", F.lit("unclear"))).otherwise(F.col("__class"))
-    d = d.withColumn("ending", ending)
+    texts = d.select("__t", "__hash")
     measured = d.select("__src", F.explode(F.array(F.struct(F.lit("chars").alias("m"), F.col("__chars").alias("l")), F.struct(F.lit("bytes").alias("m"), F.col("__bytes").alias("l")))).alias("x")).select(
         F.concat_ws("\u0001", "x.m", "__src").alias("key"), F.col("x.l").alias("l")
     )
@@ -167,6 +187,11 @@ def find_truncated(documents: DataFrame, text: str, source: str, alpha: float =
             d = d.withColumn(f"__b{m}{w}", F.floor(F.col(f"__{m}") / w)).join(side, ["__src", f"__b{m}{w}"], "left")
     flags = [F.coalesce(f"__{m}{w}", F.lit(False)) for m in ("chars", "bytes") for w in BLOCKS]
     d = d.withColumn("at_limit", flags[0] | flags[1] | flags[2] | flags[3])
+    d = _left_join(d, _closing_parts(texts, d.filter("__part IS NOT NULL")), "__part")
+    # a number and a full stop end a sentence if they do so inside texts, and are a cut decimal if they go on there
+    d = _left_join(d, _number_endings(texts, d.select("__number")), "__number")
+    ending = F.when(F.col("__part").isNotNull(), F.when(F.col("__whole"), "closed").otherwise("unclear")).when(F.col("__number").isNotNull(), F.coalesce("__as_number", F.lit("unclear"))).otherwise(F.col("__class"))
+    d = d.withColumn("ending", ending)
     d = d.withColumn("truncated", (F.col("ending") == "open") | ((F.col("ending") == "unclear") & F.col("at_limit")))
     return d.select(*[F.col(f"`{c}`") for c in documents.columns if c not in ("ending", "at_limit", "truncated")], "ending", "at_limit", "truncated")
 
