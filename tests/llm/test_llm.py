@@ -55,6 +55,21 @@ def test_split_texts_edges(spark):
     assert got == [("b", 1, 0, None), ("c", 1, 12, 7), ("c", 1, 12, 7)]
 
 
+def test_a_long_sentence_or_word_leaves_other_cuts_at_coarser_ends():
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(80)]
+    prose = "\n\n".join(sentences(rng, 4, vocabulary) for _ in range(12))
+    for long in (" ".join(rng.choice(vocabulary) for _ in range(400)), "x" * 1500):
+        text = prose + "\n\n" + long + ". " + sentences(rng, 4, vocabulary) + "\n\n" + prose
+        ends = {x for u in units(text, "paragraph") for x in u}
+        a, b = text.index(long), text.index(long) + len(long)
+        level, pieces = cut(text, 1000, 100)
+        assert level == ("word" if " " in long else "none")
+        outside = [(end, kind) for _, end, kind in pieces[:-1] if not a - 1000 < end < b + 1000]
+        assert outside and all(end in ends and kind == "paragraph" for end, kind in outside)
+        assert {kind for _, end, kind in pieces if a < end < b} == {"word" if " " in long else "none"}
+
+
 # --- 8
 
 

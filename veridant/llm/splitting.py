@@ -1,9 +1,9 @@
 """Oversized texts cut into overlapping pieces at lexical-cohesion valleys.
 
-A text is divided into paragraphs, sentences and words. The coarsest kind of unit of which
-every one fits a piece next to the overlap gives the places for cuts. At each place the
+A text is divided into paragraphs; one that does not fit a piece next to the overlap is divided
+into sentences, and such a sentence into words. Their ends are the places for cuts. At each place the
 words before and after it, in blocks, are compared; valleys of the similarity mark changes
-of topic, and in each window of sizes the deepest valley is cut. Each piece then starts
+of topic, and in each window of sizes the deepest valley among the coarsest places is cut. Each piece then starts
 `overlap` characters before the cut.
 
 Scale: a text is one row and is cut where it is read, without a shuffle. Work is linear in its
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 LEVELS = ("paragraph", "sentence", "word")
 _BLANK = re.compile(r"\n\s*\n")
 _AFTER_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_BLANKS = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W_]+")
 #: Words in each of the two blocks that are compared.
 BLOCK_WORDS = 60
@@ -47,7 +48,7 @@ def units(text: str, level: str) -> list[tuple[int, int]]:
     paragraphs = _between(text, 0, len(text), _BLANK)
     if level == "paragraph":
         return paragraphs
-    separator = _AFTER_SENTENCE if level == "sentence" else re.compile(r"\s+")
+    separator = _AFTER_SENTENCE if level == "sentence" else _BLANKS
     return [u for a, b in paragraphs for u in _between(text, a, b, separator)]
 
 
@@ -61,6 +62,18 @@ def coarsest_boundary(text: str, most: int) -> tuple[str, list[tuple[int, int]]]
     return "none", found
 
 
+def cut_places(text: str, most: int) -> dict[int, str]:
+    """Level of each offset at which the text can be cut, in order; finer units only inside a unit of over `most` characters."""
+    places: dict[int, str] = {}
+    found = units(text, "paragraph")
+    for level, separator in zip(LEVELS, (_AFTER_SENTENCE, _BLANKS, None), strict=True):
+        for x in (x for u in found for x in u if 0 < x < len(text)):
+            places.setdefault(x, level)
+        if separator:
+            found = [u for a, b in found if b - a > most for u in _between(text, a, b, separator)]
+    return dict(sorted(places.items()))
+
+
 def valley_depths(text: str, places: list[int]) -> list[float]:
     """Depth of the similarity valley at each place: how far it lies below the peaks on both sides."""
     words = [(m.start(), m.group().lower()) for m in _WORD.finditer(text)]
@@ -87,14 +100,15 @@ def cut(text: str, limit: int, overlap: int, least: float = 0.5) -> tuple[str, l
     """(coarsest boundary, pieces as (start, end, boundary at the end)); offsets are code points.
 
     Pieces have at most `limit` characters and each but the first starts exactly `overlap`
-    characters before the end of the one before. A text within the limit is one piece. Where not even words fit, words
-    are cut at the limit.
+    characters before the end of the one before. A text within the limit is one piece. A word that
+    does not fit is cut at the limit.
     """
     reach = limit - overlap
-    level, found = coarsest_boundary(text, reach)
+    level, _ = coarsest_boundary(text, reach)
     if len(text) <= limit:
         return level, [(0, len(text), "end")]
-    places = sorted({x for a, b in found for x in (a, b) if 0 < x < len(text)})
+    levels = cut_places(text, reach)
+    places, rank = list(levels), [LEVELS.index(k) for k in levels.values()]
     depth = valley_depths(text, places)
     pieces, start, done, i = [], 0, 0, 0
     while len(text) - start > limit:
@@ -105,11 +119,11 @@ def cut(text: str, limit: int, overlap: int, least: float = 0.5) -> tuple[str, l
         best, last = None, None
         while j < len(places) and places[j] <= end:
             last = j
-            if places[j] >= done + least * (end - done) and (best is None or depth[j] >= depth[best]):
+            if places[j] >= done + least * (end - done) and (best is None or (-rank[j], depth[j]) >= (-rank[best], depth[best])):
                 best = j
             j += 1
         chosen = best if best is not None else last
-        at, kind = (places[chosen], "word" if level == "none" else level) if chosen is not None else (end, "none")
+        at, kind = (places[chosen], levels[places[chosen]]) if chosen is not None else (end, "none")
         if at <= overlap:
             at, kind = end, "none"
         pieces.append((start, at, kind))
