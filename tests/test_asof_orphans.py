@@ -69,3 +69,18 @@ def test_signed_counts_continue(spark):
     assert [r.key for r in current_orphans(state).collect()] == ["a"]
     later = signed_counts(spark.createDataFrame([("a", -2)], "key string, delta int"), spark.createDataFrame([("b", -1)], "key string, delta int"), state)
     assert [r.key for r in current_orphans(later).collect()] == ["b"]
+
+
+def test_current_orphans_of_the_tables(spark, data_dir):
+    from tests.compare import assert_same, connect
+    from veridant.plans import registry
+
+    key = "nullif(lower(regexp_replace({}, '^[ \\t]+|[ \\t]+$', '', 'g')), '')"
+    sql = f"""WITH e AS (SELECT * FROM global_edge_spine QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY loaded_at) = 1),
+    p AS (SELECT * FROM chart_series_points QUALIFY row_number() OVER (PARTITION BY series_key, period ORDER BY loaded_at) = 1),
+    r AS (SELECT {key.format("o")} AS "key" FROM (SELECT from_object_id o FROM e UNION ALL SELECT to_object_id FROM e UNION ALL SELECT object_id FROM p)),
+    l AS (SELECT {key.format("object_id")} AS "key", max_by(coalesce(lower(trim(quality_status)) IN ('deleted', 'tombstoned', 'removed'), false), loaded_at) gone FROM global_object_locator GROUP BY 1)
+    SELECT "key", count(*) reference_count, 0 existence_count FROM r LEFT JOIN l USING ("key") WHERE "key" IS NOT NULL AND coalesce(gone, true) GROUP BY 1"""
+    df = registry.queries()["p5_current"](spark, data_dir)
+    assert df.count() > 0
+    assert_same(df, connect(data_dir), sql)

@@ -152,6 +152,13 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(p5_orphans(spark, sf_dir, ("period",)))
 
 
+def p5_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that records refer to and that do not exist after all deliveries, with their signed counts."""
+    references = _references(spark, sf_dir).select("key", F.lit(1).alias("delta"))
+    last = _objects(spark, sf_dir).filter("key IS NOT NULL AND at IS NOT NULL").groupBy("key").agg(F.max(F.struct("at", (~F.col("removed")).cast("int").alias("present"))).alias("s"))
+    return current_orphans(signed_counts(references, last.select("key", F.col("s.present").alias("delta"))))
+
+
 # --- 6: one UTC instant for every written time
 
 
@@ -177,4 +184,4 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.filter(~plain).select("table_name", "record_id", "utc_time").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_grid": p2_grid, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_grid": p2_grid, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p5_current": p5_current, "p6_found": p6_found}
