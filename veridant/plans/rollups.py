@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -157,18 +159,25 @@ def change_events(spark, d):
     return e.distinct().drop("h")
 
 
+def _run(n: int, i):
+    """The n words of `ts` from place i."""
+    return F.array_join(F.slice("ts", i, F.lit(n)), " ")
+
+
 @query(
     """WITH a AS (SELECT DISTINCT lower(company_name) alias, ticker FROM global_object_locator WHERE company_name IS NOT NULL), w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') ts FROM documents),
     g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1])) alias FROM w) SELECT a.ticker, a.alias, count(DISTINCT doc_id) documents FROM g JOIN a USING (alias) GROUP BY 1, 2"""
 )
 def company_mentions(spark, d):
-    """Documents that name a company, by word pairs against the names."""
+    """Documents that name a company, by runs of as many words as a name has; case and what stands between words are ignored."""
     a = _t(spark, d, "global_object_locator").filter("company_name IS NOT NULL").select(F.lower("company_name").alias("alias"), "ticker").distinct()
-    names = small_side(a, a.count(), 100)
+    a = a.withColumn("ws", textsearch.tokens(F.col("alias"))).select("alias", "ticker", F.array_join("ws", " ").alias("name"), F.size("ws").alias("n")).filter("n > 0")
+    lengths = {r.n: r.rows for r in a.groupBy("n").agg(F.count("*").alias("rows")).collect()}
+    names = small_side(a.drop("n"), sum(lengths.values()), 100)
     ts = textsearch.tokens(F.col("text"))
-    pairs = F.array_distinct(F.zip_with(F.slice("ts", 1, F.greatest(F.size("ts") - 1, F.lit(0))), F.slice("ts", 2, F.greatest(F.size("ts") - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y)))
-    g = _t(spark, d, "documents").select("doc_id", ts.alias("ts")).select("doc_id", F.explode(pairs).alias("alias"))
-    return g.join(names, "alias").groupBy("ticker", "alias").agg(F.countDistinct("doc_id").alias("documents"))
+    runs = [F.when(F.size("ts") >= n, F.transform(F.sequence(F.lit(1), F.size("ts") - n + 1), partial(_run, n))).otherwise(F.array().cast("array<string>")) for n in sorted(lengths)]
+    g = _t(spark, d, "documents").select("doc_id", ts.alias("ts")).select("doc_id", F.explode(F.array_distinct(F.concat(*runs) if runs else F.array().cast("array<string>"))).alias("name"))
+    return g.join(names, "name").groupBy("ticker", "alias").agg(F.countDistinct("doc_id").alias("documents"))
 
 
 @query(
