@@ -196,3 +196,12 @@ def test_a_list_item_cut_at_a_limit_is_no_closing_line_however_often_it_recurs(s
     found = find_truncated(spark.createDataFrame(rows + cut_, "text string, source string"), "text", "source")
     assert {r.text for r in found.filter("truncated").collect()} == {t for t, _ in cut_}
     assert {r.ending for r in found.filter(F.col("text").endswith(whole) | F.col("text").endswith(title)).collect()} == {"closed"}
+
+
+def test_long_closing_lines_are_cut_at_significant_lengths_only(spark):
+    rng = random.Random(17)
+    line = lambda n: "It ended.\nSource: " + "".join(rng.choice("abcdefgh ") for _ in range(n)) + "z"
+    free, limit = [(line(n), "a") for n in range(450, 2500, 41)], [(line(1200), "b") for _ in range(60)]
+    other = [("Lead. " + "x" * rng.randrange(50, 2500) + ".", "b") for _ in range(400)]
+    found = find_truncated(spark.createDataFrame(free + limit + other, "text string, source string"), "text", "source")
+    assert {r.text for r in found.filter("truncated").collect()} == {t for t, _ in limit}

@@ -98,7 +98,7 @@ def _ending(t: str, tail: str, last: str, prior: str) -> Column:
         .when(E.rlike(r"[0-9]\.$"), F.when(E.rlike(LABEL_NUMBER), "closed").otherwise("unclear"))
         .when(E.rlike(r"[.!?。！？]$"), "closed")
         .when(E.rlike(r"""[.!?]["”]? \([\p{L} ]+\)$"""), "closed")
-        .when((F.length(L) <= TAIL) & F.lower(L).rlike(CLOSING), "closed")
+        .when(F.lower(L).rlike(CLOSING), F.when(F.length(L) <= TAIL, "closed").otherwise("unclear"))
         .when(L.rlike(r"^(/s/|—|–|--) ?\S"), F.when(L.contains(","), "signature").otherwise("closed"))
         .when(L.rlike(r"^([-*•]|\d+[.)]) "), "list")
         .when(~T.contains("\n") & (F.length(T) <= HEADLINE) & ~T.rlike(r"[.!?] "), "closed")
@@ -162,7 +162,7 @@ def find_truncated(documents: DataFrame, text: str, source: str, alpha: float =
 
     ending: none (null or empty text), closed, open or unclear; at_limit: the length, in characters or
     bytes, is significant for the source; truncated: the ending is open, or unclear at a
-    significant length. Every row comes out once; columns of the added names are replaced.
+    significant length. A closing line of over TAIL characters is unclear. Every row comes out once; columns of the added names are replaced.
     """
     d = documents.drop("ending", "at_limit", "truncated")
     trimmed = F.rtrim(F.coalesce(F.col(text), F.lit("")), F.lit(BLANKS))
