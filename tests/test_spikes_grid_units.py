@@ -100,7 +100,7 @@ def test_alias_index_meanings():
     ix = AliasIndex()
     want = {"US$ thousands": ("usd", 3), "$ in billions": ("usd", 9), "INR crore": ("inr", 7), "mn shs": ("shares", 6), "employees (k)": ("employees", 3), "USD (000s)": ("usd", 3), "fraction": ("percent", 2), "basis points": ("percent", -2), "kWh": ("energy", -3), "EUR milions": ("eur", 6), "thosand shares": ("shares", 3), "Perecnt": ("percent", 0)}
     assert {k: ix.meaning(k)[:2] for k in want} == want
-    assert ix.meaning("") == (None, None, False)
+    assert ix.meaning("") == (None, None, False, None)
     assert ix.meaning("zorkmids")[2] is False
     assert weighted_distance("million", "milion") < weighted_distance("million", "billion")
 

@@ -1,12 +1,12 @@
 """Quantities in different units and scales to common ones, through an alias dictionary.
 
 Distinct unit spellings, and distinct patterns of formatted values with the number taken
-out, are split into atoms (`USD (000s)`: usd, 000s). Each atom is looked up in a vocabulary
-of unit and magnitude words: exact first, else candidates from a character bigram inverted
-index are verified by a weighted edit distance. The resulting dictionary
+out, are split into atoms (`USD (000s)`: usd, 000). Currency codes, signs and magnitude letters are read exactly; any
+word is sought among the unit and magnitude names, of which there is one for each unit: candidates from a character
+bigram inverted index are verified by a weighted edit distance, in which abbreviations, plurals and slips are near. The resulting dictionary
 (spelling, dimension, power of ten to the common unit) is joined to all rows.
 
-Scale: only distinct spellings reach Python; rows meet the dictionary in an equi-join, and
+Scale: only distinct spellings reach Python; the dictionary is written once, counted, and broadcast if it is small;
 everything per row is a Catalyst expression.
 """
 
@@ -19,119 +19,115 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Unit words by dimension, with the power of ten to the common unit of the dimension.
-UNIT_WORDS: dict[tuple[str, int], tuple[str, ...]] = {
-    ("usd", 0): ("usd", "us$", "$", "dollar", "dollars"),
-    ("eur", 0): ("eur", "€", "euro", "euros"),
-    ("inr", 0): ("inr", "₹", "rs", "rupee", "rupees"),
-    ("jpy", 0): ("jpy", "¥", "yen"),
-    ("gbp", 0): ("gbp", "£", "sterling"),
-    ("chf", 0): ("chf", "francs"),
-    ("cny", 0): ("cny", "rmb", "yuan"),
-    ("cad", 0): ("cad", "c$"),
-    ("aud", 0): ("aud", "a$"),
-    ("shares", 0): ("share", "shares", "shs"),
-    ("percent", 0): ("percent", "%", "pct", "percentage"),
-    ("percent", -2): ("bps", "bp", "basispoint", "basispoints"),
-    ("percent", 2): ("fraction", "ratio", "decimal"),
-    ("energy", -6): ("wh", "watthours"),
-    ("energy", -3): ("kwh", "kilowatthours"),
-    ("energy", 0): ("mwh", "megawatthours"),
-    ("energy", 3): ("gwh", "gigawatthours"),
-    ("energy", 6): ("twh", "terawatthours"),
-    ("employees", 0): ("employee", "employees", "headcount", "fte", "ftes", "staff", "persons", "people"),
-}
-# Magnitude words and their powers of ten.
-MAGNITUDE_WORDS: dict[int, tuple[str, ...]] = {
-    2: ("hundred", "hundreds"),
-    3: ("thousand", "thousands", "k", "000", "000s", "'000", "'000s", "tsd", "ths", "th"),
-    5: ("lakh", "lakhs", "lac"),
-    6: ("million", "millions", "m", "mm", "mn", "mln", "mio"),
-    7: ("crore", "crores", "cr"),
-    9: ("billion", "billions", "b", "bn", "bln", "bil"),
-    12: ("trillion", "trillions", "t", "tn", "trn"),
-}
-#: Words that say nothing about the unit.
-FILLER_WORDS = ("in", "of", "the", "per", "and", "us", "total", "number")
-
-#: Atoms of up to this many characters must match exactly.
-EXACT_LENGTH = 3
-#: Largest weighted edit distance, per character of the longer word.
-MAX_DISTANCE = 0.25
-
-
-def _vocabulary() -> dict[str, tuple[str, str, int]]:
-    words = {w: ("unit", d, e) for (d, e), ws in UNIT_WORDS.items() for w in ws}
-    words |= {w: ("magnitude", "", e) for e, ws in MAGNITUDE_WORDS.items() for w in ws}
-    return words | dict.fromkeys(FILLER_WORDS, ("filler", "", 0))
+from veridant.session import cut_lineage, small_side
+
+# Currency codes and signs, and other signs, with dimension and power of ten to its common unit.
+SYMBOLS: dict[str, tuple[str, int]] = {
+    "usd": ("usd", 0), "us$": ("usd", 0), "$": ("usd", 0), "eur": ("eur", 0), "€": ("eur", 0), "inr": ("inr", 0), "₹": ("inr", 0), "jpy": ("jpy", 0), "¥": ("jpy", 0),
+    "gbp": ("gbp", 0), "£": ("gbp", 0), "chf": ("chf", 0), "cny": ("cny", 0), "cad": ("cad", 0), "c$": ("cad", 0), "aud": ("aud", 0), "a$": ("aud", 0), "%": ("percent", 0),
+}
+# Magnitude letters and digits with their powers of ten.
+MAGNITUDES: dict[str, int] = {"k": 3, "000": 3, "m": 6, "mm": 6, "b": 9, "t": 12}
+# Prefixes of watt hours and their powers of ten to MWh.
+WATT_HOURS: dict[str, int] = {"wh": -6, "kwh": -3, "mwh": 0, "gwh": 3, "twh": 6}
+# Unit names, one for each unit, in full and singular; their other forms are found by the index.
+UNIT_NAMES: dict[str, tuple[str, int]] = {
+    "dollar": ("usd", 0), "euro": ("eur", 0), "rupee": ("inr", 0), "yen": ("jpy", 0), "sterling": ("gbp", 0), "franc": ("chf", 0), "yuan": ("cny", 0), "share": ("shares", 0),
+    "percent": ("percent", 0), "percentage": ("percent", 0), "basispoint": ("percent", -2), "fraction": ("percent", 2), "ratio": ("percent", 2), "decimal": ("percent", 2),
+    "watthour": ("energy", -6), "kilowatthour": ("energy", -3), "megawatthour": ("energy", 0), "gigawatthour": ("energy", 3), "terawatthour": ("energy", 6),
+    "employee": ("employees", 0), "headcount": ("employees", 0), "staff": ("employees", 0), "person": ("employees", 0), "people": ("employees", 0),
+}
+# Magnitude names and their powers of ten.
+MAGNITUDE_NAMES: dict[str, int] = {"hundred": 2, "thousand": 3, "tausend": 3, "lakh": 5, "million": 6, "crore": 7, "billion": 9, "trillion": 12}
+# Words that say nothing about the unit.
+FILLER_WORDS = ("in", "of", "the", "per", "and", "us", "total", "number", "at", "to", "a")
+
+#: Largest weighted distance per letter of the name, and how much further any other meaning must be.
+MAX_DISTANCE, MARGIN = 0.2, 0.004
+#: Cost of what abbreviations leave out of a name: vowels and doubled letters, other letters; and of a plural ending.
+LEFT_OUT_VOWEL, LEFT_OUT, PLURAL = 0.1, 0.2, 0.1
 
 
 def bigrams(word: str) -> set[str]:
     return {f"^{word}$"[i : i + 2] for i in range(len(word) + 1)}
 
 
-def weighted_distance(a: str, b: str) -> float:
-    """Edit distance with cheap vowels, doubled letters, plural endings and swaps of neighbours."""
-    cost = lambda s, i: 0.5 if s[i] in "aeiouy" or (i and s[i] == s[i - 1]) or (s[i] == "s" and i == len(s) - 1) else 1.0
-    rows = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a)):
-        rows[i + 1][0] = rows[i][0] + cost(a, i)
-    for j in range(len(b)):
-        rows[0][j + 1] = rows[0][j] + cost(b, j)
-    for i in range(len(a)):
-        for j in range(len(b)):
-            same = 0.0 if a[i] == b[j] else 0.7 if a[i] in "aeiouy" and b[j] in "aeiouy" else 1.0
-            best = min(rows[i][j] + same, rows[i][j + 1] + cost(a, i), rows[i + 1][j] + cost(b, j))
-            if i and j and a[i] == b[j - 1] and a[i - 1] == b[j]:
+def weighted_distance(spelling: str, name: str) -> float:
+    """Cost of writing `name` as `spelling`: letters left out are cheap, swaps of neighbours dearer, other letters dearest.
+
+    A letter of the name that stands beside its like, or is a vowel, costs LEFT_OUT_VOWEL to leave out, others LEFT_OUT;
+    a letter doubled or a vowel put in costs half, an s at the end PLURAL, any other letter put in or replaced 1.
+    """
+    vowel = "aeiouy"
+    out = [LEFT_OUT_VOWEL if c in vowel or (i and name[i - 1] == c) else LEFT_OUT for i, c in enumerate(name)]
+    put = [PLURAL if c in "s'" and i == len(spelling) - 1 else 0.5 if c in vowel or (i and spelling[i - 1] == c) else 1.0 for i, c in enumerate(spelling)]
+    rows = [[0.0] * (len(name) + 1) for _ in range(len(spelling) + 1)]
+    for i in range(len(spelling)):
+        rows[i + 1][0] = rows[i][0] + put[i]
+    for j in range(len(name)):
+        rows[0][j + 1] = rows[0][j] + out[j]
+    for i in range(len(spelling)):
+        for j in range(len(name)):
+            a, b = spelling[i], name[j]
+            best = min(rows[i][j] + (0.0 if a == b else 0.7 if a in vowel and b in vowel else 1.0), rows[i][j + 1] + put[i], rows[i + 1][j] + out[j])
+            if i and j and a == name[j - 1] and spelling[i - 1] == b:
                 best = min(best, rows[i - 1][j - 1] + 0.6)
             rows[i + 1][j + 1] = best
     return rows[-1][-1]
 
 
 class AliasIndex:
-    """Character bigram inverted index over the vocabulary of unit words."""
+    """Character bigram inverted index over the unit and magnitude names; signs and letters are read exactly."""
 
     def __init__(self) -> None:
-        self.words = _vocabulary()
+        self.exact = {k: ("unit", d, e) for k, (d, e) in SYMBOLS.items()} | {k: ("unit", "energy", e) for k, e in WATT_HOURS.items()} | {k: ("magnitude", "", e) for k, e in MAGNITUDES.items()}
+        self.names = {k: ("unit", d, e) for k, (d, e) in UNIT_NAMES.items()} | {k: ("magnitude", "", e) for k, e in MAGNITUDE_NAMES.items()}
         self.postings: dict[str, list[str]] = {}
-        for w in sorted(self.words):
+        for w in sorted(self.names):
             for g in bigrams(w):
                 self.postings.setdefault(g, []).append(w)
 
-    def lookup(self, atom: str) -> tuple[str, str, int] | None:
-        if atom in self.words or len(atom) <= EXACT_LENGTH:
-            return self.words.get(atom)
-        shared: dict[str, int] = {}
-        for g in bigrams(atom):
-            for w in self.postings.get(g, ()):
-                shared[w] = shared.get(w, 0) + 1
-        # one edit destroys two bigrams, so a word within the distance shares the rest
-        near = [w for w, n in shared.items() if len(w) > EXACT_LENGTH and n >= max(len(w), len(atom)) + 1 - 4 * max(1, MAX_DISTANCE * max(len(w), len(atom)))]
-        scored = sorted((weighted_distance(atom, w) / max(len(w), len(atom)), w) for w in near)
-        return self.words[scored[0][1]] if scored and scored[0][0] <= MAX_DISTANCE else None
-
-    def meaning(self, spelling: str) -> tuple[str | None, int | None, bool]:
-        """(dimension, power of ten, says something) of a unit spelling; unknown atoms say nothing."""
+    def lookup(self, atom: str) -> tuple[str, str, int, str] | None:
+        """(kind, dimension, power, how) of one atom; how is sign or index. Null if no name, or more than one meaning, is near."""
+        if atom in self.exact:
+            return *self.exact[atom], "sign"
+        if atom in FILLER_WORDS or len(atom) < 2:
+            return None
+        near = {w for g in bigrams(atom) for w in self.postings.get(g, ()) if w[0] == atom[0]}
+        scored = sorted((weighted_distance(atom, w) / len(w), w) for w in near)
+        if not scored or scored[0][0] > MAX_DISTANCE:
+            return None
+        best = self.names[scored[0][1]]
+        if any(d - scored[0][0] < MARGIN and self.names[w] != best for d, w in scored[1:]):
+            return None
+        return *best, "index"
+
+    def meaning(self, spelling: str) -> tuple[str | None, int | None, bool, str | None]:
+        """(dimension, power of ten, says something, how) of a unit spelling; unknown atoms say nothing.
+
+        how is index if any atom was found by the index, else sign.
+        """
         text = spelling.lower().replace("basis point", "basispoint")
         text = re.sub(r"(kilo|mega|giga|tera)?watt[ -]?hour", lambda m: m.group(0).replace(" ", "").replace("-", ""), text)
-        atoms = re.findall(r"us\$|[ac]\$|[$€₹¥£%]|'?000s?|[^\W\d_]+", text)
-        dimension, power, said = None, 0, False
+        atoms = re.findall(r"us\$|[ac]\$|[$€₹¥£%]|'?000(?=s?\b)|[^\W\d_]+", text)
+        dimension, power, ways = None, 0, set()
         for atom in atoms:
-            found = self.lookup(atom)
-            if found is None or found[0] == "filler":
+            found = self.lookup(atom.lstrip("'"))
+            if found is None:
                 continue
-            said = True
+            ways.add(found[3])
             power += found[2]
             if found[0] == "unit" and dimension is None:
                 dimension = found[1]
-        return dimension, power if said else None, said
+        return dimension, power if ways else None, bool(ways), min(ways) if ways else None
 
 
 def unit_aliases(spellings: DataFrame, column: str) -> DataFrame:
-    """Dictionary (spelling, dimension, power, named) of the distinct non-null spellings.
+    """Dictionary (spelling, dimension, power, named, found_by) of the distinct non-null spellings.
 
     power is the power of ten from the spelled unit to the common one; named is false, and
-    power null, for a spelling that names no unit, magnitude or currency.
+    power null, for a spelling that names no unit, magnitude or currency. found_by is index if the
+    bigram index and the edit distance gave any part of the meaning, sign if signs and letters alone did.
     """
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,13 +135,15 @@ def unit_aliases(spellings: DataFrame, column: str) -> DataFrame:
         for pdf in batches:
             found = [index.meaning(s) for s in pdf["spelling"]]
             yield pd.DataFrame(
-                {"spelling": pdf["spelling"], "dimension": [f[0] for f in found], "power": pd.array([f[1] for f in found], dtype="Int32"), "named": [f[2] for f in found]}
+                {"spelling": pdf["spelling"], "dimension": [f[0] for f in found], "power": pd.array([f[1] for f in found], dtype="Int32"), "named": [f[2] for f in found], "found_by": [f[3] for f in found]}
             )
 
     distinct = spellings.select(F.col(column).alias("spelling")).filter("spelling IS NOT NULL").distinct()
-    return distinct.mapInPandas(resolve, "spelling string, dimension string, power int, named boolean")
+    return distinct.mapInPandas(resolve, "spelling string, dimension string, power int, named boolean, found_by string")
 
 
+#: Bytes of a row of the alias dictionary, for the check before a broadcast.
+ALIAS_ROW = 200
 #: A number as written: digits with thousands commas, a decimal part, an exponent.
 NUMBER = r"(\d[\d,]*(?:\.\d+)?(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)"
 
@@ -161,7 +159,7 @@ def written_pattern(text: Column) -> Column:
 
 
 def to_common_units(points: DataFrame, value: str, formatted: str, unit: str) -> DataFrame:
-    """`points` with exp10 (int), common_value, unit_dimension and unit_evidence.
+    """`points` with exp10 (int), common_value, unit_dimension, unit_evidence and unit_found_by.
 
     value x 10^exp10 is the value in the common unit. If the formatted text names a unit, a
     magnitude or a currency, it states the true quantity (rounded) and exp10 is the power of
@@ -169,11 +167,12 @@ def to_common_units(points: DataFrame, value: str, formatted: str, unit: str) ->
     column decides; if it is silent too, exp10 is null and evidence `none`. A null value has
     null exp10. Rows are neither added nor dropped; columns of the added names are replaced.
     """
-    points = points.drop("exp10", "common_value", "unit_dimension", "unit_evidence")
+    points = points.drop("exp10", "common_value", "unit_dimension", "unit_evidence", "unit_found_by")
     p = points.withColumns({"__pattern": written_pattern(F.col(formatted)), "__number": written_number(F.col(formatted))})
     spelled = p.select(F.explode(F.array("__pattern", unit)).alias("__s"))
-    aliases = unit_aliases(spelled, "__s")
-    a = lambda prefix: aliases.select(F.col("spelling").alias(f"__{prefix}_s"), F.col("dimension").alias(f"__{prefix}_d"), F.col("power").alias(f"__{prefix}_p"), F.col("named").alias(f"__{prefix}_n"))
+    aliases = cut_lineage(unit_aliases(spelled, "__s"))
+    aliases = small_side(aliases, aliases.count(), ALIAS_ROW)
+    a = lambda prefix: aliases.select(F.col("spelling").alias(f"__{prefix}_s"), F.col("dimension").alias(f"__{prefix}_d"), F.col("power").alias(f"__{prefix}_p"), F.col("named").alias(f"__{prefix}_n"), F.col("found_by").alias(f"__{prefix}_by"))
     p = p.join(a("f"), F.col("__pattern") == F.col("__f_s"), "left").join(a("u"), F.col(unit) == F.col("__u_s"), "left")
     v = F.abs(F.col(value).cast("double"))
     true = F.col("__number") * F.pow(F.lit(10.0), F.col("__f_p"))
@@ -181,6 +180,6 @@ def to_common_units(points: DataFrame, value: str, formatted: str, unit: str) ->
     from_text = F.when(states, F.round(F.log10(true / v)).cast("int"))
     evidence = F.when(F.col(value).isNull(), "none").when(states, "text").when(F.col("__u_n"), "unit").otherwise("none")
     exp10 = F.when(F.col(value).isNotNull(), F.coalesce(from_text, F.when(F.col("__u_n"), F.col("__u_p"))))
-    p = p.withColumns({"exp10": exp10, "unit_evidence": evidence, "unit_dimension": F.when(states, F.coalesce("__f_d", "__u_d")).otherwise(F.col("__u_d"))})
+    p = p.withColumns({"exp10": exp10, "unit_evidence": evidence, "unit_dimension": F.when(states, F.coalesce("__f_d", "__u_d")).otherwise(F.col("__u_d")), "unit_found_by": F.when(states, F.col("__f_by")).otherwise(F.col("__u_by"))})
     p = p.withColumn("common_value", F.col(value) * F.pow(F.lit(10.0), F.col("exp10")))
-    return p.select(*[F.col(f"`{c}`") for c in points.columns], "exp10", "common_value", "unit_dimension", "unit_evidence")
+    return p.select(*[F.col(f"`{c}`") for c in points.columns], "exp10", "common_value", "unit_dimension", "unit_evidence", "unit_found_by")

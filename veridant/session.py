@@ -35,15 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it from there.
+    """Write `df` to the shared checkpoint folder, in a job of its own, and read it from there.
 
-    The folder is spark.checkpoint.dir of the session; only where that is unset (tests on
-    one machine) a temporary folder of this machine is taken.
+    For what several branches of a plan use, and what must survive the loss of executors. The folder is
+    spark.checkpoint.dir of the session; only a session on one machine without it takes a temporary folder,
+    any other raises.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "veridant-checkpoint"))
     return df.checkpoint(eager=True)
 
