@@ -3,7 +3,8 @@
 A reading is doubtful if it is impossible for its quantity, if it leaves for one or two
 readings the level that its neighbours hold before and after it, or if it stands still over
 many delivered periods of a source that otherwise moves. Levels are rolling medians of the
-periods before and after; the usual change of a source is a median absolute deviation,
+periods before and after; candidates lie beyond HAMPEL rolling median absolute deviations of the middle of
+both, and the stated limit of the quantity settles them. The usual change of a source is a median absolute deviation,
 refined to the standard deviation of the changes within it.
 
 Scale: rows are first reduced to distinct (source, period, value), with map-side combination. A
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Periods on each side whose median is the level there, and the fewest that make one.
 REACH, LEAST = 5, 2
+#: Median absolute deviations, scaled to standard deviations, beyond which a reading is a candidate.
+HAMPEL = 3.0
 #: Most readings in a row that can be a spike; more are a lasting change of level.
 LONGEST_SPIKE = 2
 #: Successive delivered periods with one value that make it stuck.
@@ -96,6 +99,30 @@ def _leaves(x: np.ndarray, at: np.ndarray, kind: str, change: float) -> np.ndarr
         return np.abs(x - at) > limit * change if change > 0 else np.zeros(len(x), bool)
 
 
+def hampel_band(level: np.ndarray, before: np.ndarray, after: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Middle and spread at each period: the mean of the rolling medians on both sides, and the rolling median absolute deviation from it.
+
+    The spread is that of the REACH periods on each side, or of the whole source where that is less, so that a
+    lasting jump nearby hides nothing. Volumes are compared by their logarithms.
+    """
+    x, low, high = (np.log(np.maximum(v, 1e-9)) if kind == "volume" else v for v in (level, before, after))
+    middle = np.where(np.isfinite(low) & np.isfinite(high), (low + high) / 2, np.where(np.isfinite(low), low, high))
+    off = np.abs(x - middle)
+    overall = np.nanmedian(off) if np.isfinite(off).any() else 0.0
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(off, REACH, constant_values=np.nan), 2 * REACH + 1)
+    spread = np.full(len(off), overall)
+    some = np.isfinite(windows).any(axis=1)
+    if some.any():
+        spread[some] = np.minimum(np.nanmedian(windows[some], axis=1), overall)
+    return middle, 1.4826 * spread
+
+
+def _outside(x: np.ndarray, middle: np.ndarray, spread: np.ndarray, kind: str) -> np.ndarray:
+    """Readings beyond HAMPEL spreads from the middle."""
+    v = np.log(np.maximum(x, 1e-9)) if kind == "volume" else x
+    return np.abs(v - middle) > HAMPEL * spread
+
+
 def judge_source(period: np.ndarray, value: np.ndarray, kind: str) -> np.ndarray:
     """Reason (`impossible`, `spike`, `stuck` or empty) of each distinct reading of a source.
 
@@ -117,19 +144,23 @@ def judge_source(period: np.ndarray, value: np.ndarray, kind: str) -> np.ndarray
     dense = level[held]
     change = usual_change(dense)
     before, after = _side_medians(dense)
-    out = _leaves(dense, before, kind, change) & _leaves(dense, after, kind, change)
+    middle, spread = hampel_band(dense, before, after, kind)
+    out = _outside(dense, middle, spread, kind) & _leaves(dense, before, kind, change) & _leaves(dense, after, kind, change)
     # spikes are taken out of their neighbours' levels, then all readings are judged
-    before, after = _side_medians(np.where(_short_runs(out), np.nan, dense))
+    clean = np.where(_short_runs(out), np.nan, dense)
+    before, after = _side_medians(clean)
+    middle, spread = hampel_band(clean, before, after, kind)
     rows = np.flatnonzero(~bad)
     at = spot[of[rows]]
     x = value[rows]
-    odd = _leaves(x, before[at], kind, change) & _leaves(x, after[at], kind, change)
+    # the filter finds the candidates, the quantity's own limit from both levels settles them
+    odd = _outside(x, middle[at], spread[at], kind) & _leaves(x, before[at], kind, change) & _leaves(x, after[at], kind, change)
     by_period = np.zeros(len(dense), bool)
     np.logical_or.at(by_period, at[odd], True)
     odd &= _short_runs(by_period)[at]
     reason[rows[odd]] = "spike"
     if kind != "rate_steps":
-        _mark_stuck(periods, of, value, bad, reason)
+        _mark_stuck(len(periods), of, value, bad, reason)
     return reason
 
 
@@ -146,33 +177,24 @@ def _short_runs(flag: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mark_stuck(periods: np.ndarray, of: np.ndarray, value: np.ndarray, bad: np.ndarray, reason: np.ndarray) -> None:
-    """Mark readings of runs of STUCK_PERIODS periods that share a value, but for the first period's."""
-    sets: list[dict[float, list[int]]] = [{} for _ in periods]
-    for i in np.flatnonzero(~bad):
-        sets[of[i]].setdefault(float(value[i]), []).append(i)
-    length: list[dict[float, int]] = []
-    prior: dict[float, int] = {}
-    still = moves = 0
-    runs: list[tuple[int, int, float]] = []
-    for p, s in enumerate(sets):
-        now = {v: prior.get(v, 0) + 1 for v in s}
-        for v, n in prior.items():
-            if v not in now and n >= STUCK_PERIODS:
-                runs.append((p - n, p, v))
-        if p:
-            still, moves = still + any(n > 1 for n in now.values()), moves + 1
-        length.append(now)
-        prior = now
-    runs += [(len(sets) - n, len(sets), v) for v, n in prior.items() if n >= STUCK_PERIODS]
-    inside = sum(b - a - 1 for a, b, _ in runs)
+def _mark_stuck(periods: int, of: np.ndarray, value: np.ndarray, bad: np.ndarray, reason: np.ndarray) -> None:
+    """Mark readings of runs of STUCK_PERIODS periods that share a value, but for the first period's.
+
+    A run is a value in successive periods; of: period of each reading, distinct for equal values.
+    """
+    rows = np.flatnonzero(~bad)
+    rows = rows[np.lexsort((of[rows], value[rows]))]
+    p, v = of[rows], value[rows]
+    opens = np.ones(len(rows), bool)
+    opens[1:] = (v[1:] != v[:-1]) | (p[1:] != p[:-1] + 1)
+    run = np.cumsum(opens) - 1
+    length = np.bincount(run)
+    still, moves = len(np.unique(p[~opens])), periods - 1
+    inside = int((length[length >= STUCK_PERIODS] - 1).sum())
     if moves - inside <= 0 or (still - inside) > STILL_SHARE * (moves - inside):
         return
-    for a, b, v in runs:
-        for p in range(a + 1, b):
-            for i in sets[p][v]:
-                if not reason[i]:
-                    reason[i] = "stuck"
+    stuck = rows[(length[run] >= STUCK_PERIODS) & ~opens]
+    reason[stuck[reason[stuck] == ""]] = "stuck"
 
 
 def flag_readings(readings: DataFrame, source: list[str], period: str, value: str, kind: Column) -> DataFrame:
