@@ -34,6 +34,8 @@ SHAPES = {
     "month_name_day": (rf"^{_WEEKDAY}{_MONTH} (\d{{1,2}}),? (\d{{4}})((?:[T ,].*)?)$", (3, 1, 2, 4)),
 }
 EPOCH_UNITS = {"epoch_s": 1, "epoch_ms": 10**3, "epoch_us": 10**6, "epoch_ns": 10**9}
+#: The plain form of a time, read at fixed places.
+PLAIN = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}Z)?$"
 #: Readings outside these years are not valid ones; in text, 9999 is a filler.
 YEARS = (1600, 2200)
 
@@ -84,8 +86,13 @@ def time_candidates(df: DataFrame, text: Column, zone: Column, out: str, slash_o
     readings += [f"struct({_q(k)} AS fmt, IF({p}n > 0, {p}n div {per}L, NULL) AS sec)" for k, per in EPOCH_UNITS.items()]
     low, high = ((y - 1970) * 31556952 for y in YEARS)
     kept = df.columns
-    df = _stage(df.drop(out), {f"{p}t": F.trim(text.cast("string")), f"{p}zone": zone})
-    df = _stage(df, {f"{p}k": F.expr(f"CASE {shape} END"), f"{p}n": F.expr(f"IF({p}t RLIKE '^[0-9]{{8,19}}$', try_cast({p}t AS BIGINT), NULL)")})
+    df = _stage(df.drop(out), {f"{p}w": F.trim(text.cast("string")), f"{p}zone": zone})
+    # most times are plain, and numbers other than dates have one reading for each unit: both skip the patterns
+    two = lambda i: f"cast(substr({p}w, {i}, 2) AS INT)"
+    clock_z = f"IF(length({p}w) = 10, 0, IF({two(12)} <= 23 AND {two(15)} <= 59 AND {two(18)} <= 59, {two(12)} * 3600 + {two(15)} * 60 + {two(18)}, NULL))"
+    df = _stage(df, {f"{p}plain": F.expr(f"IF({p}w RLIKE {_q(PLAIN)}, unix_date(try_cast(substr({p}w, 1, 10) AS DATE)) * 86400L + {clock_z}, NULL)"), f"{p}n": F.expr(f"IF({p}w RLIKE '^[0-9]{{8,19}}$', try_cast({p}w AS BIGINT), NULL)")})
+    df = _stage(df, {f"{p}t": F.expr(f"IF({p}plain IS NOT NULL OR ({p}n IS NOT NULL AND length({p}w) != 8), NULL, {p}w)")})
+    df = _stage(df, {f"{p}k": F.expr(f"CASE WHEN {p}t IS NOT NULL THEN CASE {shape} END END")})
     df = _stage(df, {f"{p}y": F.expr(part(0)), f"{p}mraw": F.expr(part(1)), f"{p}d": F.expr(f"lpad({part(2)}, 2, '0')"), f"{p}rest": F.expr(part(3))})
     # T153000 is the compact form of T15:30:00
     df = _stage(
@@ -104,7 +111,8 @@ def time_candidates(df: DataFrame, text: Column, zone: Column, out: str, slash_o
         },
     )
     df = _stage(df, {f"{p}offset": F.expr(f"CASE WHEN {p}z RLIKE '^[+-][0-9]{{2}}' THEN IF(abs({signed}) <= 1080, {signed}, NULL) ELSE try_element_at({abbr}, upper({p}z)) END")})
-    df = _stage(df, {out: F.expr(f"filter(array({', '.join(readings)}), x -> x.sec BETWEEN {low} AND {high} AND (NOT x.fmt LIKE 'epoch%' OR x.sec >= 86400))")})
+    valid = f"filter(array({', '.join(readings)}), x -> x.sec BETWEEN {low} AND {high} AND (NOT x.fmt LIKE 'epoch%' OR x.sec >= 86400))"
+    df = _stage(df, {out: F.expr(f"IF({p}plain BETWEEN {low} AND {high}, array(struct('iso' AS fmt, {p}plain AS sec)), {valid})")})
     return df.select(*[F.col(f"`{c}`") for c in kept if c != out], out)
 
 

@@ -13,7 +13,7 @@ from veridant.operators.regular_grid import regularize
 from veridant.operators.spikes import flag_readings
 from veridant.operators.timestamps import resolve_times
 from veridant.operators.units import to_common_units
-from veridant.session import spread, table
+from veridant.session import cut_lineage, spread, table
 
 REMOVED = ("deleted", "tombstoned", "removed")
 
@@ -36,12 +36,13 @@ def p1_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = parse_instant(o, F.col("phenomenon_time"), F.lit("UTC"), "sec").join(_catalog(spark, sf_dir), "series_key", "left")
     kind = F.when(F.col("metric").like("%price%") | F.col("series_key").like("price_close:%"), "price").when(F.col("metric") == "policy_rate", "rate_steps").when(F.expr(COUNTED), "count").otherwise("level")
     period = F.unix_date(period_day(F.col("sec"), F.coalesce("code", F.lit("D"))))
+    # levels are judged and verdicts joined back, so the parsed rows are read twice
     rows = o.select(F.lit("observations").alias("table_name"), "observation_id", F.lit("value").alias("field_name"), F.col("series_key").alias("source"), period.alias("period"), "value", kind.alias("kind"))
     h = spread(table(spark, sf_dir, "ohlcv_observations").select("observation_id", "ticker", "trade_date", "close", "volume"))
     h = parse_instant(h, F.col("trade_date"), F.lit("UTC"), "sec")
     fields = F.array(F.struct(F.lit("close").alias("field_name"), F.col("close").alias("value"), F.lit("price").alias("kind")), F.struct(F.lit("volume").alias("field_name"), F.col("volume").alias("value"), F.lit("volume").alias("kind")))
     h = h.select(F.lit("ohlcv_observations").alias("table_name"), "observation_id", F.col("ticker").alias("source"), F.unix_date(period_day(F.col("sec"), F.lit("D"))).alias("period"), F.inline(fields))
-    return flag_readings(rows.unionByName(h), ["table_name", "source", "field_name"], "period", "value", F.col("kind"))
+    return flag_readings(cut_lineage(rows.unionByName(h)), ["table_name", "source", "field_name"], "period", "value", F.col("kind"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +82,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_points(spark, sf_dir).filter("exp10 != 0").select("series_key", "period", "exp10")
 
 
+def p3_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in other than common units by what decided, the text or the unit, and whether signs alone or the index found its meaning."""
+    return p3_points(spark, sf_dir).filter("exp10 != 0").groupBy("unit_evidence", F.col("unit_found_by").alias("found_by")).agg(F.count("*").alias("points"))
+
+
 # --- 4: the macro reading known when asked
 
 
@@ -95,6 +101,8 @@ def _readings_known(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each request with the reading of its series that was known when it was asked."""
     readings = _readings_known(spark, sf_dir).withColumn("change_sec", F.greatest("phenomenon_time_sec", "known_sec"))
+    # both levels of the running best read the parsed readings
+    readings = cut_lineage(readings.select("series_key", "observation_id", "change_sec", "phenomenon_time_sec", "known_sec", "vintage_sec"))
     intervals = validity_intervals(readings, "series_key", "change_sec", ["phenomenon_time_sec", "known_sec", "vintage_sec", "observation_id"])
     asked = table(spark, sf_dir, "context_requests").select("request_id", "series_key", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(requested_at AS TIMESTAMP_NTZ)) div 1000000").alias("asked_sec")).distinct()
     answered = as_of_join(asked, "series_key", "asked_sec", intervals)
@@ -104,9 +112,6 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 5: references that lead nowhere
 
 
-
-
-
 def _micros(c: str):
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast({c} AS TIMESTAMP_NTZ))")
 
@@ -162,6 +167,10 @@ def p5_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 6: one UTC instant for every written time
 
 
+#: Dates with slashes put the month first, unless the values of a source outweigh that.
+CONVENTION = {"slash": 50.0}
+
+
 def p6_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every time of the four tables with its instant, format, posterior and ambiguity."""
     t = lambda name: table(spark, sf_dir, name)
@@ -174,7 +183,7 @@ def p6_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     union = rows[0]
     for r in rows[1:]:
         union = union.unionByName(r)
-    return resolve_times(union, "table_name", "written", F.col("zone"), slash_orders=("month_first",))
+    return resolve_times(union, "table_name", "written", F.col("zone"), CONVENTION)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,4 +193,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.filter(~plain).select("table_name", "record_id", "utc_time").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_grid": p2_grid, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p5_current": p5_current, "p6_found": p6_found}
+def p6_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable times of distinct records by table and by what decided: one reading, or the mixture of several; and how many it left open."""
+    r = p6_instants(spark, sf_dir).filter("time_readings > 0")
+    decided = F.when(F.col("time_readings") > 1, "mixture").otherwise("single")
+    r = r.select("table_name", "record_id", "written", decided.alias("decided_by"), "time_ambiguous").distinct()
+    return r.groupBy("table_name", "decided_by").agg(F.count("*").alias("times"), F.count_if("time_ambiguous").alias("unresolved"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_grid": p2_grid, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p5_current": p5_current, "p6_found": p6_found, "p3_evidence": p3_evidence, "p6_evidence": p6_evidence}
