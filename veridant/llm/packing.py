@@ -1,10 +1,9 @@
 """Texts into containers of fixed capacity with little room left unused.
 
 Sizes are tokens of a public tokenizer. A text is split only if it alone exceeds the
-capacity: into full containers and a rest. The rest of the items are packed best-fit: a
-container is opened for the largest item left and takes, again and again, the largest item
-that fits. Several container sizes may be permitted; the size opened is the one whose
-container would be left with the smallest share unused, a larger one being preferred unless
+capacity: into full containers and a rest. The rest of the items are packed best-fit, largest first: an
+item goes into the open container that it leaves the least room in. Several container sizes may be permitted; where a
+container must be opened it is of the size whose share left unused by the items still waiting would be least, a larger one being preferred unless
 a smaller one saves more than `SAVING` of the room, and in the end each container is downsized to the smallest permitted size that holds its contents.
 
 Scale: only (id, size) is shuffled, never a text. Items are spread by a hash over shards of
@@ -15,51 +14,56 @@ counts of the sizes, of which there are at most as many as the capacity.
 
 from __future__ import annotations
 
+import base64
 import bisect
-import os
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: the pattern that the tokenizer parts texts by.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CAPACITIES = (256, 512, 1024, 2048)
 #: Share of the room that a smaller container must save to be opened.
 SAVING = 0.02
 
 
-def count_tokens(documents: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens) of all non-null texts, by the tokenizer file at that path on every executor."""
+def count_tokens(documents: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
+    """(doc_id, n_tokens) of all non-null texts, by the ranks file `tokenizer` at that path on every executor.
+
+    pattern parts a text before byte pairs are merged. Strings of special tokens are ordinary text.
+    """
     kind = dict(documents.dtypes)[doc_id]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        t = Tokenizer.from_file(tokenizer)
-        t.encode_special_tokens = True
+        with open(tokenizer, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for pdf in batches:
-            sizes = []
-            for i in range(0, len(pdf), 64):
-                sizes += [len(e.ids) for e in t.encode_batch(pdf["t"].iloc[i : i + 64].tolist(), add_special_tokens=False)]
-            yield pd.DataFrame({doc_id: pdf["d"], "n_tokens": sizes})
+            yield pd.DataFrame({doc_id: pdf["d"], "n_tokens": [len(encoding.encode_ordinary(t)) for t in pdf["t"]]})
 
     return documents.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInPandas(run, f"{doc_id} {kind}, n_tokens int")
 
 
 def pack_sizes(sizes: list[int], capacities: tuple[int, ...]) -> list[tuple[int, list[int]]]:
-    """Containers (capacity, indexes of items) for sizes of at least 1 and at most the largest capacity."""
+    """Containers (capacity, indexes of items) for sizes of at least 1 and at most the largest capacity.
+
+    Items go largest first into the open container that they leave the least room in. Where none has the room, a
+    container is opened of the permitted size that costs least: the share that the items still waiting would leave unused in it.
+    """
     waiting: dict[int, list[int]] = {}
     for i, s in enumerate(sizes):
         waiting.setdefault(s, []).append(i)
     present = sorted(waiting)
     capacities = tuple(sorted(capacities))
 
-    def plan(capacity: int) -> list[int]:
-        """Sizes for one container, largest first; nothing is taken yet."""
-        room, chosen, taken = capacity, [], {}
-        top = len(present)
+    def unused(room: int) -> int:
+        """Room that would stay unused if waiting items, the largest that fit first, filled it; nothing is placed."""
+        taken, top = {}, len(present)
         while room:
             top = bisect.bisect_right(present, room, 0, top)
             while top and taken.get(present[top - 1], 0) >= len(waiting[present[top - 1]]):
@@ -68,30 +72,38 @@ def pack_sizes(sizes: list[int], capacities: tuple[int, ...]) -> list[tuple[int,
                 break
             s = present[top - 1]
             n = min(room // s, len(waiting[s]) - taken.get(s, 0))
-            chosen += [s] * n
             taken[s] = taken.get(s, 0) + n
             room -= n * s
-        return chosen
+        return room
 
-    out = []
+    bins: list[list[int]] = []
+    rooms: list[int] = []
+    open_bins: dict[int, list[int]] = {}
     while present:
-        largest, best = present[-1], None
-        for c in reversed(capacities):
-            if c < largest:
-                break
-            chosen = plan(c)
-            unused = 1 - sum(chosen) / c
-            if best is None or unused < best[0] - SAVING:
-                best = (unused, chosen)
-            if unused == 0:
-                break
-        items = [waiting[s].pop() for s in best[1]]
-        for s in set(best[1]):
-            if not waiting[s]:
-                present.pop(bisect.bisect_left(present, s))
-        held = sum(best[1])
-        out.append((next(c for c in capacities if c >= held), items))
-    return out
+        s = present[-1]
+        i = waiting[s].pop()
+        if not waiting[s]:
+            present.pop()
+        at = bisect.bisect_left(rooms, s)
+        if at < len(rooms):
+            room = rooms[at]
+            k = open_bins[room].pop()
+            if not open_bins[room]:
+                del open_bins[room], rooms[at]
+        else:
+            costs = [(unused(c - s) / c, -c) for c in capacities if c >= s]
+            # of sizes that cost about the same the largest, which takes more of what comes
+            room = -min((c for cost, c in costs if cost <= min(costs)[0] + SAVING), default=-capacities[-1])
+            k = len(bins)
+            bins.append([])
+        bins[k].append(i)
+        left = room - s
+        if left:
+            if left not in open_bins:
+                bisect.insort(rooms, left)
+            open_bins.setdefault(left, []).append(k)
+    held = [sum(sizes[i] for i in b) for b in bins]
+    return [(next(c for c in capacities if c >= h), b) for h, b in zip(held, bins, strict=True)]
 
 
 def pack_containers(items: DataFrame, item_id: str, size: str, capacities: tuple[int, ...] = CAPACITIES, shard_items: int = 20000, about: int | None = None) -> DataFrame:

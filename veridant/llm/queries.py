@@ -9,7 +9,7 @@ from veridant.llm.leakage import find_leaks
 from veridant.llm.packing import count_tokens, pack_containers, packing_summary
 from veridant.llm.queries_sql import ORACLE_SQL  # noqa: F401
 from veridant.llm.splitting import split_texts
-from veridant.llm.truncation import find_truncated, truncation_rates
+from veridant.llm.truncation import judge_endings, truncation_rates
 from veridant.session import spread, table
 
 
@@ -64,14 +64,25 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 10: cut texts
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_endings(_documents(spark, sf_dir), ["doc_id", "source"], "text", "source")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text stops before its author ended it."""
-    return find_truncated(_documents(spark, sf_dir), "text", "source").filter("truncated").select("doc_id", "source").distinct()
+    return _judged(spark, sf_dir).filter("truncated").select("doc_id", "source").distinct()
 
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each source truncates."""
-    return truncation_rates(find_truncated(_documents(spark, sf_dir).distinct(), "text", "source"), "source")
+    """How often each source truncates; a document delivered again counts once."""
+    judged = judge_endings(_documents(spark, sf_dir).distinct(), ["doc_id", "source"], "text", "source")
+    return truncation_rates(judged, "source")
+
+
+def p10_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut documents by what shows it: a significant length, or the shape of the ending alone."""
+    found = _judged(spark, sf_dir).filter("truncated").groupBy("doc_id", "source").agg(F.max("evidence").alias("evidence"))
+    return found.groupBy("evidence").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p8_usage": p8_usage, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_rates": p10_rates}
+QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p8_usage": p8_usage, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_rates": p10_rates, "p10_evidence": p10_evidence}

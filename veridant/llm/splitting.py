@@ -13,9 +13,9 @@ length: block counts are taken at the places for cuts only.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,18 +74,36 @@ def cut_places(text: str, most: int) -> dict[int, str]:
     return dict(sorted(places.items()))
 
 
-def valley_depths(text: str, places: list[int]) -> list[float]:
+def block_similarities(words: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Cosine of the counts of the BLOCK_WORDS words before and after each place; places are counts of words before them.
+
+    words: ids, different for different texts, whose blocks then share nothing. Each pair of equal words less than two blocks apart adds to the
+    places at which both are in one block or one in each, so the work is linear in the number of words.
+    """
+    n, size = len(words), BLOCK_WORDS
+    cross, left, right = (np.zeros(n + 2, dtype=np.int64) for _ in range(3))
+
+    def add(to: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """One more at the places from start to end, both included."""
+        some = start <= end
+        np.add.at(to, start[some], 1)
+        np.add.at(to, end[some] + 1, -1)
+
+    for lag in range(1, min(2 * size, n)):
+        i = np.flatnonzero(words[lag:] == words[:-lag])
+        j = i + lag
+        add(cross, np.maximum(i + 1, j - size + 1), np.minimum(j, i + size))
+        if lag < size:
+            add(left, j + 1, np.minimum(i + size, n))
+            add(right, np.maximum(j - size + 1, 0), i)
+    cross, left, right = (np.cumsum(x)[after] for x in (cross, left, right))
+    before_n, after_n = np.minimum(after, size), np.minimum(n - after, size)
+    norm = np.sqrt((before_n + 2 * left) * (after_n + 2.0 * right))
+    return np.where(norm > 0, cross / np.maximum(norm, 1e-12), 0.0)
+
+
+def valley_depths(similarity: list[float]) -> list[float]:
     """Depth of the similarity valley at each place: how far it lies below the peaks on both sides."""
-    words = [(m.start(), m.group().lower()) for m in _WORD.finditer(text)]
-    starts = [s for s, _ in words]
-    similarity, k = [], 0
-    for p in places:
-        while k < len(starts) and starts[k] < p:
-            k += 1
-        left = Counter(w for _, w in words[max(0, k - BLOCK_WORDS) : k])
-        right = Counter(w for _, w in words[k : k + BLOCK_WORDS])
-        size = (sum(v * v for v in left.values()) * sum(v * v for v in right.values())) ** 0.5
-        similarity.append(sum(v * right[w] for w, v in left.items()) / size if size else 0.0)
     n = len(similarity)
     peak_left, peak_right = similarity[:], similarity[:]
     # a peak is where similarity stops rising when walking away from the place
@@ -96,6 +114,15 @@ def valley_depths(text: str, places: list[int]) -> list[float]:
     return [peak_left[i] + peak_right[i] - 2 * similarity[i] for i in range(n)]
 
 
+def text_depths(text: str, places: list[int]) -> list[float]:
+    """Valley depths at the offsets `places` of a text."""
+    found = [(m.start(), m.group()) for m in _WORD.finditer(text.lower() if len(text.lower()) == len(text) else text)]
+    ids: dict[str, int] = {}
+    words = np.array([ids.setdefault(w, len(ids)) for _, w in found], dtype=np.int32)
+    after = np.searchsorted(np.array([s for s, _ in found], dtype=np.int64), np.array(places, dtype=np.int64))
+    return valley_depths(block_similarities(words, after).tolist())
+
+
 def cut(text: str, limit: int, overlap: int, least: float = 0.5) -> tuple[str, list[tuple[int, int, str]]]:
     """(coarsest boundary, pieces as (start, end, boundary at the end)); offsets are code points.
 
@@ -109,7 +136,7 @@ def cut(text: str, limit: int, overlap: int, least: float = 0.5) -> tuple[str, l
         return level, [(0, len(text), "end")]
     levels = cut_places(text, reach)
     places, rank = list(levels), [LEVELS.index(k) for k in levels.values()]
-    depth = valley_depths(text, places)
+    depth = text_depths(text, places)
     pieces, start, done, i = [], 0, 0, 0
     while len(text) - start > limit:
         end = (start if not pieces else done) + (limit if not pieces else reach)
