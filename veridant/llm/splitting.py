@@ -25,6 +25,8 @@ _BLANK = re.compile(r"\n\s*\n")
 _AFTER_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _BLANKS = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W_]+")
+#: Texts whose blocks are counted together.
+BATCH_TEXTS = 64
 #: Words in each of the two blocks that are compared.
 BLOCK_WORDS = 60
 
@@ -74,31 +76,32 @@ def cut_places(text: str, most: int) -> dict[int, str]:
     return dict(sorted(places.items()))
 
 
-def block_similarities(words: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Cosine of the counts of the BLOCK_WORDS words before and after each place; places are counts of words before them.
+def block_similarities(words: np.ndarray, begin: np.ndarray, end: np.ndarray, places: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Cosine of the counts of the BLOCK_WORDS words before and after each place of many texts.
 
-    words: ids, different for different texts, whose blocks then share nothing. Each pair of equal words less than two blocks apart adds to the
-    places at which both are in one block or one in each, so the work is linear in the number of words.
+    words: ids of the texts' words one after the other, different in different texts; begin, end: the words of each text;
+    places: the word that follows each place, of: its text. Each pair of equal words less than two blocks apart counts for the
+    places that have both in one block or one in each, so the work is linear in the number of words.
     """
     n, size = len(words), BLOCK_WORDS
-    cross, left, right = (np.zeros(n + 2, dtype=np.int64) for _ in range(3))
-
-    def add(to: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        """One more at the places from start to end, both included."""
-        some = start <= end
-        np.add.at(to, start[some], 1)
-        np.add.at(to, end[some] + 1, -1)
-
-    for lag in range(1, min(2 * size, n)):
-        i = np.flatnonzero(words[lag:] == words[:-lag])
-        j = i + lag
-        add(cross, np.maximum(i + 1, j - size + 1), np.minimum(j, i + size))
-        if lag < size:
-            add(left, j + 1, np.minimum(i + size, n))
-            add(right, np.maximum(j - size + 1, 0), i)
-    cross, left, right = (np.cumsum(x)[after] for x in (cross, left, right))
-    before_n, after_n = np.minimum(after, size), np.minimum(n - after, size)
-    norm = np.sqrt((before_n + 2 * left) * (after_n + 2.0 * right))
+    found = [np.flatnonzero(words[lag:] == words[:-lag]) for lag in range(1, min(2 * size, n))]
+    i = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+    j = i + np.repeat(np.arange(1, len(found) + 1), [len(f) for f in found])
+    text = np.repeat(np.arange(len(begin)), end - begin)[i] if n else i
+    low, high = begin[text], end[text]
+
+    def count(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """At each place, the pairs with first <= place <= last."""
+        some = first <= last
+        change = np.bincount(first[some], minlength=n + 2) - np.bincount(last[some] + 1, minlength=n + 2)
+        return np.cumsum(change)[places]
+
+    near = j - i < size
+    cross = count(np.maximum(i + 1, j - size + 1), np.minimum(j, i + size))
+    left = count((j + 1)[near], np.minimum(i + size, high)[near])
+    right = count(np.maximum(j - size + 1, low)[near], i[near])
+    before, after = np.minimum(places - begin[of], size), np.minimum(end[of] - places, size)
+    norm = np.sqrt((before + 2 * left) * (after + 2.0 * right))
     return np.where(norm > 0, cross / np.maximum(norm, 1e-12), 0.0)
 
 
@@ -114,29 +117,52 @@ def valley_depths(similarity: list[float]) -> list[float]:
     return [peak_left[i] + peak_right[i] - 2 * similarity[i] for i in range(n)]
 
 
-def text_depths(text: str, places: list[int]) -> list[float]:
-    """Valley depths at the offsets `places` of a text."""
-    found = [(m.start(), m.group()) for m in _WORD.finditer(text.lower() if len(text.lower()) == len(text) else text)]
-    ids: dict[str, int] = {}
-    words = np.array([ids.setdefault(w, len(ids)) for _, w in found], dtype=np.int32)
-    after = np.searchsorted(np.array([s for s, _ in found], dtype=np.int64), np.array(places, dtype=np.int64))
-    return valley_depths(block_similarities(words, after).tolist())
+def text_depths(texts: list[str], places: list[list[int]]) -> list[list[float]]:
+    """Valley depths at the offsets `places` of each text."""
+    ids, begin, end, at, known, words = [], [], [], [], 0, 0
+    for text, where in zip(texts, places, strict=True):
+        low = text.lower()
+        found = [(m.start(), m.group()) for m in _WORD.finditer(low if len(low) == len(text) else text)]
+        vocabulary: dict[str, int] = {}
+        ids += [vocabulary.setdefault(w, known + len(vocabulary)) for _, w in found]
+        known += len(vocabulary)
+        begin.append(words)
+        at.append(words + np.searchsorted(np.array([s for s, _ in found], dtype=np.int64), np.array(where, dtype=np.int64)))
+        words += len(found)
+        end.append(words)
+    if not texts:
+        return []
+    of = np.repeat(np.arange(len(texts)), [len(w) for w in places])
+    similarity = block_similarities(np.array(ids, dtype=np.int64), np.array(begin), np.array(end), np.concatenate(at).astype(np.int64), of).tolist()
+    depths, k = [], 0
+    for where in places:
+        depths.append(valley_depths(similarity[k : k + len(where)]))
+        k += len(where)
+    return depths
 
 
 def cut(text: str, limit: int, overlap: int, least: float = 0.5) -> tuple[str, list[tuple[int, int, str]]]:
-    """(coarsest boundary, pieces as (start, end, boundary at the end)); offsets are code points.
+    """`cut_many` of one text."""
+    return cut_many([text], limit, overlap, least)[0]
+
+
+def cut_many(texts: list[str], limit: int, overlap: int, least: float = 0.5) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """(coarsest boundary, pieces as (start, end, boundary at the end)) of each text; offsets are code points.
 
     Pieces have at most `limit` characters and each but the first starts exactly `overlap`
     characters before the end of the one before. A text within the limit is one piece. A word that
     does not fit is cut at the limit.
     """
     reach = limit - overlap
-    level, _ = coarsest_boundary(text, reach)
-    if len(text) <= limit:
-        return level, [(0, len(text), "end")]
-    levels = cut_places(text, reach)
+    long = [i for i, t in enumerate(texts) if len(t) > limit]
+    levels = [cut_places(texts[i], reach) for i in long]
+    depths = dict(zip(long, zip(levels, text_depths([texts[i] for i in long], [list(x) for x in levels]), strict=True), strict=True))
+    return [(coarsest_boundary(t, reach)[0], _pieces(t, *depths[i], limit, overlap, least) if i in depths else [(0, len(t), "end")]) for i, t in enumerate(texts)]
+
+
+def _pieces(text: str, levels: dict[int, str], depth: list[float], limit: int, overlap: int, least: float) -> list[tuple[int, int, str]]:
+    reach = limit - overlap
     places, rank = list(levels), [LEVELS.index(k) for k in levels.values()]
-    depth = text_depths(text, places)
     pieces, start, done, i = [], 0, 0, 0
     while len(text) - start > limit:
         end = (start if not pieces else done) + (limit if not pieces else reach)
@@ -156,7 +182,7 @@ def cut(text: str, limit: int, overlap: int, least: float = 0.5) -> tuple[str, l
         pieces.append((start, at, kind))
         start, done = at - overlap, at
     pieces.append((start, len(text), "end"))
-    return level, pieces
+    return pieces
 
 
 def split_texts(spans: DataFrame, span_id: str, text: str, section: str, start_char: str, limit: int = 2000, overlap: int = 200) -> DataFrame:
@@ -173,8 +199,8 @@ def split_texts(spans: DataFrame, span_id: str, text: str, section: str, start_c
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for i, t, s, o in zip(pdf["i"], pdf["t"], pdf["s"], pdf["o"], strict=True):
-                level, pieces = cut(t, limit, overlap)
+            found = (x for at in range(0, len(pdf), BATCH_TEXTS) for x in cut_many(pdf["t"].iloc[at : at + BATCH_TEXTS].tolist(), limit, overlap))
+            for i, t, s, o, (level, pieces) in zip(pdf["i"], pdf["t"], pdf["s"], pdf["o"], found, strict=True):
                 at = None if pd.isna(o) else int(o)
                 rows += [(i, s, k, len(pieces), a, b, None if at is None else at + a, None if at is None else at + b, kind, level, t[a:b]) for k, (a, b, kind) in enumerate(pieces)]
             out = pd.DataFrame(rows, columns=columns)
