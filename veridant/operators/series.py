@@ -6,35 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def newest_first(result_time: str = "result_time", vintage: str = "vintage") -> Column:
-    """Order of vintages: known time (result time, else vintage, else empty), then vintage; nulls lowest."""
-    return F.struct(F.coalesce(result_time, vintage, F.lit("")).alias("known"), F.col(vintage).alias("vintage"))
+def newest_first() -> Column:
+    """Order of vintages: when they were known, then their vintage; nulls lowest."""
+    return F.struct("known_sec", "vintage_sec")
 
 
-def latest_vintage(observations: DataFrame, keys: list[str], payload: list[str], tie: str = "observation_id") -> DataFrame:
+def latest_vintage(readings: DataFrame, keys: list[str], payload: list[str], tie: str = "observation_id") -> DataFrame:
     """The newest vintage of each key, as an aggregate with map-side combination instead of a sort.
 
-    Of equal vintages the greatest `tie` counts, then the greatest payload. Repeated rows do not
-    matter; null keys form their own group.
+    readings: known_sec and vintage_sec beside keys and payload. Of equal vintages the greatest `tie` counts, then the
+    greatest payload. Repeated rows do not matter; null keys form their own group.
     """
     best = F.max(F.struct(newest_first().alias("o"), tie, *[c for c in payload if c != tie])).alias("b")
-    return observations.groupBy(*keys).agg(best).select(*keys, *[F.col(f"b.{c}").alias(c) for c in payload])
+    return readings.groupBy(*keys).agg(best).select(*keys, *[F.col(f"b.{c}").alias(c) for c in payload])
 
 
-def revision_chain(observations: DataFrame, keys: list[str], tie: str = "observation_id") -> DataFrame:
+def revision_chain(readings: DataFrame, keys: list[str], tie: str = "observation_id") -> DataFrame:
     """Each vintage with the one it supersedes, in order of known time; first vintages have none.
 
     Vintages delivered again count once.
     """
-    o = observations.select(*keys, tie, "value", "result_time", "vintage").distinct()
-    w = Window.partitionBy(*keys).orderBy(F.coalesce("result_time", "vintage", F.lit("")).asc(), F.col("vintage").asc_nulls_first(), F.col(tie).asc(), F.col("value").asc_nulls_first())
+    o = readings.select(*keys, tie, "value", "known_sec", "vintage_sec").distinct()
+    w = Window.partitionBy(*keys).orderBy(F.col("known_sec").asc_nulls_first(), F.col("vintage_sec").asc_nulls_first(), F.col(tie).asc(), F.col("value").asc_nulls_first())
     return o.select(*keys, F.lag(tie).over(w).alias("superseded_id"), F.col(tie).alias("superseding_id"), F.lag("value").over(w).alias("old_value"), F.col("value").alias("new_value")).filter("superseded_id IS NOT NULL")
 
 
-def release_events(observations: DataFrame, keys: list[str], tie: str = "observation_id") -> DataFrame:
+def release_events(readings: DataFrame, keys: list[str], tie: str = "observation_id") -> DataFrame:
     """First and newest value of each key and how many later vintages it had."""
-    order = F.struct(newest_first().alias("o"), F.col(tie))
-    o = observations.filter("value IS NOT NULL").groupBy(*keys).agg(F.min_by("value", order).alias("first_value"), F.max_by("value", order).alias("latest_value"), (F.countDistinct(tie) - 1).alias("revision_count"))
+    order = F.struct(newest_first().alias("o"), F.col(tie), F.col("value"))
+    o = readings.filter("value IS NOT NULL").groupBy(*keys).agg(F.min_by("value", order).alias("first_value"), F.max_by("value", order).alias("latest_value"), (F.countDistinct(tie) - 1).alias("revision_count"))
     return o.withColumn("revision", F.round(F.col("latest_value") - F.col("first_value"), 6))
 
 

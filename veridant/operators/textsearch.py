@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridant.functions.lexical import words
+
 K1, B = 1.2, 0.75
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits; null gives an empty array."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
+    """Folded runs of letters and digits of any script; null gives an empty array."""
+    return words(text)
 
 
 def postings(documents: DataFrame, doc: str, fields: list[str]) -> DataFrame:

@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridant.functions.text_units import compact_number, period_sort_key, section_key, slug, valid_period
-from veridant.functions.timeparse import parse_instant
+from veridant.functions.timeparse import parse_instant, utc_text
 from veridant.operators import graph, lineage, links, ranking, relational, series, textsearch
 from veridant.plans.data_quality_sql import _instants
-from veridant.plans.data_quality_sql import _instants
 from veridant.session import spread, table
 
 QUERIES: dict = {}
@@ -43,49 +42,61 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- series with vintages
 
 
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct readings with the UTC instant they are of and the seconds from which they were known; unreadable times are left out.
+
+    A reading is known from its result time, if that is null from its vintage. Spellings of one instant are one key.
+    """
+    o = spread(_t(spark, d, "observations").select("series_key", "observation_id", "phenomenon_time", "value", "result_time", "vintage"))
+    for text in ("phenomenon_time", "result_time", "vintage"):
+        o = parse_instant(o, F.col(text), F.lit("UTC"), f"{text}_sec")
+    known = F.when(F.col("result_time").isNotNull(), F.col("result_time_sec")).otherwise(F.col("vintage_sec"))
+    o = o.filter("phenomenon_time_sec IS NOT NULL").select("series_key", "observation_id", utc_text(F.col("phenomenon_time_sec")).alias("phenomenon_time"), "value", known.alias("known_sec"), "vintage_sec")
+    return o.distinct()
+
+
+_KNOWN = f"""{_instants("o", "SELECT series_key, observation_id, phenomenon_time t, 'UTC' z, value, result_time, regexp_replace(vintage, '^([0-9]{4})([0-9]{2})([0-9]{2})$', '\\1-\\2-\\3') v FROM observations")},
+    kn AS (SELECT DISTINCT series_key, observation_id, strftime(u, '%Y-%m-%dT%H:%M:%SZ') phenomenon_time, value, CASE WHEN result_time IS NOT NULL THEN timezone('UTC', try_cast(CASE WHEN length(result_time) = 10 THEN result_time || ' 00:00:00+00' ELSE result_time END AS TIMESTAMPTZ)) ELSE try_cast(nullif(v, '') AS TIMESTAMP) END known, try_cast(nullif(v, '') AS TIMESTAMP) vt FROM o WHERE u IS NOT NULL)"""
+
+
 @query(
-    """SELECT series_key, phenomenon_time, observation_id, value FROM (SELECT *, row_number() OVER (PARTITION BY series_key, phenomenon_time
-    ORDER BY coalesce(result_time, vintage, '') DESC, vintage DESC NULLS LAST, observation_id DESC, value DESC NULLS LAST) rn FROM observations) WHERE rn = 1"""
+    f"""WITH {_KNOWN} SELECT series_key, phenomenon_time, observation_id, value FROM (SELECT *, row_number() OVER (PARTITION BY series_key, phenomenon_time
+    ORDER BY known DESC NULLS LAST, vt DESC NULLS LAST, observation_id DESC, value DESC NULLS LAST) rn FROM kn) WHERE rn = 1"""
 )
 def latest_vintage(spark, d):
-    """Newest vintage of every reading."""
-    return series.latest_vintage(_t(spark, d, "observations"), ["series_key", "phenomenon_time"], ["observation_id", "value"])
+    """Newest vintage of every reading; one row for each series and instant, however its time is spelled."""
+    return series.latest_vintage(_known(spark, d), ["series_key", "phenomenon_time"], ["observation_id", "value"])
 
 
 @query(
-    """SELECT series_key, phenomenon_time, superseded_id, superseding_id, old_value, new_value FROM (SELECT series_key, phenomenon_time, lag(observation_id) OVER w superseded_id, observation_id superseding_id,
-    lag(value) OVER w old_value, value new_value FROM (SELECT DISTINCT series_key, phenomenon_time, observation_id, value, result_time, vintage FROM observations)
-    WINDOW w AS (PARTITION BY series_key, phenomenon_time ORDER BY coalesce(result_time, vintage, '') ASC, vintage ASC NULLS FIRST, observation_id ASC, value ASC NULLS FIRST)) WHERE superseded_id IS NOT NULL"""
+    f"""WITH {_KNOWN} SELECT series_key, phenomenon_time, superseded_id, superseding_id, old_value, new_value FROM (SELECT series_key, phenomenon_time, lag(observation_id) OVER w superseded_id, observation_id superseding_id,
+    lag(value) OVER w old_value, value new_value FROM kn WINDOW w AS (PARTITION BY series_key, phenomenon_time ORDER BY known ASC NULLS FIRST, vt ASC NULLS FIRST, observation_id ASC, value ASC NULLS FIRST)) WHERE superseded_id IS NOT NULL"""
 )
 def revision_chain(spark, d):
     """Which vintage supersedes which."""
-    return series.revision_chain(_t(spark, d, "observations"), ["series_key", "phenomenon_time"])
+    return series.revision_chain(_known(spark, d), ["series_key", "phenomenon_time"])
 
 
 @query(
-    """SELECT o.series_key, phenomenon_time, arg_min(value, struct_pack(a := coalesce(result_time, vintage, ''), b := coalesce(vintage, ''), c := observation_id)) first_value,
-    arg_max(value, struct_pack(a := coalesce(result_time, vintage, ''), b := coalesce(vintage, ''), c := observation_id)) latest_value, count(DISTINCT observation_id) - 1 revision_count,
-    round(arg_max(value, struct_pack(a := coalesce(result_time, vintage, ''), b := coalesce(vintage, ''), c := observation_id)) - arg_min(value, struct_pack(a := coalesce(result_time, vintage, ''), b := coalesce(vintage, ''), c := observation_id)), 6) revision
-    FROM observations o JOIN (SELECT DISTINCT series_key FROM series_catalog WHERE domain = 'macro') USING (series_key) WHERE value IS NOT NULL GROUP BY o.series_key, phenomenon_time"""
+    f"""WITH {_KNOWN}, r AS (SELECT kn.*, row_number() OVER (w ORDER BY known NULLS FIRST, vt NULLS FIRST, observation_id, value) up, row_number() OVER (w ORDER BY known DESC NULLS LAST, vt DESC NULLS LAST, observation_id DESC, value DESC) down
+    FROM kn JOIN (SELECT DISTINCT series_key FROM series_catalog WHERE domain = 'macro') USING (series_key) WHERE value IS NOT NULL WINDOW w AS (PARTITION BY series_key, phenomenon_time))
+    SELECT series_key, phenomenon_time, max(value) FILTER (up = 1) first_value, max(value) FILTER (down = 1) latest_value, count(DISTINCT observation_id) - 1 revision_count, round(max(value) FILTER (down = 1) - max(value) FILTER (up = 1), 6) revision FROM r GROUP BY 1, 2"""
 )
 def release_events(spark, d):
     """First and newest value of each macro release."""
     macro = _t(spark, d, "series_catalog").filter("domain = 'macro'").select("series_key").distinct()
-    o = _t(spark, d, "observations").withColumn("vintage", F.coalesce("vintage", F.lit(""))).withColumn("result_time", F.coalesce("result_time", "vintage"))
-    return series.release_events(o.join(macro, "series_key"), ["series_key", "phenomenon_time"])
+    return series.release_events(_known(spark, d).join(macro, "series_key"), ["series_key", "phenomenon_time"])
 
 
 @query(
-    """WITH o AS (SELECT series_key, try_cast(phenomenon_time AS DATE) AS dy, value FROM observations WHERE regexp_matches(phenomenon_time, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')),
-    c AS (SELECT series_key, max(lower(substr(frequency, 1, 1))) = 'q' q FROM series_catalog GROUP BY 1),
-    p AS (SELECT o.series_key, 'CY' || year(dy) || CASE WHEN q THEN 'Q' || quarter(dy) ELSE 'M' || lpad(month(dy)::varchar, 2, '0') END AS period, dy, value FROM o JOIN c USING (series_key) WHERE dy IS NOT NULL AND value IS NOT NULL)
-    SELECT series_key, period, max(dy) last_day, max(struct_pack(dy := dy, v := value)).v AS value, count(*) readings FROM p GROUP BY 1, 2"""
+    f"""WITH {_KNOWN}, r AS (SELECT series_key, phenomenon_time, max(value) value, max(known) known FROM kn JOIN (SELECT DISTINCT series_key FROM series_catalog WHERE domain = 'macro') USING (series_key) WHERE value IS NOT NULL GROUP BY ALL)
+    SELECT series_key, phenomenon_time, value FROM r ORDER BY known DESC NULLS LAST, phenomenon_time DESC, series_key LIMIT 50"""
 )
-def month_end_downsample(spark, d):
-    """Last reading of each month or quarter among those written as yyyy-MM-dd; `month_end_instants` takes every spelling."""
-    o = _t(spark, d, "observations").filter(F.col("phenomenon_time").rlike(r"^\d{4}-\d{2}-\d{2}$")).withColumn("day", F.expr("try_cast(phenomenon_time AS DATE)"))
-    c = _t(spark, d, "series_catalog").groupBy("series_key").agg((F.max(F.lower(F.substring("frequency", 1, 1))) == "q").alias("q"))
-    return series.downsample(o.join(c, "series_key"), "series_key", "day", "value", F.coalesce("q", F.lit(False)))
+def recent_releases(spark, d):
+    """The 50 macro releases known last: by known time, then instant, newest first; unknown ones last."""
+    macro = _t(spark, d, "series_catalog").filter("domain = 'macro'").select("series_key").distinct()
+    r = _known(spark, d).filter("value IS NOT NULL").join(macro, "series_key").groupBy("series_key", "phenomenon_time").agg(F.max("value").alias("value"), F.max("known_sec").alias("known"))
+    return r.orderBy(F.col("known").desc_nulls_last(), F.col("phenomenon_time").desc(), "series_key").limit(50).drop("known")
 
 
 @query(
@@ -94,7 +105,7 @@ def month_end_downsample(spark, d):
     p AS (SELECT o.series_key, 'CY' || year(u) || CASE WHEN q THEN 'Q' || quarter(u) ELSE 'M' || lpad(month(u)::varchar, 2, '0') END AS period, u::date dy, value FROM o JOIN c USING (series_key) WHERE u IS NOT NULL)
     SELECT series_key, period, max(dy) last_day, max(struct_pack(dy := dy, v := value)).v AS value, count(*) readings FROM p GROUP BY 1, 2"""
 )
-def month_end_instants(spark, d):
+def month_end_downsample(spark, d):
     """Last reading of each month or quarter by UTC day, however its time is written; unreadable times are left out."""
     o = spread(_t(spark, d, "observations").select("series_key", "phenomenon_time", "value").filter("value IS NOT NULL"))
     o = parse_instant(o, F.col("phenomenon_time"), F.lit("UTC"), "sec").withColumn("day", F.date_from_unix_date(F.floor(F.col("sec") / 86400).cast("int")))
@@ -484,7 +495,8 @@ def canonical_sections(spark, d):
     return _t(spark, d, "mini_10k_spans").select("id", "section_name").distinct().withColumn("section_key", section_key(F.col("section_name")))
 
 
-_TOK = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
+_WORDS = "regexp_extract_all(strip_accents(replace(lower(coalesce({c}, '')), 'ß', 'ss')), '[\\p{{L}}\\p{{N}}]+')"
+_TOK = _WORDS.format(c="text")
 
 
 @query(f"WITH t AS (SELECT doc_id, unnest({_TOK}) term FROM documents) SELECT term, count(DISTINCT doc_id) df, count(*) cf FROM t GROUP BY 1")

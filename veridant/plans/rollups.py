@@ -11,7 +11,7 @@ from veridant.functions.numbers import extract_numbers
 from veridant.functions.spans import sentence_candidates, span_windows
 from veridant.functions.text_units import section_key
 from veridant.operators import relational, textsearch
-from veridant.plans.evidence import _t
+from veridant.plans.evidence import _t, _WORDS
 from veridant.session import small_side
 
 QUERIES: dict = {}
@@ -165,8 +165,8 @@ def _run(n: int, i):
 
 
 @query(
-    """WITH a AS (SELECT DISTINCT lower(company_name) alias, ticker FROM global_object_locator WHERE company_name IS NOT NULL), w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') ts FROM documents),
-    g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1])) alias FROM w) SELECT a.ticker, a.alias, count(DISTINCT doc_id) documents FROM g JOIN a USING (alias) GROUP BY 1, 2"""
+    f"""WITH a AS (SELECT DISTINCT lower(company_name) alias, ticker, {_WORDS.format(c="company_name")} ns FROM global_object_locator WHERE company_name IS NOT NULL), w AS (SELECT doc_id, ' ' || array_to_string({_WORDS.format(c="text")}, ' ') || ' ' ts FROM documents),
+    g AS (SELECT DISTINCT ns, array_to_string(ns, ' ') n FROM a WHERE len(ns) > 0), h AS (SELECT n, doc_id FROM g JOIN w ON contains(ts, ' ' || n || ' ')) SELECT a.ticker, a.alias, count(DISTINCT doc_id) documents FROM h JOIN a ON array_to_string(a.ns, ' ') = n GROUP BY 1, 2"""
 )
 def company_mentions(spark, d):
     """Documents that name a company, by runs of as many words as a name has; case and what stands between words are ignored."""
