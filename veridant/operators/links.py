@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridant.session import cut_lineage
+
 
 def key_classes(refs: DataFrame, key: str, member: str) -> DataFrame:
     """Members of each key shared by two or more: key, member, representative (the smallest), class size.
@@ -44,30 +45,28 @@ def link_weight(tickers: str, evidence: str, materiality: str):
     return F.round(1 / F.sqrt(F.greatest(n, F.lit(1))) * F.col(evidence) * F.col(materiality) * damp, 6)
 
 
-def cap_links(links: DataFrame, a: str, b: str, weight: str, per_pair: int = 8, per_node: int = 500) -> DataFrame:
-    """Greedy selection by weight: at most `per_pair` links of a pair and `per_node` of a node.
+def cap_links(links: DataFrame, a: str, b: str, weight: str, per_pair: int = 8, per_node: int = 500, max_rounds: int = 64) -> DataFrame:
+    """Greedy selection by weight: at most `per_pair` links of a pair and `per_node` of a node; ties by the ends.
 
-    The pair cap is a window. The node cap depends on the order of all links of both nodes. A link
-    ranked within `per_node` at both its ends is kept for sure; a component of nodes over the
-    cap is settled in one task, whose input the caps bound: at most per_pair links a pair.
+    The pair cap is a window. The node cap goes in rounds: a link that is within the places left at both its ends, among the
+    links not settled yet, is one that greedy selection takes, as fewer better links than places can come before it; links of
+    full nodes are dropped. The best link left is always taken, and in practice a few rounds settle all. Each round is two
+    windows by node, written to the checkpoint folder; more than `max_rounds` rounds raise.
     """
     w = Window.partitionBy(F.least(a, b), F.greatest(a, b)).orderBy(F.col(weight).desc(), a, b)
+    columns = links.columns
     d = links.withColumn("__p", F.row_number().over(w)).filter(F.col("__p") <= per_pair)
-    ends = d.select(F.explode(F.array(a, b)).alias("node")).groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > per_node).select("node")
-    over = d.join(ends.withColumnRenamed("node", a), a, "left_semi").unionByName(d.join(ends.withColumnRenamed("node", b), b, "left_semi")).distinct()
-    free = d.join(over.select(a, b, "__p"), [a, b, "__p"], "left_anti")
-    columns = d.columns
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: dict[str, int] = {}
-        keep = []
-        for r in pdf.sort_values([weight, a, b], ascending=[False, True, True]).itertuples(index=False):
-            x, y = getattr(r, a), getattr(r, b)
-            ok = used.get(x, 0) < per_node and used.get(y, 0) < per_node
-            keep.append(ok)
-            if ok:
-                used[x], used[y] = used.get(x, 0) + 1, used.get(y, 0) + 1
-        return pdf.sort_values([weight, a, b], ascending=[False, True, True])[keep][columns]
-
-    settled = over.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(lambda pdf: settle(pdf[columns]), over.select(*columns).schema)
-    return free.select(*columns).unionByName(settled).drop("__p")
+    d = cut_lineage(d.withColumns({"__id": F.struct((-F.col(weight)).alias("w"), F.col(a).alias("a"), F.col(b).alias("b"), "__p"), "__taken": F.lit(False)}))
+    for _ in range(max_rounds):
+        used = d.filter("__taken").select(F.explode(F.array(a, b)).alias("node")).groupBy("node").agg(F.count("*").alias("__u"))
+        at = lambda end: used.select(F.col("node").alias(end), F.col("__u").alias(f"__u_{end}"))
+        r = d.join(at(a), a, "left").join(at(b), b, "left").na.fill(0, [f"__u_{a}", f"__u_{b}"])
+        r = r.filter(F.col("__taken") | ((F.col(f"__u_{a}") < per_node) & (F.col(f"__u_{b}") < per_node)))
+        # a node's rank counts the open links at either of its ends
+        open_ends = r.filter("NOT __taken").select("__id", F.explode(F.array(F.struct(F.col(a).alias("node"), F.col(f"__u_{a}").alias("u")), F.struct(F.col(b).alias("node"), F.col(f"__u_{b}").alias("u")))).alias("e"))
+        ranked = open_ends.select("__id", "e.node", "e.u", F.row_number().over(Window.partitionBy("e.node").orderBy("__id")).alias("rank"))
+        sure = ranked.groupBy("__id").agg(F.min(F.col("rank") <= per_node - F.col("u")).alias("__sure"))
+        d = cut_lineage(r.drop(f"__u_{a}", f"__u_{b}").join(sure, "__id", "left").withColumn("__taken", F.col("__taken") | F.coalesce("__sure", F.lit(False))).drop("__sure"))
+        if d.filter("NOT __taken").isEmpty():
+            return d.select(*columns)
+    raise RuntimeError(f"links not settled in {max_rounds} rounds")

@@ -38,7 +38,6 @@ def metric_bundles(points: DataFrame, series: list[str], window: str | None = No
     one = F.struct(F.coalesce("fiscal_year", F.lit(0)).alias("y"), F.coalesce("fiscal_quarter", F.lit(0)).alias("q"), "period", index.alias("i"), (index - gap).alias("before"), "vs")
     s = contexts.groupBy(*series).agg(F.sort_array(F.collect_list(one), asc=False).alias("cs"))
     s = s.withColumn("conflicts", F.expr("filter(cs, c -> size(c.vs) > 1)"))
-    newest = F.struct(F.expr("element_at(cs, 1)").alias("c"))  # noqa: F841
     paired = F.expr("filter(cs, c -> exists(cs, p -> p.i = c.before))") if window else F.expr("filter(cs, c -> false)")
     s = s.withColumn("pairs", paired)
     flat = lambda cs: F.flatten(F.transform(cs, lambda c: F.transform(c.vs, lambda v: F.struct(c.period.alias("period"), v.value.alias("value"), v.object_id.alias("object_id")))))
