@@ -48,7 +48,7 @@ def normal_text(text: Column) -> Column:
 
 
 def word_runs(ws: Column, longest: int) -> Column:
-    """All runs of 1 to `longest` words of an array, joined by blanks, without repeats."""
+    """All runs of 1 to `longest` words of an array column, joined by blanks, without repeats; give a column, as an expression is taken anew for each run."""
     runs = [F.transform(ws, lambda w, i: F.array_join(F.slice(ws, i + 1, F.lit(n)), " ")) for n in range(1, longest + 1)]
     kept = [F.slice(r, F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(0))) for n, r in enumerate(runs, 1)]
     return F.array_distinct(F.concat(*kept))
@@ -56,8 +56,10 @@ def word_runs(ws: Column, longest: int) -> Column:
 
 def character_pairs(text: Column) -> Column:
     """Distinct pairs of neighbouring characters of a folded text."""
-    t = fold(text)
-    return F.filter(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))), lambda p: F.length(p) == 2)
+    # split into characters first, so that the text is folded once
+    cs = F.split(fold(text), "")
+    pairs = F.transform(F.arrays_zip(F.slice(cs, F.lit(1), F.greatest(F.size(cs) - 1, F.lit(0))).alias("a"), F.slice(cs, F.lit(2), F.greatest(F.size(cs) - 1, F.lit(0))).alias("b")), lambda p: F.concat(p["a"], p["b"]))
+    return F.filter(F.array_distinct(pairs), lambda p: F.length(p) == 2)
 
 
 # --- terms of a question, which is a short text of the caller

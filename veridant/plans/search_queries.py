@@ -143,7 +143,7 @@ def short_token_rescue(spark, d):
 def label_runs(spark, d):
     """Runs of up to four words of labels, how many objects hold each, and the companies it is a name of."""
     names = _t(spark, d, "global_object_locator").filter("company_name IS NOT NULL").select(F.array_join(words(F.col("company_name")), " ").alias("run"), "ticker").distinct()
-    x = _t(spark, d, "global_object_locator").filter("compact_label IS NOT NULL AND object_id IS NOT NULL").select("object_id", F.explode(word_runs(words(F.col("compact_label")), 4)).alias("run")).distinct()
+    x = _t(spark, d, "global_object_locator").filter("compact_label IS NOT NULL AND object_id IS NOT NULL").select("object_id", F.inline(F.array(F.struct(words(F.col("compact_label")).alias("ws"))))).select("object_id", F.explode(word_runs(F.col("ws"), 4)).alias("run")).distinct()
     return x.groupBy("run").agg(F.count("*").alias("objects")).join(names.groupBy("run").agg(F.countDistinct("ticker").alias("companies")), "run", "left").na.fill(0, ["companies"])
 
 
