@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veridant.functions import chart_labels
-from veridant.functions.lexical import word_runs, words
+from veridant.functions.lexical import normal_text, words
 from veridant.functions.text_units import period_sort_key
 from veridant.operators import spine
 from veridant.plans.evidence import _WORDS, _t, query
 from veridant.plans.metric_queries import MP, metric_points
+from veridant.session import spread
 
 _SLUG = "trim(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', '_', 'g'), '_')"
 _HAY = f"{_SLUG.format(c='metric_name')} || ' ' || {_SLUG.format(c='label')} || ' ' || lower(coalesce(label, ''))"
@@ -113,10 +114,10 @@ _ALIAS_SQL = ", ".join(f"('{a}', '{m}')" for a, m in _ALIASES)
 def metric_mentions(spark, d):
     """Documents that name a metric by any of its aliases, as whole words; the dictionary is small and given."""
     al = spark.createDataFrame(_ALIASES, "alias string, metric string")
-    # the words are made once, behind a Generate, and not anew for each run
-    w = _t(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.inline(F.array(F.struct(words(F.col("text")).alias("ws")))))
-    runs = F.filter(word_runs(F.col("ws"), 3), lambda r: r.isin([a for a, _ in _ALIASES]))
-    held = w.select("doc_id", F.explode(runs).alias("alias")).distinct()
+    # one pass over the folded words with all aliases, the longest first
+    pattern = r"(?<= )(" + "|".join(sorted((a for a, _ in _ALIASES), key=len, reverse=True)) + r")(?= )"
+    text = F.concat(F.lit(" "), normal_text(F.col("text")), F.lit(" "))
+    held = spread(_t(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))).alias("alias"))
     return held.groupBy("alias").agg(F.countDistinct("doc_id").alias("documents")).join(F.broadcast(al), "alias").select("metric", "alias", "documents")
 
 
