@@ -111,7 +111,7 @@ _AXES_SQL = "(SELECT unnest(['value', 'absolute_change', 'growth_rate', 'value_d
     f"""WITH {_VALUES}, ak AS (SELECT m AS metric, axis FROM (SELECT DISTINCT metric m FROM mp WHERE metric IS NOT NULL UNION SELECT 'not_a_metric') x, {_AXES_SQL}),
     gr AS (SELECT kind, metric, from_period, period, unit, currency, scope_key, metric_scope, period_basis, duration_basis, calculation_window, count(DISTINCT t) FILTER (t IN (FROM tt)) held, count(DISTINCT CASE WHEN ticker IN (FROM tt) AND other_ticker IN (FROM tt) THEN ticker || other_ticker END) pairs
       FROM (SELECT *, unnest([ticker, other_ticker]) t FROM cv) GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11),
-    be AS (SELECT metric, kind axis, max(held) covered, bool_or(held = 3 AND (kind <> 'value_difference' OR pairs >= 3)) complete FROM gr GROUP BY 1, 2)
+    be AS (SELECT metric, kind axis, max(held) covered, bool_or(held = (SELECT count(*) FROM tt) AND (kind <> 'value_difference' OR (pairs >= (SELECT count(*) * (count(*) - 1) // 2 FROM tt) AND (SELECT count(*) FROM tt) > 1))) complete FROM gr GROUP BY 1, 2)
     SELECT metric, axis, CASE WHEN covered IS NULL THEN 'missing' WHEN complete THEN 'covered' ELSE 'partial' END status, coalesce(covered, 0) covered FROM ak LEFT JOIN be USING (metric, axis)"""
 )
 def calculation_coverage(spark, d):
