@@ -74,18 +74,21 @@ def usual_change(level: np.ndarray) -> float:
     return float(np.sqrt(np.mean(d**2))) if len(d) else 0.0
 
 
+def _row_medians(windows: np.ndarray, least: int) -> np.ndarray:
+    """Median of the finite values of each row; NaN with fewer than `least`."""
+    ordered = np.sort(windows, axis=1)
+    n = np.isfinite(ordered).sum(axis=1)
+    rows = np.arange(len(ordered))
+    low, high = ordered[rows, np.maximum(n - 1, 0) // 2], ordered[rows, np.minimum(n // 2, ordered.shape[1] - 1)]
+    return np.where(n >= least, (low + high) / 2, np.nan)
+
+
 def _side_medians(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Median of up to REACH periods before and after each; NaN with fewer than LEAST."""
     n = len(level)
-    before, after = np.full(n, np.nan), np.full(n, np.nan)
     padded = np.concatenate([np.full(REACH, np.nan), level, np.full(REACH, np.nan)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, REACH)
-    for out, w in ((before, windows[:n]), (after, windows[REACH + 1 : REACH + 1 + n])):
-        counts = np.isfinite(w).sum(axis=1)
-        good = counts >= LEAST
-        if good.any():
-            out[good] = np.nanmedian(w[good], axis=1)
-    return before, after
+    return _row_medians(windows[:n], LEAST), _row_medians(windows[REACH + 1 : REACH + 1 + n], LEAST)
 
 
 def _leaves(x: np.ndarray, at: np.ndarray, kind: str, change: float) -> np.ndarray:
@@ -110,10 +113,8 @@ def hampel_band(level: np.ndarray, before: np.ndarray, after: np.ndarray, kind:
     off = np.abs(x - middle)
     overall = np.nanmedian(off) if np.isfinite(off).any() else 0.0
     windows = np.lib.stride_tricks.sliding_window_view(np.pad(off, REACH, constant_values=np.nan), 2 * REACH + 1)
-    spread = np.full(len(off), overall)
-    some = np.isfinite(windows).any(axis=1)
-    if some.any():
-        spread[some] = np.minimum(np.nanmedian(windows[some], axis=1), overall)
+    near = _row_medians(windows, 1)
+    spread = np.where(np.isfinite(near), np.minimum(near, overall), overall)
     return middle, 1.4826 * spread
 
 
@@ -134,9 +135,7 @@ def judge_source(period: np.ndarray, value: np.ndarray, kind: str) -> np.ndarray
     if bad.all():
         return reason
     periods, of = np.unique(period, return_inverse=True)
-    good = pd.DataFrame({"p": of[~bad], "v": value[~bad]}).groupby("p")["v"].median()
-    level = np.full(len(periods), np.nan)
-    level[good.index] = good.to_numpy()
+    level = _period_medians(of[~bad], value[~bad], len(periods))
     held = np.flatnonzero(np.isfinite(level))
     spot = np.full(len(periods), -1)
     spot[held] = np.arange(len(held))
@@ -164,8 +163,21 @@ def judge_source(period: np.ndarray, value: np.ndarray, kind: str) -> np.ndarray
     return reason
 
 
+def _period_medians(of: np.ndarray, value: np.ndarray, periods: int) -> np.ndarray:
+    """Median of the values of each period; NaN for a period without any."""
+    ordered = value[np.lexsort((value, of))]
+    n = np.bincount(of, minlength=periods)
+    first = np.cumsum(n) - n
+    out = np.full(periods, np.nan)
+    held = n > 0
+    out[held] = (ordered[first[held] + (n[held] - 1) // 2] + ordered[first[held] + n[held] // 2]) / 2
+    return out
+
+
 def _short_runs(flag: np.ndarray) -> np.ndarray:
     """Flags in runs of at most LONGEST_SPIKE."""
+    if not flag.any():
+        return flag
     out, i = flag.copy(), 0
     while i < len(flag):
         j = i
@@ -208,15 +220,19 @@ def flag_readings(readings: DataFrame, source: list[str], period: str, value: st
     null kind are not judged. Repeated rows come out as often as they came in.
     """
     r = readings.withColumns({"__kind": kind, "__v": F.col(value).cast("double")}).filter(f"`{period}` IS NOT NULL AND __v IS NOT NULL AND NOT isnan(__v) AND abs(__v) < double('infinity') AND __kind IS NOT NULL")
-    keys = [f"__s{i}" for i in range(len(source))]
-    r = r.withColumns({k: F.coalesce(F.col(s).cast("string"), F.lit("")) for k, s in zip(keys, source, strict=True)} | {"__p": F.col(period).cast("bigint")})
-    cells = r.groupBy(*keys, "__p", "__v").agg(F.first("__kind").alias("__kind"))
+    # one text stands for the source, so that less goes to Python and back
+    name = F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"s{i}") for i, c in enumerate(source)]))
+    r = r.withColumns({"__s": name, "__p": F.col(period).cast("bigint")})
+    cells = r.groupBy("__s", "__p", "__v").agg(F.first("__kind").alias("__kind"))
+    kinds = sorted(LIMITS)
+    cells = cells.select("__s", "__p", "__v", (F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("__kind")) - 1).cast("int").alias("__kind"))
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__p", "__v"])
-        reason = judge_source(pdf["__p"].to_numpy(), pdf["__v"].to_numpy(), pdf["__kind"].iloc[0])
-        return pdf.assign(reason=reason)[[*keys, "__p", "__v", "reason"]][reason != ""]
-
-    schema = ", ".join([*(f"{k} string" for k in keys), "__p bigint", "__v double", "reason string"])
-    found = cells.groupBy(*keys).applyInPandas(judge, schema)
-    return r.drop("reason").join(found, [*keys, "__p", "__v"]).drop(*keys, "__p", "__v", "__kind")
+        p, v = pdf["__p"].to_numpy(), pdf["__v"].to_numpy()
+        order = np.lexsort((v, p))
+        reason = judge_source(p[order], v[order], kinds[pdf["__kind"].iat[0]])
+        found = np.flatnonzero(reason != "")
+        return pd.DataFrame({"__s": pdf["__s"].iat[0], "__p": p[order[found]], "__v": v[order[found]], "reason": reason[found]})
+
+    found = cells.groupBy("__s").applyInPandas(judge, "__s string, __p bigint, __v double, reason string")
+    return r.drop("reason").join(found, ["__s", "__p", "__v"]).drop("__s", "__p", "__v", "__kind")
