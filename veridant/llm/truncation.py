@@ -76,8 +76,8 @@ LABEL_NUMBER = r"(?i)(fiscal|item|items|note|notes|page|section|part|year|ejerci
 
 #: A word and a number before a full stop, at the end of what is looked at.
 NUMBER_END = r"(?<!\S)(\S{1,40}\s\S{0,40}\d)$"
-#: Characters that the pattern looks back at.
-NUMBER_REACH = 84
+#: The same before a full stop inside a text. It begins with the full stop, so that nothing is looked at elsewhere.
+NUMBER_INSIDE = r"\.(?<=\d\.)(?<=(?<!\S)(\S{1,40}\s\S{0,40}\d)\.)"
 #: Share of its places inside texts in which a number with a full stop ends a sentence: from the first on it closes
 #: a text, up to the second it is a cut decimal. Bounds of Wilson's interval at Z decide, so that few places decide little.
 SENTENCE_SHARE, DECIMAL_SHARE = 0.5, 0.1
@@ -89,8 +89,8 @@ BLANKS = " \t\r\n\f\u000b\u00a0\u2028\u2029"
 TAIL = 400
 
 
-#: List items and signatures, as whole lines.
-LINES = {"list": r"^([-*•]|\d+[.)]) ", "signature": r"^(/s/|—|–|--) ?\S[^\n]*,"}
+#: List items and signatures that are whole lines before others, after the line end before them.
+LINES = {"list": r"\n((?:[-*•]|\d+[.)]) [^\n]*)(?=\n)", "signature": r"\n((?:/s/|—|–|--) ?\S[^\n]*,[^\n]*)(?=\n)"}
 #: Values that an open shape counts for before anything is seen: cut texts at significant lengths, and elsewhere, of PRIOR_TEXTS each.
 PRIOR_AT_LIMIT, PRIOR_ELSEWHERE, PRIOR_TEXTS = 9.0, 1.0, 10.0
 
@@ -135,11 +135,9 @@ def _form_key(x: Column) -> Column:
 
 def _inner_numbers(t: str) -> Column:
     """Distinct (number, form, decimal) inside a text: numbers with a full stop that goes on as a decimal or ends a sentence."""
-    tail = lambda x: F.regexp_extract(F.right(x, F.lit(NUMBER_REACH)), NUMBER_END, 1)
-    entry = lambda x, decimal: F.struct(_number_key(tail(x)).alias("number"), _form_key(tail(x)).alias("form"), F.lit(decimal).alias("decimal"))
-    before = lambda parts: F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    decimals = before(F.split(t, r"(?<=\d)\.(?=\d)"))
-    sentences = before(F.split(t, r"""(?<=\d)\.(?=\s+["“(]?\p{Lu})"""))
+    entry = lambda x, decimal: F.struct(_number_key(x).alias("number"), _form_key(x).alias("form"), F.lit(decimal).alias("decimal"))
+    decimals = F.regexp_extract_all(t, F.lit(NUMBER_INSIDE + r"(?=\d)"), 1)
+    sentences = F.regexp_extract_all(t, F.lit(NUMBER_INSIDE + r"""(?=\s+["“(]?\p{Lu})"""), 1)
     found = F.concat(F.transform(decimals, lambda x: entry(x, True)), F.transform(sentences, lambda x: entry(x, False)))
     return F.array_distinct(F.filter(found, lambda x: x.number.isNotNull()))
 
@@ -167,9 +165,8 @@ def _part(kind: str, x: Column) -> Column:
 
 def _inner_parts(t: str) -> Column:
     """Distinct keys of the list items and signatures that are whole lines before others."""
-    lines = F.split(t, "\n")
-    before = F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))
-    return F.array_distinct(F.concat(*[F.transform(F.filter(before, partial(lambda rx, x: x.rlike(rx), rx)), partial(_part, k)) for k, rx in LINES.items()]))
+    after_line_end = F.concat(F.lit("\n"), F.col(t))
+    return F.array_distinct(F.concat(*[F.transform(F.regexp_extract_all(after_line_end, F.lit(rx), 1), partial(_part, k)) for k, rx in LINES.items()]))
 
 
 def _closing_parts(narrow: DataFrame) -> DataFrame:
