@@ -24,7 +24,7 @@ def _folding() -> tuple[str, str]:
     for low, high in FOLDED_RANGES:
         for c in map(chr, range(low, high)):
             base = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x)).lower()
-            if len(base) == 1 and base != c.lower():
+            if len(base) == 1 == len(c.lower()) and base != c.lower():
                 pairs.append((c.lower(), base))
     pairs = dict(pairs)
     return "".join(pairs), "".join(pairs.values())

@@ -32,7 +32,8 @@ def period_alignment(left: Column, right: Column) -> tuple[Column, Column]:
 
 
 def bounded(value: Column, otherwise: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(value, F.lit(1.0))), otherwise)
+    """The value within 0 and 1, `otherwise` if it is null; least and greatest alone would pass over a null."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(value, F.lit(1.0)))).otherwise(otherwise)
 
 
 def edge_score(confidence: Column, grade: Column, materiality: Column, recency: Column, alignment: Column) -> Column:

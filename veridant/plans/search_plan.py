@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veridant.operators import lineage, ranking, relational, series, textsearch
+from veridant.operators import lineage, ranking, relational, series, spine, textsearch
 from veridant.session import table
 
 
@@ -92,3 +92,45 @@ class Engine:
         p = self._t("chart_series_points").drop("ticker").join(self._t("chart_series").select("series_key", "ticker", "canonical_metric", "unit", "scope_kind", "scope_key", "period_type").distinct(), "series_key")
         p = relational.scope_filter(p, ticker=tickers, canonical_metric=[metric])
         return series.latest_contexts(p, ["ticker", "canonical_metric", "unit", "scope_kind", "scope_key", "period_type"], 2)
+
+    def topic_map(self, ticker: str) -> DataFrame:
+        """Labels of a company by kind of object, the commonest first."""
+        o = self._t("global_object_locator").filter((F.col("ticker") == ticker) & F.col("compact_label").isNotNull())
+        return o.groupBy("object_type", "compact_label").agg(F.countDistinct("object_id").alias("objects")).orderBy(F.col("objects").desc(), "object_type", "compact_label")
+
+    def get_object(self, object_id: str) -> DataFrame:
+        """The newest delivery of one object."""
+        return self._t("global_object_locator").filter(F.col("object_id") == object_id).orderBy(F.col("loaded_at").desc(), "shard_id").limit(1)
+
+    def list_documents(self, tickers: list[str] | None = None, document_types: list[str] | None = None) -> DataFrame:
+        """Documents in scope by company, form and period."""
+        o = relational.scope_filter(self._t("global_object_locator").filter("document_id IS NOT NULL"), ticker=tickers or [], document_type=document_types or [])
+        return o.groupBy("document_id").agg(F.min("ticker").alias("ticker"), F.min("document_type").alias("document_type"), F.min("period").alias("period"), F.countDistinct("object_id").alias("objects")).orderBy("ticker", "document_type", "period", "document_id")
+
+    def bundle(self, object_id: str) -> DataFrame:
+        """An object with its claims and quotes, over one and two steps."""
+        newest = self.get_object(object_id)
+        support = spine.support_pairs(self._t("global_edge_spine"), self._t("global_object_locator").select("object_id", "object_type").distinct())
+        return newest.join(spine.evidence_lineage(newest.select("object_id", "object_type"), support).drop("object_type"), "object_id")
+
+    def chain(self, object_id: str, depth: int = 2, per_step: int = 20) -> DataFrame:
+        """(depth, from_object_id, to_object_id, relation_type): the edges around an object, breadth first, `per_step` from a node.
+
+        The nodes of a depth are as few as depth and `per_step` allow, so each step is a semi-join with a small side.
+        """
+        e = self._t("global_edge_spine").filter("from_object_id IS NOT NULL AND to_object_id IS NOT NULL").select("from_object_id", "to_object_id", "relation_type").distinct()
+        both = e.unionByName(e.select(F.col("to_object_id").alias("from_object_id"), F.col("from_object_id").alias("to_object_id"), "relation_type"))
+        seen = self.spark.createDataFrame([(object_id,)], "from_object_id string")
+        out = None
+        for d in range(1, depth + 1):
+            w = Window.partitionBy("from_object_id").orderBy("relation_type", "to_object_id")
+            step = both.join(seen, "from_object_id", "left_semi").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_step).select(F.lit(d).alias("depth"), "from_object_id", "to_object_id", "relation_type")
+            out = step if out is None else out.unionByName(step)
+            seen = step.select(F.col("to_object_id").alias("from_object_id")).distinct()
+        return out
+
+    def verify_evidence(self, quotes: DataFrame) -> DataFrame:
+        """quotes (span_id, quote) with `match`: exact, normalized, empty, failed, or no_source."""
+        s = self._t("mini_10k_spans").filter("id IS NOT NULL").groupBy(F.col("id").alias("span_id")).agg(F.max("text").alias("text"))
+        m = quotes.join(s, "span_id", "left")
+        return m.withColumn("match", F.when(F.col("text").isNull(), "no_source").otherwise(spine.quote_match(F.col("quote"), F.col("text")))).drop("text")

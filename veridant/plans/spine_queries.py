@@ -31,7 +31,7 @@ def _scored(spark, d):
     return e.withColumn("score", spine.edge_score(F.col("confidence"), F.col("evidence_grade"), F.col("materiality"), F.col("recency_score"), F.col("worth")))
 
 
-_B = "greatest(0, least({v}, 1))"
+_B = "CASE WHEN {v} IS NOT NULL THEN greatest(0, least({v}, 1)) END"
 _SCORED = f"""{OBJECTS}, {_EDGES}, sc AS (SELECT ed.*, a.period from_period, b.period to_period, b.status, {_ALIGN} worth FROM ed JOIN ob a ON a.object_id = from_object_id JOIN ob b ON b.object_id = to_object_id),
     se AS (SELECT *, round(greatest(0.05, least((0.42 * coalesce({_B.format(v="confidence")}, 0.6) + 0.28 * CASE lower(trim(evidence_grade)) WHEN 'direct' THEN 1.0 WHEN 'high' THEN 0.9 ELSE 0.58 END + 0.15 * coalesce({_B.format(v="materiality")}, 0.5) + 0.15 * coalesce({_B.format(v="recency_score")}, worth)) * (0.9 + 0.1 * worth), 1)) + 1e-10, 6) score FROM sc)"""
 
