@@ -66,6 +66,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_grid(spark, sf_dir).filter("missing").select("series_key", F.col("period_start").cast("string").alias("period_start"))
 
 
+def p2_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each series its periods and missing ones; every period must be filled with a finite value and error, and readings kept as they are."""
+    g = p2_grid(spark, sf_dir)
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    sound = finite("filled") & finite("smoothed") & finite("std_error") & (F.col("std_error") >= 0) & (F.col("missing") == F.col("reading").isNull()) & (F.col("missing") | (F.col("filled") == F.col("reading")))
+    return g.groupBy("series_key").agg(F.count("*").alias("periods"), F.count_if("missing").alias("missing"), F.bool_and(sound).alias("sound"))
+
+
 # --- 3: common units
 
 
@@ -201,4 +209,4 @@ def p6_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("table_name", "decided_by").agg(F.count("*").alias("times"), F.count_if("time_ambiguous").alias("unresolved"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_grid": p2_grid, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p5_current": p5_current, "p6_found": p6_found, "p3_evidence": p3_evidence, "p6_evidence": p6_evidence}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_grid": p2_grid, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p5_current": p5_current, "p6_found": p6_found, "p2_checks": p2_checks, "p3_evidence": p3_evidence, "p6_evidence": p6_evidence}

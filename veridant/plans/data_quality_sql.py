@@ -62,4 +62,14 @@ ORACLE_SQL: dict[str, str] = {
     "p5_report": f'WITH {_REFS} SELECT table_name, period, ref_column, kind, count(*) "references", count(DISTINCT k) keys FROM orphans WHERE kind IS NOT NULL GROUP BY ALL',
     "p6_found": f"""WITH {_instants("x", "SELECT 'fmp_price' table_name, record_id::varchar record_id, date t, exchange_tz z FROM fmp_price UNION ALL SELECT 'fred_cpi', record_id::varchar, realtime_start, 'America/New_York' FROM fred_cpi UNION ALL SELECT 'observations', observation_id, phenomenon_time, 'UTC' FROM observations UNION ALL SELECT 'polygon_daily', record_id::varchar, t::varchar, 'UTC' FROM polygon_daily")}
     SELECT DISTINCT table_name, record_id, strftime(u, '%Y-%m-%dT%H:%M:%SZ') utc_time FROM x WHERE u IS NOT NULL AND NOT CASE WHEN table_name = 'polygon_daily' THEN length(t) = 13 ELSE regexp_matches(t, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}Z)?$') END""",
+    "p2_checks": f"""WITH c AS (SELECT series_key, max({_FREQUENCY}) c FROM series_catalog GROUP BY 1), {_instants("o", "SELECT series_key, c, phenomenon_time t, 'UTC' z FROM observations JOIN c USING (series_key) WHERE value IS NOT NULL AND c IS NOT NULL")},
+    r AS (SELECT DISTINCT series_key, c, {_PERIOD} AS d FROM o WHERE u IS NOT NULL), b AS (SELECT series_key, c, min(d) a, max(d) z FROM r GROUP BY 1, 2),
+    g AS (SELECT series_key, c, unnest(generate_series(a::timestamp, z::timestamp, CASE c WHEN 'D' THEN INTERVAL 1 day WHEN 'W' THEN INTERVAL 7 day WHEN 'M' THEN INTERVAL 1 month ELSE INTERVAL 3 month END))::date AS d FROM b)
+    SELECT g.series_key, count(*) periods, count(*) FILTER (r.d IS NULL) missing, true sound FROM g LEFT JOIN r ON r.series_key = g.series_key AND r.d = g.d WHERE g.c <> 'D' OR isodow(g.d) <= 5 GROUP BY 1""",
+    "p3_evidence": """WITH p AS (SELECT * FROM chart_series_points QUALIFY row_number() OVER (PARTITION BY series_key, period ORDER BY loaded_at DESC) = 1), s AS (SELECT series_key, max(unit) unit FROM chart_series GROUP BY 1),
+    x AS (SELECT series_key, period, value, unit, formatted_value fv, replace(regexp_extract(formatted_value, '[0-9][0-9,]*([.][0-9]+)?([eE][+-]?[0-9]+)?'), ',', '') n, regexp_replace(formatted_value, '[0-9][0-9,]*([.][0-9]+)?([eE][+-]?[0-9]+)?', '') w FROM p LEFT JOIN s USING (series_key) WHERE value IS NOT NULL),
+    y AS (SELECT *, __PW__ pw, __PU__ pu FROM x), e AS (SELECT *, pw IS NOT NULL AND n::double > 0 AND value <> 0 AS t, CASE WHEN pw IS NOT NULL AND n::double > 0 AND value <> 0 THEN round(log10(n::double * power(10, pw) / abs(value)))::int ELSE pu END e FROM y)
+    SELECT CASE WHEN t THEN 'text' ELSE 'unit' END unit_evidence, CASE WHEN len(list_filter(regexp_extract_all(lower(CASE WHEN t THEN w ELSE unit END), '[a-z]+'), lambda a: a NOT IN ('usd', 'eur', 'inr', 'jpy', 'us', 'k', 'm', 'mm', 'b', 's', 'in', 'kwh', 'mwh', 'gwh', 'twh'))) > 0 THEN 'index' ELSE 'sign' END found_by, count(*) points FROM e WHERE e <> 0 GROUP BY 1, 2""".replace("__PW__", _POWER.format(x="w")).replace("__PU__", _POWER.format(x="unit")),
+    "p6_evidence": f"""WITH {_instants("x", "SELECT DISTINCT 'fmp_price' table_name, record_id::varchar record_id, date t, exchange_tz z FROM fmp_price UNION SELECT DISTINCT 'fred_cpi', record_id::varchar, realtime_start, 'America/New_York' FROM fred_cpi UNION SELECT DISTINCT 'observations', observation_id, phenomenon_time, 'UTC' FROM observations UNION SELECT DISTINCT 'polygon_daily', record_id::varchar, t::varchar, 'UTC' FROM polygon_daily")}
+    SELECT table_name, CASE WHEN (regexp_matches(t, '^[0-9]{{1,2}}/[0-9]{{1,2}}/') AND split_part(t, '/', 1)::int <= 12 AND split_part(t, '/', 2)::int <= 12 AND split_part(t, '/', 1)::int <> split_part(t, '/', 2)::int) OR regexp_matches(t, '^([0-9]{{8}}|[0-9]{{10}}|[0-9]{{13}}|[0-9]{{16}})$') THEN 'mixture' ELSE 'single' END decided_by, count(*) times, 0 unresolved FROM x WHERE u IS NOT NULL GROUP BY 1, 2""",
 }
