@@ -205,3 +205,67 @@ def test_long_closing_lines_are_cut_at_significant_lengths_only(spark):
     other = [("Lead. " + "x" * rng.randrange(50, 2500) + ".", "b") for _ in range(400)]
     found = find_truncated(spark.createDataFrame(free + limit + other, "text string, source string"), "text", "source")
     assert {r.text for r in found.filter("truncated").collect()} == {t for t, _ in limit}
+
+
+def test_wand_decides_the_rows_and_skips_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{min(int(rng.expovariate(0.02)), 400)}" for _ in range(50))) for i in range(300)]
+    ix = ItemIndex(items, 12)
+    place = {i: d for d, i in enumerate(ix.ids)}
+    held = sum(map(len, ix.docs))
+    touched = 0
+    for i, t in items[:60]:
+        ws = t.split()
+        before = ix.scored
+        query = sorted({ix.term[w] for w in ws[10:34]})
+        assert place[i] in ix.retrieve(query)
+        touched += ix.scored - before
+        every = sum(len(ix.docs[q]) for q in query)
+        assert ix.scored - before < every
+    # most postings of the query terms are passed over by block
+    assert touched < 0.5 * sum(sum(len(ix.docs[q]) for q in {ix.term[w] for w in t.split()[10:34]}) for _, t in items[:60]) and held
+    text = "before " + items[5][1] + " after"
+    assert {x[0] for x in ix.leaks(text, 48)} == {5}
+    monkeypatch.setattr(ItemIndex, "retrieve", lambda self, terms: [])
+    assert ix.leaks(text, 48) == []
+
+
+def test_overlap_of_question_and_answer():
+    item = "How many lanterns did the harbour guild of Ostmark order in that spring? Answer: forty two brass lanterns with green glass panes and iron hooks for the long pier"
+    ix = ItemIndex([(1, item)], 12)
+    question = item.split("Answer:")[0]
+    (_, _, run, q, a) = ix.leaks("It was asked: " + question, 96)[0]
+    assert run == 13 and q == 1.0 and a < 0.5
+    (_, _, run, q, a) = ix.leaks("forty two brass lanterns with green glass panes and iron hooks for the long pier", 96)[0]
+    assert a == 1.0 and q < 1.0
+    (_, _, _, q, a) = ItemIndex([(1, question)], 12).leaks(question, 96)[0]
+    assert q == 1.0 and a is None
+    assert ix.leaks("", 96) == [] and ix.leaks("forty two brass", 96) == []
+
+
+def test_best_fit_leaves_less_than_first_fit_and_opens_fitting_sizes():
+    rng = random.Random(3)
+    sizes = [rng.randrange(1, 2049) for _ in range(4000)]
+    packed = pack_sizes(sizes, (256, 512, 1024, 2048))
+    assert sorted(i for _, b in packed for i in b) == list(range(4000))
+    assert all(sum(sizes[i] for i in b) <= c for c, b in packed)
+    assert sum(sizes) / sum(c for c, _ in packed) > 0.97
+    # an item goes where it leaves the least room: 60 joins 40, not 30
+    assert sorted(sorted(sizes) for sizes in ([[70, 40, 30, 60][i] for i in b] for _, b in pack_sizes([70, 40, 30, 60], (100,)))) == [[30, 70], [40, 60]]
+    assert [c for c, _ in pack_sizes([250], (256, 512))] == [256]
+
+
+def test_endings_off_limits_count_by_the_shapes_of_cuts(spark):
+    rng = random.Random(11)
+    rows = [("x" * 40 + ". Word " * 8 + "and " + "".join(rng.choice("abcdef") for _ in range(296)), "a") for _ in range(80)]
+    rows = [(t[:300], s) for t, s in rows]
+    rows += [("S" * rng.randrange(40, 900) + " is one. It closed here.", "a") for _ in range(400)]
+    # endings with a colon are common off limits and never at them: no shape of cuts
+    rows += [("S" * rng.randrange(400, 900) + " is one. The list is as follows:", "a") for _ in range(200)]
+    rows += [("Sentence one is here. Then it sto", "b")]
+    got = find_truncated(spark.createDataFrame(rows, "text string, source string"), "text", "source").collect()
+    by = {}
+    for r in got:
+        kind = "limit" if len(r.text) == 300 else "colon" if r.text.endswith(":") else "lone" if r.source == "b" else "closed"
+        by.setdefault(kind, set()).add((r.evidence, r.truncated))
+    assert by == {"limit": {("length", True)}, "closed": {(None, False)}, "colon": {(None, False)}, "lone": {("ending", True)}}

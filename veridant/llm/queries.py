@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridant.llm.leakage import find_leaks
@@ -33,6 +33,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.filter("piece_index = 0").select("span_id", "coarsest_boundary").distinct()
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each oversized section what its pieces must hold: within the limit, overlaps of 200, the whole text covered, cut at the coarsest places."""
+    p = p7_pieces(spark, sf_dir).filter("piece_count > 1")
+    w = Window.partitionBy("span_id", "piece_count", "document_start_of").orderBy("piece_index")
+    p = p.withColumn("document_start_of", F.coalesce(F.col("document_start") - F.col("piece_start"), F.lit(-1)))
+    p = p.withColumn("before", F.lag("piece_end").over(w))
+    g = p.groupBy("span_id", "section_name", "document_start_of", "piece_count").agg(
+        F.bool_and((F.length("piece_text") <= 2000) & (F.length("piece_text") == F.col("piece_end") - F.col("piece_start"))).alias("within_limit"),
+        F.bool_and(F.when(F.col("piece_index") == 0, F.col("piece_start") == 0).otherwise(F.col("before") - F.col("piece_start") == 200)).alias("overlapping"),
+        F.max("piece_end").alias("characters"),
+        F.bool_and(~F.col("boundary").isin("none") | (F.col("coarsest_boundary") == "none")).alias("natural"),
+    )
+    return g.select("span_id", "characters", "within_limit", "overlapping", "natural").distinct()
+
+
 # --- 8: containers of 2,048 tokens
 
 
@@ -48,6 +63,16 @@ def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_summary(p8_containers(spark, sf_dir))
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the containers must hold: every document with text once, none over its capacity, none split that fits, little room unused."""
+    p = p8_containers(spark, sf_dir)
+    c = p.groupBy("container_id", "capacity").agg(F.sum("part_size").alias("held"))
+    d = p.groupBy("doc_id").agg(F.sum("part_size").alias("size"), F.count("*").alias("parts"), F.count_if(F.col("part") == 0).alias("firsts"))
+    full = c.agg(F.count_if(F.col("held") > F.col("capacity")).alias("over_capacity"), (F.sum("held") / F.sum("capacity") >= 0.97).alias("well_filled"))
+    # one row
+    return d.agg(F.count("*").alias("documents"), F.count_if((F.col("parts") > 1) & (F.col("size") <= 2048)).alias("split_needlessly"), F.count_if(F.col("firsts") != 1).alias("placed_twice")).join(F.broadcast(full))
+
+
 # --- 9: evaluation items in training texts
 
 
@@ -85,4 +110,4 @@ def p10_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("evidence").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p8_usage": p8_usage, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_rates": p10_rates, "p10_evidence": p10_evidence}
+QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p7_checks": p7_checks, "p8_containers": p8_containers, "p8_usage": p8_usage, "p8_checks": p8_checks, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_rates": p10_rates, "p10_evidence": p10_evidence}
