@@ -266,6 +266,6 @@ def test_endings_off_limits_count_by_the_shapes_of_cuts(spark):
     got = find_truncated(spark.createDataFrame(rows, "text string, source string"), "text", "source").collect()
     by = {}
     for r in got:
-        kind = "limit" if len(r.text) == 300 else "colon" if r.text.endswith(":") else "lone" if r.source == "b" else "closed"
+        kind = "lone" if r.source == "b" else "colon" if r.text.endswith(":") else "closed" if r.text.endswith(".") else "limit"
         by.setdefault(kind, set()).add((r.evidence, r.truncated))
     assert by == {"limit": {("length", True)}, "closed": {(None, False)}, "colon": {(None, False)}, "lone": {("ending", True)}}
