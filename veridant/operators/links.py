@@ -38,13 +38,6 @@ def jaccard_links(labels: DataFrame, label: str, threshold: float) -> DataFrame:
     return pairs.select("label_a", "label_b", j.alias("j")).filter(F.col("j") >= threshold - 1e-12).select("label_a", "label_b", F.round("j", 6).alias("jaccard"))
 
 
-def link_weight(tickers: str, evidence: str, materiality: str):
-    """(1 / sqrt n) x evidence x materiality x (1 - clamp((n - 10) / 100, 0, 0.75))."""
-    n = F.col(tickers)
-    damp = 1 - F.greatest(F.least((n - 10) / 100, F.lit(0.75)), F.lit(0.0))
-    return F.round(1 / F.sqrt(F.greatest(n, F.lit(1))) * F.col(evidence) * F.col(materiality) * damp, 6)
-
-
 def cap_links(links: DataFrame, a: str, b: str, weight: str, per_pair: int = 8, per_node: int = 500, max_rounds: int = 64) -> DataFrame:
     """Greedy selection by weight: at most `per_pair` links of a pair and `per_node` of a node; ties by the ends.
 

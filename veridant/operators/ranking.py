@@ -59,10 +59,3 @@ def first_rung(rungs: list[DataFrame], item: str, score: str) -> DataFrame:
     for t in tagged[1:]:
         union = union.unionByName(t)
     return union.groupBy(item).agg(F.min(F.struct("rung", (-F.col("score")).alias("s"))).alias("b")).select(item, F.col("b.rung").alias("rung"), (-F.col("b.s")).alias("score"))
-
-
-def min_max(score: str, group: Column | None = None) -> Column:
-    """Score scaled to 0..1; a constant list gives 1."""
-    w = Window.partitionBy(F.lit(1) if group is None else group)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return F.when(high == low, F.lit(1.0)).otherwise((F.col(score) - low) / (high - low))

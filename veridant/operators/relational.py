@@ -14,11 +14,6 @@ def scope_filter(df: DataFrame, **wanted: list | None) -> DataFrame:
     return df
 
 
-def not_rejected(status: str = "review_status") -> Column:
-    """A null status counts as not rejected."""
-    return F.col(status).isNull() | (F.col(status) != "rejected")
-
-
 def prefix_upper_bound(prefix: str) -> str:
     """Exclusive upper bound of all texts with the prefix."""
     return prefix[:-1] + chr(ord(prefix[-1]) + 1)
@@ -35,11 +30,6 @@ def ordered_lookup(df: DataFrame, key: str, ids: list[str]) -> DataFrame:
     return df.join(F.broadcast(wanted), key)
 
 
-def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
-
-
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group, with their rank; the window group limit prunes before the shuffle."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)

@@ -554,15 +554,6 @@ def pair_coherence(spark, d):
     return textsearch.term_pairs(_documents(spark, d), "doc_id", "text", TERMS)
 
 
-@query(
-    """SELECT s.id, d.doc_id FROM (SELECT DISTINCT id, md5(text) h FROM mini_10k_spans WHERE text IS NOT NULL) s JOIN (SELECT DISTINCT doc_id, md5(text) h FROM documents WHERE text IS NOT NULL) d USING (h)"""
-)
-def exact_text_match(spark, d):
-    """Spans that are a document word for word, by digest."""
-    h = lambda n, k: _t(spark, d, n).filter("text IS NOT NULL").select(k, F.md5("text").alias("h")).distinct()
-    return h("mini_10k_spans", "id").join(h("documents", "doc_id"), "h").select("id", "doc_id")
-
-
 @query("""SELECT series_key, json_extract_string(provenance_json, '$.provider') provider, count(*) n, max(json_extract_string(provenance_json, '$.batch')::int) last_batch FROM observations GROUP BY 1, 2""")
 def json_path_rollup(spark, d):
     """Readings by provider, from their provenance."""

@@ -7,12 +7,13 @@ from functools import partial
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veridant.functions import screening
 from veridant.functions.numbers import extract_numbers
 from veridant.functions.spans import sentence_candidates, span_windows
 from veridant.functions.text_units import section_key
 from veridant.operators import relational, textsearch
 from veridant.plans.evidence import _t, _WORDS
-from veridant.session import small_side
+from veridant.session import small_side, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -85,16 +86,22 @@ def topic_map(spark, d):
     return relational.top_per_group(c, ["ticker"], [F.col("objects").desc(), F.col("term")], 10)
 
 
+def _list(xs) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+
+
 @query(
-    """SELECT reason, count(*) spans, sum(length(text)) chars FROM (SELECT text, CASE WHEN length(text) < 60 THEN 'too_short' WHEN regexp_matches(text, '^\\s*\\|') THEN 'layout' WHEN regexp_matches(lower(text), 'table of contents') THEN 'contents' WHEN regexp_matches(text, '/s/') THEN 'signature'
-    WHEN regexp_matches(lower(text), '(revenue|margin|risk|demand|customers|segment)') THEN 'keep' ELSE 'no_candidate' END reason FROM (SELECT DISTINCT id, text FROM mini_10k_spans WHERE text IS NOT NULL)) GROUP BY 1"""
+    f"""WITH x AS (SELECT DISTINCT id, text, section_key FROM mini_10k_spans WHERE id IS NOT NULL), a AS (SELECT *, split_part(coalesce(section_key, ''), '#', 1) sec, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) p, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: trim(l)), lambda l: l <> '') ls FROM x),
+    b AS (SELECT *, lower(p) low, len(list_filter(ls, lambda l: regexp_matches(l, '(?i)^(item\\s+\\d{{1,2}}[a-z]?|part\\s+[ivx]+)\\b.+\\s+\\d{{1,4}}$'))) n, string_split(regexp_replace(p, '([.!?])\\s+([A-Z0-9"''(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) ss FROM a),
+    c AS (SELECT *, len(list_filter(ss, lambda s: length(s) BETWEEN 60 AND 1200 AND (list_contains({_list(screening.TARGET_SECTIONS)}, sec) OR len(list_filter({_list(screening.QUOTE_WORDS)}, lambda k: contains(lower(s), k))) > 0))) cand FROM b)
+    SELECT id, CASE WHEN p = '' THEN 'empty_span' WHEN length(regexp_replace(p, '[^\\p{{L}}\\p{{N}}]', '', 'g')) < 12 THEN 'layout_fragment' WHEN (n >= 3 AND n * 2 >= len(ls)) OR (starts_with(low, 'table of contents') AND n >= 2) THEN 'toc_like' WHEN list_contains({_list(screening.STRUCTURAL_LABELS)}, regexp_replace(low, '^[ .:-]+|[ .:-]+$', '', 'g')) THEN 'structural_label'
+      WHEN sec = 'cover' THEN 'cover_metadata' WHEN contains(low, '/s/') OR contains(low, 'pursuant to the requirements of section') THEN 'signature_or_certification_boilerplate' WHEN list_contains({_list(screening.EXHIBIT_SECTIONS)}, sec) THEN 'exhibit_index_or_list' WHEN cand = 0 THEN 'no_quote_candidates' WHEN list_contains({_list(screening.TARGET_SECTIONS)}, sec) THEN 'core_section' ELSE 'has_quote_candidates' END reason, count(*) versions FROM c GROUP BY 1, 2"""
 )
 def span_eligibility(spark, d):
-    """Spans by the first rule that keeps or skips them."""
-    low = F.lower("text")
-    reason = F.when(F.length("text") < 60, "too_short").when(F.col("text").rlike(r"^\s*\|"), "layout").when(low.contains("table of contents"), "contents").when(F.col("text").contains("/s/"), "signature").when(low.rlike("(revenue|margin|risk|demand|customers|segment)"), "keep").otherwise("no_candidate")
-    s = _t(spark, d, "mini_10k_spans").filter("text IS NOT NULL").select("id", "text").distinct()
-    return s.groupBy(reason.alias("reason")).agg(F.count("*").alias("spans"), F.sum(F.length("text")).alias("chars"))
+    """Each span with the first rule that keeps or skips it."""
+    s = _t(spark, d, "mini_10k_spans").filter("id IS NOT NULL").select("id", "text", "section_key").distinct()
+    section = F.substring_index(F.coalesce("section_key", F.lit("")), "#", 1)
+    return s.select("id", screening.eligibility(F.col("text"), section).alias("reason")).groupBy("id", "reason").agg(F.count("*").alias("versions"))
 
 
 @query(
@@ -147,21 +154,31 @@ def company_catalog(spark, d):
     return c.groupBy("ticker").agg(listed.alias("forms"), F.sum("n").alias("documents"))
 
 
-@query(
-    """SELECT doc_id, event_type, nullif(regexp_extract(text, '(January|February|March|April|May|June|July|August|September|October|November|December)', 1), '') event_month FROM (SELECT DISTINCT doc_id, text, CASE WHEN regexp_matches(lower(text), 'restructuring') THEN 'restructuring' WHEN regexp_matches(lower(text), 'acquired|acquisition') THEN 'acquisition' WHEN regexp_matches(lower(text), 'dividend') THEN 'dividend' END event_type FROM documents) WHERE event_type IS NOT NULL"""
-)
+_KIND = " ".join(f"WHEN len(list_filter({_list(ws)}, lambda k: contains(low, k))) > 0 THEN '{k}'" for k, ws in screening.EVENT_KINDS.items())
+_EVENTS = f"""w AS (SELECT doc_id, ticker, period, text, lower(text) low FROM documents WHERE text IS NOT NULL), ev AS (SELECT DISTINCT doc_id, ticker, coalesce(period, 'ALL') period, CASE {_KIND} ELSE 'business_update' END event_type, nullif(regexp_extract(text, '\\b((?:January|February|March|April|May|June|July|August|September|October|November|December)\\s+\\d{{4}})\\b', 1), '') event_date FROM w WHERE len(list_filter({_list(screening.EVENT_WORDS)}, lambda k: contains(low, k))) > 0)"""
+
+
+def _change_events(spark, d):
+    e = spread(_t(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "ticker", "period", "text"))
+    day = F.nullif(F.regexp_extract("text", screening.MONTH_YEAR, 1), F.lit(""))
+    e = e.select("doc_id", "ticker", F.coalesce("period", F.lit("ALL")).alias("period"), screening.event_kind(F.col("text")).alias("event_type"), day.alias("event_date"))
+    return e.filter("event_type IS NOT NULL").distinct()
+
+
+@query(f"WITH {_EVENTS} SELECT doc_id, ticker, period, event_type, event_date FROM ev")
 def change_events(spark, d):
-    """Documents that tell of an event, with the first month they name."""
-    low = F.lower("text")
-    kind = F.when(low.contains("restructuring"), "restructuring").when(low.rlike("acquired|acquisition"), "acquisition").when(low.contains("dividend"), "dividend")
-    month = F.regexp_extract("text", "(January|February|March|April|May|June|July|August|September|October|November|December)", 1)
-    e = _t(spark, d, "documents").select("doc_id", kind.alias("event_type"), F.when(month != "", month).alias("event_month"), F.md5("text").alias("h")).filter("event_type IS NOT NULL")
-    return e.distinct().drop("h")
+    """Texts that tell of an event, with its kind and the first month and year they name."""
+    return _change_events(spark, d)
 
 
-def _run(n: int, i):
-    """The n words of `ts` from place i."""
-    return F.array_join(F.slice("ts", i, F.lit(n)), " ")
+@query(
+    f"""WITH {_EVENTS} SELECT ticker, period, doc_id, event_type FROM ev QUALIFY row_number() OVER (PARTITION BY ticker, period ORDER BY CASE event_type WHEN 'approval_update' THEN 0 WHEN 'project_execution_update' THEN 1 WHEN 'contract_update' THEN 2 ELSE 3 END, doc_id, event_date NULLS FIRST) <= 3"""
+)
+def selected_events(spark, d):
+    """Three events of each company and period, approvals before progress before contracts before others."""
+    rank = F.create_map(*[F.lit(x) for kv in {"approval_update": 0, "project_execution_update": 1, "contract_update": 2, "business_update": 3}.items() for x in kv])
+    w = Window.partitionBy("ticker", "period").orderBy(F.element_at(rank, F.col("event_type")), "doc_id", F.col("event_date").asc_nulls_first())
+    return _change_events(spark, d).withColumn("r", F.row_number().over(w)).filter("r <= 3").select("ticker", "period", "doc_id", "event_type")
 
 
 @query(
@@ -180,18 +197,6 @@ def company_mentions(spark, d):
     return g.join(names, "name").groupBy("ticker", "alias").agg(F.countDistinct("doc_id").alias("documents"))
 
 
-@query(
-    """WITH l AS (SELECT DISTINCT compact_label AS label FROM global_object_locator WHERE compact_label IS NOT NULL), g AS (SELECT label, list_distinct(list_transform(range(1, length(label)), lambda i: lower(substr(label, i, 2)))) bs FROM l)
-    SELECT label, round(len(list_filter(['fr', 're', 'ei', 'ig', 'gh', 'ht'], lambda b: list_contains(bs, b))) / 6.0::double, 6) coverage FROM g WHERE len(list_filter(['fr', 're', 'ei', 'ig', 'gh', 'ht'], lambda b: list_contains(bs, b))) / 6.0 >= 0.75"""
-)
-def bigram_rescue(spark, d):
-    """Labels that hold most character pairs of a short term."""
-    want = [a + b for a, b in zip("freight", "freight"[1:], strict=False)]
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("label") - 1, F.lit(1))), lambda i: F.lower(F.substring("label", i, F.lit(2)))))
-    held = F.size(F.array_intersect(grams, F.array(*[F.lit(w) for w in want]))) / F.lit(float(len(want)))
-    return _t(spark, d, "global_object_locator").filter("compact_label IS NOT NULL").select(F.col("compact_label").alias("label")).distinct().select("label", F.round(held, 6).alias("coverage")).filter("coverage >= 0.75")
-
-
 @query(
     """SELECT 'edge_from' check_name, count(*) broken FROM global_edge_spine e WHERE from_object_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM global_object_locator l WHERE l.object_id = e.from_object_id) UNION ALL
     SELECT 'edge_to', count(*) FROM global_edge_spine e WHERE to_object_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM global_object_locator l WHERE l.object_id = e.to_object_id) UNION ALL

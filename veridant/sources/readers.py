@@ -73,17 +73,3 @@ def artifact_manifest(spark: SparkSession, root: str, pattern: str = "*.jsonl")
 def observation_id(series_key, phenomenon_time, vintage) -> F.Column:
     """obs: and the first 20 hex digits of the digest of the three parts."""
     return F.concat(F.lit("obs:"), F.substring(F.sha2(F.concat_ws("|", series_key, phenomenon_time, F.coalesce(vintage, F.lit(""))), 256), 1, 20))
-
-
-def with_instants(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Epoch seconds of text columns: {column: name of the new one}, times without zone in UTC."""
-    for text, out in columns.items():
-        df = parse_instant(df, F.col(text), F.lit("UTC"), out)
-    return df
-
-
-def partitioned_write(df: DataFrame, path: str, by: str, rows_per_file: int = 2_000_000) -> None:
-    """Parquet by partition value, files of bounded rows; hot values are spread over several files."""
-    df.repartition(F.col(by), F.pmod(F.xxhash64(*df.columns[:1]), F.lit(8))).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(by).parquet(path)
-
-
