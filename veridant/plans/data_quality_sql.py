@@ -72,4 +72,6 @@ ORACLE_SQL: dict[str, str] = {
     SELECT CASE WHEN t THEN 'text' ELSE 'unit' END unit_evidence, CASE WHEN len(list_filter(regexp_extract_all(lower(CASE WHEN t THEN w ELSE unit END), '[a-z]+'), lambda a: a NOT IN ('usd', 'eur', 'inr', 'jpy', 'us', 'k', 'm', 'mm', 'b', 's', 'in', 'kwh', 'mwh', 'gwh', 'twh'))) > 0 THEN 'index' ELSE 'sign' END found_by, count(*) points FROM e WHERE e <> 0 GROUP BY 1, 2""".replace("__PW__", _POWER.format(x="w")).replace("__PU__", _POWER.format(x="unit")),
     "p6_evidence": f"""WITH {_instants("x", "SELECT DISTINCT 'fmp_price' table_name, record_id::varchar record_id, date t, exchange_tz z FROM fmp_price UNION SELECT DISTINCT 'fred_cpi', record_id::varchar, realtime_start, 'America/New_York' FROM fred_cpi UNION SELECT DISTINCT 'observations', observation_id, phenomenon_time, 'UTC' FROM observations UNION SELECT DISTINCT 'polygon_daily', record_id::varchar, t::varchar, 'UTC' FROM polygon_daily")}
     SELECT table_name, CASE WHEN (regexp_matches(t, '^[0-9]{{1,2}}/[0-9]{{1,2}}/') AND split_part(t, '/', 1)::int <= 12 AND split_part(t, '/', 2)::int <= 12 AND split_part(t, '/', 1)::int <> split_part(t, '/', 2)::int) OR regexp_matches(t, '^([0-9]{{8}}|[0-9]{{10}}|[0-9]{{13}}|[0-9]{{16}})$') THEN 'mixture' ELSE 'single' END decided_by, count(*) times, 0 unresolved FROM x WHERE u IS NOT NULL GROUP BY 1, 2""",
+    "p5_current": f"""WITH {_REFS}, rc AS (SELECT k, count(*) reference_count FROM refs WHERE k IS NOT NULL GROUP BY 1), la AS (SELECT k, bool_and(gone) gone FROM loc WHERE k IS NOT NULL AND t = (SELECT max(l2.t) FROM loc l2 WHERE l2.k = loc.k) GROUP BY 1)
+    SELECT rc.k AS key, reference_count, 0 existence_count FROM rc LEFT JOIN la USING (k) WHERE coalesce(gone, true)""",
 }

@@ -65,14 +65,15 @@ def copy_verdicts(spark, d):
 
 
 @query(
-    """WITH x AS (SELECT DISTINCT object_id, ticker, object_type, compact_label, period FROM global_object_locator WHERE compact_label IS NOT NULL), l AS (SELECT object_id, period, lead(object_id) OVER w next_id, lead(period) OVER w next_period FROM x WINDOW w AS (PARTITION BY ticker, object_type, compact_label ORDER BY period NULLS FIRST, object_id))
-    SELECT object_id, period, next_id, next_period FROM l WHERE next_period <> period"""
+    """WITH x AS (SELECT ticker, object_type, split_part(lower(compact_label), ' of ', 1) topic, period, min(object_id) object_id FROM global_object_locator WHERE compact_label IS NOT NULL AND object_id IS NOT NULL AND period IS NOT NULL AND ticker IS NOT NULL GROUP BY 1, 2, 3, 4),
+    l AS (SELECT object_id, period, lead(object_id) OVER w next_id, lead(period) OVER w next_period FROM x WINDOW w AS (PARTITION BY ticker, object_type, topic ORDER BY regexp_extract(period, '[0-9]{4}'), period)) SELECT object_id, period, next_id, next_period FROM l WHERE next_id IS NOT NULL"""
 )
 def temporal_links(spark, d):
-    """The next object of the same kind and topic in a later period."""
-    o = _t(spark, d, "global_object_locator").filter("compact_label IS NOT NULL").select("object_id", "ticker", "object_type", "compact_label", "period").distinct()
-    w = Window.partitionBy("ticker", "object_type", "compact_label").orderBy(F.col("period").asc_nulls_first(), "object_id")
-    return o.select("object_id", "period", F.lead("object_id").over(w).alias("next_id"), F.lead("period").over(w).alias("next_period")).filter("next_period != period")
+    """The first object of each topic of a company in a period, with that of the next period in which the topic comes."""
+    o = _t(spark, d, "global_object_locator").filter("compact_label IS NOT NULL AND object_id IS NOT NULL AND period IS NOT NULL AND ticker IS NOT NULL")
+    x = o.groupBy("ticker", "object_type", F.substring_index(F.lower("compact_label"), " of ", 1).alias("topic"), "period").agg(F.min("object_id").alias("object_id"))
+    w = Window.partitionBy("ticker", "object_type", "topic").orderBy(F.regexp_extract("period", r"[0-9]{4}", 0), "period")
+    return x.select("object_id", "period", F.lead("object_id").over(w).alias("next_id"), F.lead("period").over(w).alias("next_period")).filter("next_id IS NOT NULL")
 
 
 @query(
@@ -181,6 +182,11 @@ def selected_events(spark, d):
     return _change_events(spark, d).withColumn("r", F.row_number().over(w)).filter("r <= 3").select("ticker", "period", "doc_id", "event_type")
 
 
+def _run(n: int, i):
+    """The n words of `ts` from place i."""
+    return F.array_join(F.slice("ts", i, F.lit(n)), " ")
+
+
 @query(
     f"""WITH a AS (SELECT DISTINCT lower(company_name) alias, ticker, {_WORDS.format(c="company_name")} ns FROM global_object_locator WHERE company_name IS NOT NULL), w AS (SELECT doc_id, ' ' || array_to_string({_WORDS.format(c="text")}, ' ') || ' ' ts FROM documents),
     g AS (SELECT DISTINCT ns, array_to_string(ns, ' ') n FROM a WHERE len(ns) > 0), h AS (SELECT n, doc_id FROM g JOIN w ON contains(ts, ' ' || n || ' ')) SELECT a.ticker, a.alias, count(DISTINCT doc_id) documents FROM h JOIN a ON array_to_string(a.ns, ' ') = n GROUP BY 1, 2"""
