@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Bytes up to which a side may be broadcast by `small_side`.
 BROADCAST_LIMIT = 8 << 20
+#: Bytes up to which a table of few files is shuffled over the cores by `spread`.
+SPREAD_LIMIT = 256 << 20
 
 
 def build_session(app: str = "veridant", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,11 +60,13 @@ def small_side(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores if its scan has fewer splits than there are cores, else unchanged.
+def spread(df: DataFrame, limit: int = SPREAD_LIMIT) -> DataFrame:
+    """`df` over all cores if it is small and its scan has fewer splits than there are cores, else unchanged.
 
-    For work that costs much more than a shuffle of the rows, over tables of a few files. Plans
-    the scan, but runs no job; a table of many files is never shuffled.
+    The engine makes splits small enough for all cores where files can be parted; this is for tables of a few small files,
+    whose work costs much more than a shuffle of at most `limit` bytes. Plans the scan, but runs no job.
     """
+    plan = df._jdf.queryExecution()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    small = int(plan.optimizedPlan().stats().sizeInBytes().toString()) <= limit
+    return df.repartition(cores) if small and plan.toRdd().getNumPartitions() < cores else df
