@@ -68,5 +68,5 @@ def spread(df: DataFrame, limit: int = SPREAD_LIMIT) -> DataFrame:
     """
     plan = df._jdf.queryExecution()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    small = int(plan.optimizedPlan().stats().sizeInBytes().toString()) <= limit
+    small = int(str(plan.optimizedPlan().stats().sizeInBytes())) <= limit
     return df.repartition(cores) if small and plan.toRdd().getNumPartitions() < cores else df
