@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridant.functions import lexical
-from veridant.operators import links, metrics, routing, spine
+from veridant.operators import links, metrics, routing, search_index, spine
 from veridant.operators.search_index import SearchIndex
 from veridant.plans.planner import Retriever, RulePlanner, answerability
 from veridant.plans.search_plan import Engine
@@ -141,6 +141,13 @@ def test_index_is_written_by_bucket_and_pruned(spark, tmp_path):
     assert got == [("a", 2)]
 
 
+def test_buckets_of_terms_are_those_of_the_engine(spark, monkeypatch):
+    terms = ["", "a", "ab", "freight", "éclair", "東京都", "10", "zz9"]
+    ours = [search_index._literal_bucket(spark, t) for t in terms]
+    monkeypatch.setattr(search_index, "xxhash", None)
+    assert ours == [search_index._literal_bucket(spark, t) for t in terms]
+
+
 def test_words_of_questions():
     assert lexical.python_words("Straße, CAFÉ 10-K") == ["strasse", "cafe", "10", "k"]
     assert lexical.prefix_terms("the rising costs of buses and sales series") == ["rising", "cost", "buse", "sales", "series"]

@@ -18,6 +18,12 @@ from pyspark.sql import functions as F
 from veridant.functions import lexical
 from veridant.functions.lexical import words
 from veridant.operators.textsearch import B, K1
+from veridant.session import cut_lineage
+
+try:
+    import xxhash
+except ImportError:
+    xxhash = None
 
 #: Buckets that postings are written in.
 BUCKETS = 64
@@ -87,11 +93,14 @@ class SearchIndex:
         inside = self.scoped(scope)
         return rows if inside is None else rows.join(inside, "doc", "left_semi")
 
-    def bm25(self, terms: list[str], weights: dict[str, float] | None = None, mode: str = "or", prefix: bool = True, scope: list[str] | None = None) -> DataFrame:
-        """(doc, score, matched) by BM25 with field weights; statistics are of all objects, whatever the scope."""
-        everywhere = self.hits(terms, weights, prefix)
+    def bm25(self, terms: list[str], weights: dict[str, float] | None = None, mode: str = "or", prefix: bool = True, scope: list[str] | None = None, hits: DataFrame | None = None) -> DataFrame:
+        """(doc, score, matched) by BM25 with field weights; statistics are of all objects, whatever the scope.
+
+        hits: the hits of the terms everywhere, if they are at hand.
+        """
+        everywhere = self.hits(terms, weights, prefix) if hits is None else hits
         n = everywhere.groupBy("q").agg(F.count("*").alias("n"))
-        rows = everywhere if not scope else self.hits(terms, weights, prefix, scope)
+        rows = everywhere if not scope else everywhere.join(self.scoped(scope), "doc", "left_semi")
         size, mean = self.totals.select("objects").scalar(), self.totals.select("mean_length").scalar()
         # one row for each term asked for
         s = rows.join(F.broadcast(n), "q").withColumns({"__size": size, "__mean": mean})
@@ -108,8 +117,10 @@ class SearchIndex:
         """
         strict = lexical.prefix_terms(question)
         expanded = lexical.expand_terms(strict, synonyms or {})
-        scored = self.bm25(expanded, weights, "or", True, scope).select("doc", "score")
-        held = self.hits(expanded, weights, True, scope).groupBy("doc").agg(F.collect_set("q").alias("qs"))
+        # what is hit is read once and used for scores and rungs
+        hits = cut_lineage(self.hits(expanded, weights))
+        scored = self.bm25(expanded, weights, "or", True, scope, hits).select("doc", "score")
+        held = hits.groupBy("doc").agg(F.collect_set("q").alias("qs"))
         has = lambda terms: F.size(F.array_intersect("qs", F.array(*[F.lit(t) for t in terms]))) == len(set(terms))
         rung = F.when(has(strict), 0)
         if expanded != strict:
@@ -125,5 +136,8 @@ class SearchIndex:
 
 
 def _literal_bucket(spark: SparkSession, term: str) -> int:
-    """The bucket of a term, by the engine's own hash; plans one literal, reads nothing."""
-    return spark.range(1).select(_bucket(F.lit(term))).first()[0]
+    """The bucket of a term, by the engine's hash; without the xxhash library the engine is asked in a small job."""
+    if xxhash is None:
+        return spark.range(1).select(_bucket(F.lit(term))).first()[0]
+    unsigned = xxhash.xxh64(term[:2].encode(), seed=42).intdigest()
+    return (unsigned - (1 << 64) if unsigned >= 1 << 63 else unsigned) % BUCKETS

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veridant.functions.lexical import character_pairs, fold, prefix_terms, scope_tokens, word_runs, words
 from veridant.operators.search_index import SearchIndex
 from veridant.plans.evidence import _WORDS, _t, query
+from veridant.session import cut_lineage
 
 #: Weights of the fields of an object.
 WEIGHTS = {"label": 4.0, "company": 2.0, "summary": 1.0}
@@ -86,12 +87,13 @@ def information_coverage(spark, d):
     """Rerank of the best 80 units: 0.45 coverage, 0.35 coverage of information, 0.20 scaled score; under 60 % of the terms a quarter."""
     index, terms = object_index(spark, d), ["demand", "freight", "brokerage"]
     tickers = objects(spark, d).select(F.col("object_id").alias("doc"), "ticker")
-    hits = index.hits(terms, WEIGHTS)
+    hits = cut_lineage(index.hits(terms, WEIGHTS))
     df = hits.join(tickers, "doc").groupBy("q").agg(F.count("*").alias("n"), F.countDistinct("ticker").alias("tn"))
     all_units, all_tickers = tickers.agg(F.count("*")).scalar(), tickers.agg(F.countDistinct("ticker")).scalar()
     info = df.select("q", F.greatest(F.log((all_units + 1.0) / (F.col("n") + 1)) + F.log((all_tickers + 1.0) / (F.col("tn") + 1)), F.lit(0.0)).alias("info"))
-    top = index.bm25(terms, WEIGHTS).orderBy(F.col("score").desc(), "doc").limit(80)
-    held = hits.join(top.select("doc"), "doc", "left_semi").join(F.broadcast(info), "q").groupBy("doc").agg(F.sum("info").alias("held"))
+    top = cut_lineage(index.bm25(terms, WEIGHTS, hits=hits).orderBy(F.col("score").desc(), "doc").limit(80))
+    info = cut_lineage(info)
+    held = hits.join(F.broadcast(top.select("doc")), "doc", "left_semi").join(F.broadcast(info), "q").groupBy("doc").agg(F.sum("info").alias("held"))
     n, total = info.agg(F.count("*")).scalar(), info.agg(F.sum("info")).scalar()
     t = top.join(held, "doc").withColumns({"n": n, "total": total})
     # 80 rows
