@@ -46,6 +46,31 @@ _POWER = """CASE WHEN {x} IS NULL OR trim({x}) = '' THEN NULL WHEN regexp_matche
     WHEN {x} LIKE '%kWh%' THEN -3 WHEN {x} LIKE '%MWh%' THEN 0 WHEN {x} LIKE '%GWh%' THEN 3 WHEN {x} LIKE '%TWh%' THEN 6 WHEN regexp_matches({x}, '(?i)billion|bn') OR {x} LIKE '%B' THEN 9 WHEN regexp_matches({x}, '(?i)crore') THEN 7
     WHEN regexp_matches({x}, '(?i)million|mm|mn') OR {x} LIKE '%M' OR {x} LIKE '% m' OR {x} LIKE '%M shares' THEN 6 WHEN regexp_matches({x}, '(?i)lakh') THEN 5 WHEN regexp_matches({x}, '(?i)thousand|000s') OR {x} LIKE '%k' OR {x} LIKE '%(k)' OR {x} LIKE '%k employees' THEN 3 ELSE 0 END"""
 
+# Pieces of the SQL of doubtful readings, by source k and period i.
+def _trim(source: str, name: str) -> str:
+    """Changes without those beyond six median absolute deviations; with a deviation of zero, that of the changes that move."""
+    return f"""{name}_c AS (SELECT k, median(x) c FROM {source} GROUP BY 1), {name}_m AS (SELECT k, any_value(c) c, 1.4826 * median(abs(x - c)) m, median(abs(x - c)) FILTER (x <> c) z FROM {source} JOIN {name}_c USING (k) GROUP BY 1),
+    {name} AS (SELECT k, x FROM {source} JOIN {name}_m USING (k) WHERE coalesce(nullif(m, 0), z, 0) = 0 OR abs(x - c) <= 6.0 * coalesce(nullif(m, 0), z))"""
+
+
+def _band(source: str, name: str) -> str:
+    """Rolling medians before and after, the middle of both and the deviation from it."""
+    near = "count({x}) OVER {w} >= 2"
+    scaled = lambda x: f"CASE WHEN kind = 'volume' THEN ln(greatest({x}, 1e-9)) ELSE {x} END"
+    return f"""{name}_a AS (SELECT *, CASE WHEN {near.format(x="v", w="wb")} THEN median(v) OVER wb END bf, CASE WHEN {near.format(x="v", w="wa")} THEN median(v) OVER wa END af FROM {source} WINDOW wb AS (PARTITION BY k ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), wa AS (PARTITION BY k ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
+    {name}_b AS (SELECT *, CASE WHEN bf IS NOT NULL AND af IS NOT NULL THEN ({scaled("bf")} + {scaled("af")}) / 2 WHEN bf IS NOT NULL THEN {scaled("bf")} WHEN af IS NOT NULL THEN {scaled("af")} END mid FROM {name}_a), {name}_c AS (SELECT *, CASE WHEN v IS NOT NULL THEN abs({scaled("v")} - mid) END f FROM {name}_b),
+    {name} AS (SELECT *, 1.4826 * least(coalesce(median(f) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 1e300), coalesce(median(f) OVER (PARTITION BY k), 0)) sp FROM {name}_c)"""
+
+
+_LEAVES = "CASE kind WHEN 'price' THEN abs(v - {at}) > 0.3 * abs({at}) WHEN 'volume' THEN v > 20.0 * {at} OR v * 20.0 < {at} ELSE ch > 0 AND abs(v - {at}) > 10.0 * ch END"
+_OUT = f"coalesce(abs(CASE WHEN kind = 'volume' THEN ln(greatest(v, 1e-9)) ELSE v END - mid) > 3.0 * sp AND {_LEAVES.format(at='bf')} AND {_LEAVES.format(at='af')}, false)"
+
+
+def _short(source: str, name: str) -> str:
+    """Rows with `short`: flagged in a run of at most two."""
+    return f"{name}_g AS (SELECT *, i - row_number() OVER (PARTITION BY k, o ORDER BY i) g FROM {source}), {name} AS (SELECT *, o AND count(*) OVER (PARTITION BY k, o, g) <= 2 short FROM {name}_g)"
+
+
 ORACLE_SQL: dict[str, str] = {
     "p2_found": f"""WITH c AS (SELECT series_key, max({_FREQUENCY}) c FROM series_catalog GROUP BY 1), {_instants("o", "SELECT series_key, c, phenomenon_time t, 'UTC' z FROM observations JOIN c USING (series_key) WHERE value IS NOT NULL AND c IS NOT NULL")},
     r AS (SELECT DISTINCT series_key, c, {_PERIOD} AS d FROM o WHERE u IS NOT NULL), b AS (SELECT series_key, c, min(d) a, max(d) z FROM r GROUP BY 1, 2),
@@ -74,4 +99,21 @@ ORACLE_SQL: dict[str, str] = {
     SELECT table_name, CASE WHEN (regexp_matches(t, '^[0-9]{{1,2}}/[0-9]{{1,2}}/') AND split_part(t, '/', 1)::int <= 12 AND split_part(t, '/', 2)::int <= 12 AND split_part(t, '/', 1)::int <> split_part(t, '/', 2)::int) OR regexp_matches(t, '^([0-9]{{8}}|[0-9]{{10}}|[0-9]{{13}}|[0-9]{{16}})$') THEN 'mixture' ELSE 'single' END decided_by, count(*) times, 0 unresolved FROM x WHERE u IS NOT NULL GROUP BY 1, 2""",
     "p5_current": f"""WITH {_REFS}, rc AS (SELECT k, count(*) reference_count FROM refs WHERE k IS NOT NULL GROUP BY 1), la AS (SELECT k, bool_and(gone) gone FROM loc WHERE k IS NOT NULL AND t = (SELECT max(l2.t) FROM loc l2 WHERE l2.k = loc.k) GROUP BY 1)
     SELECT rc.k AS key, reference_count, 0 existence_count FROM rc LEFT JOIN la USING (k) WHERE coalesce(gone, true)""",
+    "p1_found": f"""WITH c AS (SELECT series_key, max({_FREQUENCY}) c, max(canonical_metric) metric, max(unit) unit FROM series_catalog WHERE series_key IS NOT NULL GROUP BY 1),
+    {_instants("o", "SELECT observation_id, o.series_key, coalesce(c.c, 'D') c, metric, unit, phenomenon_time t, 'UTC' z, value FROM observations o LEFT JOIN c USING (series_key) WHERE value IS NOT NULL")}, {_instants("h", "SELECT observation_id, ticker, 'D' c, trade_date t, 'UTC' z, close, volume FROM ohlcv_observations")},
+    r AS (SELECT 'observations' table_name, observation_id, 'value' field_name, series_key source, {_PERIOD} AS d, value v, CASE WHEN metric LIKE '%price%' OR series_key LIKE 'price_close:%' THEN 'price' WHEN metric = 'policy_rate' THEN 'rate_steps'
+        WHEN metric LIKE '%index%' OR metric LIKE '%starts%' OR metric LIKE '%claims%' OR metric LIKE '%unemployment%' OR unit IN ('index', 'persons', 'thousand units') THEN 'count' ELSE 'level' END kind FROM o WHERE u IS NOT NULL
+      UNION ALL SELECT 'ohlcv_observations', observation_id, 'close', ticker, {_PERIOD}, close, 'price' FROM h WHERE u IS NOT NULL AND close IS NOT NULL UNION ALL SELECT 'ohlcv_observations', observation_id, 'volume', ticker, {_PERIOD}, volume, 'volume' FROM h WHERE u IS NOT NULL AND volume IS NOT NULL),
+    k AS (SELECT *, concat_ws(chr(1), table_name, field_name, coalesce(source, '')) k FROM r WHERE NOT isnan(v) AND abs(v) < 'infinity'::double), ce AS (SELECT DISTINCT k, d, v, kind FROM k),
+    p0 AS (SELECT *, round(abs(v), 2) a FROM ce), p1 AS (SELECT *, floor(a) w, round(a - floor(a), 2) f, CASE WHEN floor(a) > 0 THEN floor(log10(greatest(floor(a), 1))) + 1 ELSE 0 END g FROM p0),
+    b AS (SELECT k, d, v, kind, (w = power(10, g) - 1 AND f IN (0.0, 0.9, 0.99) AND (g >= 6 OR (v < 0 AND g >= 3))) OR (kind = 'price' AND v <= 0) OR (kind IN ('volume', 'count') AND v < 0) bad FROM p1),
+    l AS (SELECT k, any_value(kind) kind, d, median(v) v FROM b WHERE NOT bad GROUP BY k, d), li AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d) i FROM l),
+    d0 AS (SELECT k, v - lag(v) OVER (PARTITION BY k ORDER BY i) x FROM li), e0 AS (SELECT k, x FROM d0 WHERE x IS NOT NULL QUALIFY count(*) OVER (PARTITION BY k) >= 3),
+    {_trim("e0", "e1")}, {_trim("e1", "e2")}, {_trim("e2", "e3")}, ch AS (SELECT k, sqrt(avg(x * x)) ch FROM e3 GROUP BY 1),
+    s1 AS (SELECT li.*, coalesce(ch, 0) ch FROM li LEFT JOIN ch USING (k)), {_band("s1", "q1")}, ou AS (SELECT k, i, d, kind, ch, v, {_OUT} o FROM q1), {_short("ou", "os")}, s2 AS (SELECT k, i, d, kind, ch, CASE WHEN short THEN NULL ELSE v END v FROM os), {_band("s2", "q2")},
+    ju AS (SELECT b.k, b.d, b.v, q2.i, q2.kind, q2.ch, q2.bf, q2.af, q2.mid, q2.sp FROM b JOIN q2 ON b.k = q2.k AND b.d = q2.d WHERE NOT bad), jo AS (SELECT *, {_OUT} o FROM ju), bp AS (SELECT k, i, bool_or(o) o FROM jo GROUP BY 1, 2), {_short("bp", "bs")}, sp AS (SELECT jo.k, jo.d, jo.v FROM jo JOIN bs USING (k, i) WHERE jo.o AND bs.short),
+    pe AS (SELECT k, d, row_number() OVER (PARTITION BY k ORDER BY d) n FROM (SELECT DISTINCT k, d FROM b)), t0 AS (SELECT b.k, b.d, b.v, n, n - row_number() OVER (PARTITION BY b.k, b.v ORDER BY n) grp FROM b JOIN pe ON pe.k = b.k AND pe.d = b.d WHERE NOT bad AND kind <> 'rate_steps'),
+    t1 AS (SELECT *, count(*) OVER (PARTITION BY k, v, grp) len, row_number() OVER (PARTITION BY k, v, grp ORDER BY n) pos FROM t0), t2 AS (SELECT k, count(DISTINCT n) FILTER (pos > 1) still, sum(len - 1) FILTER (pos = 1 AND len >= 6) ins FROM t1 GROUP BY 1), t3 AS (SELECT k, max(n) - 1 moves FROM pe GROUP BY 1),
+    st AS (SELECT t1.k, t1.d, t1.v FROM t1 JOIN t2 USING (k) JOIN t3 USING (k) WHERE len >= 6 AND pos > 1 AND moves - coalesce(ins, 0) > 0 AND still - coalesce(ins, 0) <= 0.5 * (moves - coalesce(ins, 0))),
+    al AS (SELECT k, d, v FROM b WHERE bad UNION SELECT k, d, v FROM sp UNION SELECT k, d, v FROM st) SELECT DISTINCT table_name, observation_id, field_name FROM k JOIN al USING (k, d, v)""",
 }
