@@ -7,11 +7,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from veridant.functions import lexical
+from veridant.functions import document_nodes, lexical
 from veridant.operators import links, metrics, routing, search_index, spine
 from veridant.operators.search_index import SearchIndex
 from veridant.plans.planner import Retriever, RulePlanner, answerability
-from veridant.plans.search_plan import Engine
+from veridant.plans.search_plan import Clause, Engine, SearchPlan
 from veridant.sources import artifacts, files
 
 
@@ -204,3 +204,22 @@ def test_scores_matches_and_hashes(spark):
     assert v(spine.percent_supported(F.lit(10.0), made)) and v(spine.percent_supported(F.lit(90.9), made)) and not v(spine.percent_supported(F.lit(55.0), made))
     assert v(spine.amount_supported(F.lit(30.0), F.array(F.lit(10.0), F.lit(20.0)))) and not v(spine.amount_supported(F.lit(20.0), F.array(F.lit(10.0))))
     assert routing.term_pairs({"a": 2.0, "b": 3.0, "c": 1.0}) == [("a", "b")]
+
+
+def test_nodes_and_heading_candidates(spark):
+    text = "# Report\n\nPART I\nItem 1. Business\nWe make things.\n| a | b |\n- one\nItem 7A. Market risk 45\nPART II\nItem 8. Statements"
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "plain")], "id int, text string")
+    n = document_nodes.document_nodes(df, "id", "text")
+    got = {(r.doc, r.node): r.kind for r in n.collect()}
+    assert [got[1, i] for i in (0, 2, 3, 4, 5, 6, 7, 8, 9)] == ["heading", "heading", "heading", "paragraph", "table", "list", "heading", "heading", "heading"] and got[4, 0] == "paragraph" and len(got) == 10
+    c = {r.item: (r.part, r.score) for r in document_nodes.heading_candidates(n).filter("item IS NOT NULL").collect()}
+    assert c == {"1": ("i", 75), "7a": ("i", 50), "8": ("ii", 75)}
+
+
+def test_research_state_and_scope(spark, data_dir):
+    engine = Engine(spark, data_dir)
+    plan = SearchPlan((Clause("a", ("revenue",)), Clause("b", ("zzzz",))), limit=5)
+    state = engine.research_state(plan)
+    assert state["answer"].first().answer == "partial" and state["candidates"].count() <= 5
+    assert engine.has_scope() and not engine.has_scope(ticker=["nobody"])
+    assert engine.quality_events(status="fail").filter("status != 'fail'").count() == 0

@@ -353,12 +353,17 @@ def company_hops(spark, d):
     return graph.hop_pairs(_t(spark, d, "global_edge_spine").filter("edge_scope = 'cross_company'"), "from_ticker", "to_ticker", 3)
 
 
-@query()
+@query(
+    """WITH RECURSIVE r0 AS (SELECT from_object_id root FROM global_edge_spine WHERE from_object_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), n AS (SELECT DISTINCT from_object_id s, to_object_id t, relation_type r FROM global_edge_spine WHERE from_object_id IS NOT NULL AND to_object_id IS NOT NULL),
+    nn AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY s ORDER BY r, t) <= 20), p AS (SELECT [root] path, []::varchar[] rel, 0 depth FROM r0 UNION ALL SELECT list_append(path, t), list_append(rel, r), depth + 1 FROM p JOIN nn ON s = path[len(path)] WHERE depth < 3 AND NOT list_contains(path, t))
+    SELECT array_to_string(path, ' > ') path, array_to_string(rel, ' > ') relations, depth FROM (SELECT * FROM p WHERE depth > 0 ORDER BY depth, path, rel LIMIT 40)"""
+)
 def evidence_paths(spark, d):
     """Paths of up to three steps from the most referred-to object."""
     e = _t(spark, d, "global_edge_spine")
     root = e.filter("from_object_id IS NOT NULL").groupBy("from_object_id").count().orderBy(F.col("count").desc(), "from_object_id").first()
-    return graph.paths_from(e, "from_object_id", "to_object_id", "relation_type", [root[0]] if root else [])
+    p = graph.paths_from(e, "from_object_id", "to_object_id", "relation_type", [root[0]] if root else [])
+    return p.select(F.array_join("path", " > ").alias("path"), F.array_join("relations", " > ").alias("relations"), "depth")
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridant.functions.lexical import query_terms
-from veridant.plans.search_plan import Clause, Engine, SearchPlan
+from veridant.plans.search_plan import Clause, Engine, SearchPlan, answerability  # noqa: F401
 
 # Words of a question and the form, kind of object or metric that they ask for.
 FORMS = {"annual": "10-K", "10-k": "10-K", "quarterly": "10-Q", "10-q": "10-Q"}
@@ -86,13 +86,3 @@ class Retriever:
             clause = Clause("question", plan.terms or ("",))
             rows = self.engine.execute(SearchPlan((clause,), plan.tickers, plan.document_types, plan.limit))
         return plan, self.reranker.rerank(question, rows) if self.reranker else rows
-
-
-def answerability(coverage: DataFrame) -> DataFrame:
-    """One row (answer): answerable if all required clauses are covered, partial if any is covered or partly so, else not.
-
-    coverage: required, coverage; one row for each clause of a plan.
-    """
-    needed = F.col("required")
-    c = coverage.agg(F.count_if(needed).alias("n"), F.count_if(needed & (F.col("coverage") == "covered")).alias("full"), F.count_if(needed & (F.col("coverage") != "missing")).alias("any"))
-    return c.select(F.when(F.col("full") == F.col("n"), "answerable").when(F.col("any") > 0, "partial").otherwise("not_answerable").alias("answer"))

@@ -134,3 +134,29 @@ class Engine:
         s = self._t("mini_10k_spans").filter("id IS NOT NULL").groupBy(F.col("id").alias("span_id")).agg(F.max("text").alias("text"))
         m = quotes.join(s, "span_id", "left")
         return m.withColumn("match", F.when(F.col("text").isNull(), "no_source").otherwise(spine.quote_match(F.col("quote"), F.col("text")))).drop("text")
+
+    def has_scope(self, **scope: list) -> bool:
+        """Whether any object is in scope; reads until the first."""
+        return not relational.scope_filter(self._t("global_object_locator"), **scope).isEmpty()
+
+    def quality_events(self, ticker: str | None = None, status: str | None = None) -> DataFrame:
+        """Warnings and failures of objects, by company, document and object."""
+        o = self._t("global_object_locator").withColumn("status", F.lower(F.trim("quality_status"))).filter(F.col("status").isin("warn", "fail"))
+        o = o.filter(F.col("ticker") == ticker) if ticker else o
+        o = o.filter(F.col("status") == status) if status else o
+        return o.select("ticker", "document_id", "object_id", "object_type", "status").distinct().orderBy("ticker", "document_id", "object_id", "status")
+
+    def research_state(self, plan: SearchPlan) -> dict[str, DataFrame]:
+        """The bounded evidence of a plan: candidates, coverage of its clauses, and whether it can be answered."""
+        coverage = self.coverage(plan)
+        return {"candidates": self.execute(plan), "coverage": coverage, "answer": answerability(coverage)}
+
+
+def answerability(coverage: DataFrame) -> DataFrame:
+    """One row (answer): answerable if all required clauses are covered, partial if any is covered or partly so, else not.
+
+    coverage: required, coverage; one row for each clause of a plan.
+    """
+    needed = F.col("required")
+    c = coverage.agg(F.count_if(needed).alias("n"), F.count_if(needed & (F.col("coverage") == "covered")).alias("full"), F.count_if(needed & (F.col("coverage") != "missing")).alias("any"))
+    return c.select(F.when(F.col("full") == F.col("n"), "answerable").when(F.col("any") > 0, "partial").otherwise("not_answerable").alias("answer"))

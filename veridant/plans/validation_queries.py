@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veridant.functions.document_nodes import document_nodes
 from veridant.operators import spine
 from veridant.plans.evidence import _t, query
 from veridant.plans.search_queries import OBJECTS, objects
 from veridant.plans.spine_queries import _EDGES, edges
+from veridant.session import spread
 
 _SPANS = "sp AS (SELECT DISTINCT id, text, ticker, section_key, span_index FROM mini_10k_spans WHERE id IS NOT NULL AND text IS NOT NULL)"
 _SQUEEZE = "trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
@@ -183,3 +185,29 @@ def pilot_spans(spark, d):
     q = _t(spark, d, "mini_10k_spans").filter("id IS NOT NULL").select("section_name", "id", pri.alias("pri"), key.alias("key"), "span_index").distinct()
     w = Window.partitionBy("pri").orderBy(F.col("key").desc(), F.col("span_index").asc_nulls_first(), "id", F.col("section_name").asc_nulls_first())
     return q.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.when(F.col("pri") == 2, 10).otherwise(20)).select("id", "section_name", "pri", "rn")
+
+
+_KINDS = """ln AS (SELECT doc_id, row_number() OVER () g, unnest(list_transform(string_split(text, chr(10)), lambda l: trim(l))) line FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+    nd AS (SELECT doc_id, CASE WHEN line LIKE '#%' OR regexp_matches(line, '(?i)^\\W*item\\s+(\\d{1,2}[a-c]?)\\b') OR regexp_matches(line, '(?i)^\\W*part\\s+(iv|iii|ii|i)\\b') THEN 'heading' WHEN line LIKE '|%' THEN 'table' WHEN regexp_matches(line, '^([-*•]|\\d+[.)]) ') THEN 'list' WHEN length(line) <= 80 AND regexp_matches(line, '\\p{Lu}') AND line = upper(line) AND regexp_matches(line, '\\p{L}{3}') THEN 'heading' ELSE 'paragraph' END kind FROM ln WHERE line <> '')"""
+
+
+@query(f"WITH {_KINDS} SELECT kind, count(*) nodes, count(DISTINCT doc_id) documents FROM nd GROUP BY 1")
+def document_node_kinds(spark, d):
+    """Lines of texts by kind of node."""
+    n = document_nodes(spread(_t(spark, d, "documents").select("doc_id", "text")).distinct(), "doc_id", "text")
+    return n.groupBy("kind").agg(F.count("*").alias("nodes"), F.countDistinct("doc").alias("documents"))
+
+
+@query("SELECT count(DISTINCT ticker) companies, count(DISTINCT document_id) documents, count(DISTINCT object_id) objects, count(DISTINCT object_type) kinds, min(period) first_period, max(period) last_period FROM global_object_locator")
+def export_totals(spark, d):
+    """Grand totals of an export."""
+    o = _t(spark, d, "global_object_locator")
+    return o.agg(F.countDistinct("ticker").alias("companies"), F.countDistinct("document_id").alias("documents"), F.countDistinct("object_id").alias("objects"), F.countDistinct("object_type").alias("kinds"), F.min("period").alias("first_period"), F.max("period").alias("last_period"))
+
+
+@query("SELECT DISTINCT object_id FROM global_object_locator l WHERE object_id >= 'claim:' AND object_id < 'claim;' AND EXISTS (SELECT 1 FROM global_object_locator r WHERE r.object_id = l.object_id AND r.document_type = '10-Q')")
+def scoped_prefix_hits(spark, d):
+    """Objects of a prefix that have a replica in scope: a range and a semi-join."""
+    o = _t(spark, d, "global_object_locator")
+    hits = o.filter((F.col("object_id") >= "claim:") & (F.col("object_id") < "claim;")).select("object_id").distinct()
+    return hits.join(o.filter("document_type = '10-Q'").select("object_id"), "object_id", "left_semi")
