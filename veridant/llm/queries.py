@@ -64,13 +64,13 @@ def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the containers must hold: every document with text once, none over its capacity, none split that fits, little room unused."""
+    """What the containers must hold: every document with text once, none over its capacity, none split that fits, little room unused; no row without documents."""
     p = p8_containers(spark, sf_dir)
     c = p.groupBy("container_id", "capacity").agg(F.sum("part_size").alias("held"))
     d = p.groupBy("doc_id").agg(F.sum("part_size").alias("size"), F.count("*").alias("parts"), F.count_if(F.col("part") == 0).alias("firsts"))
-    full = c.agg(F.count_if(F.col("held") > F.col("capacity")).alias("over_capacity"), (F.sum("held") / F.sum("capacity") >= 0.97).alias("well_filled"))
-    # one row
-    return d.agg(F.count("*").alias("documents"), F.count_if((F.col("parts") > 1) & (F.col("size") <= 2048)).alias("split_needlessly"), F.count_if(F.col("firsts") != 1).alias("placed_twice")).join(F.broadcast(full))
+    over, filled = c.agg(F.count_if(F.col("held") > F.col("capacity"))).scalar(), c.agg(F.sum("held") / F.sum("capacity") >= 0.97).scalar()
+    totals = d.agg(F.count("*").alias("documents"), F.count_if((F.col("parts") > 1) & (F.col("size") <= 2048)).alias("split_needlessly"), F.count_if(F.col("firsts") != 1).alias("placed_twice"))
+    return totals.filter("documents > 0").withColumns({"over_capacity": over, "well_filled": filled})
 
 
 # --- 9: evaluation items in training texts

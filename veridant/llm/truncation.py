@@ -189,11 +189,11 @@ def _cut_shapes(judged: DataFrame) -> DataFrame:
     """
     counted = judged.filter("ending != 'none'").groupBy("at_limit", "__hash").agg(F.max(F.when(F.col("ending") == "open", F.col("__shape"))).alias("__shape"))
     counts = counted.groupBy("at_limit", "__shape").agg(F.count("*").alias("n"))
-    total = counts.groupBy("at_limit").agg(F.sum("n").alias("total"))
-    of = lambda flag, c: F.coalesce(F.sum(F.when(F.col("at_limit") == flag, F.col(c))), F.lit(0)).cast("double")
-    totals = total.agg(of(True, "total").alias("t1"), of(False, "total").alias("t0"))
-    shapes = counts.filter("__shape IS NOT NULL").groupBy("__shape").agg(of(True, "n").alias("n1"), of(False, "n").alias("n0"))
-    s = shapes.join(F.broadcast(totals))
+    of = lambda flag: F.sum(F.when(F.col("at_limit") == flag, F.col("n")).otherwise(0))
+    # a few rows: two for each shape
+    everything = Window.partitionBy(F.lit(1))
+    counts = counts.withColumns({"t1": of(True).over(everything), "t0": of(False).over(everything)})
+    s = counts.filter("__shape IS NOT NULL").groupBy("__shape").agg(of(True).alias("n1"), of(False).alias("n0"), F.max("t1").alias("t1"), F.max("t0").alias("t0"))
     at_limit, elsewhere = F.col("n1") + PRIOR_AT_LIMIT, F.col("n0") + PRIOR_ELSEWHERE
     low = _share_bounds(at_limit, F.col("t1") + PRIOR_TEXTS - at_limit)[0]
     high = _share_bounds(elsewhere, F.col("t0") + PRIOR_TEXTS - elsewhere)[1]
