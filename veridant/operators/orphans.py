@@ -15,7 +15,7 @@ which bounds their broadcast, and which keys it finds changes the work only, not
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridant.operators.asof import as_of_join, validity_intervals
@@ -43,6 +43,16 @@ def signed_counts(references: DataFrame, existence: DataFrame, state: DataFrame
     return parts.filter("key IS NOT NULL").groupBy("key").agg(F.sum("r").alias("reference_count"), F.sum("e").alias("existence_count"))
 
 
+def existence_deltas(objects: DataFrame) -> DataFrame:
+    """(key, at, delta): +1 where an object appears, -1 where it is removed, in order of time; deliveries that change nothing give none.
+
+    objects: key, at, removed. Of deliveries at one time any that is present counts. Null keys and times are left out.
+    """
+    states = objects.filter("key IS NOT NULL AND at IS NOT NULL").groupBy("key", "at").agg(F.max((~F.col("removed")).cast("int")).alias("present"))
+    before = F.coalesce(F.lag("present").over(Window.partitionBy("key").orderBy("at")), F.lit(0))
+    return states.select("key", "at", (F.col("present") - before).alias("delta")).filter("delta != 0")
+
+
 def current_orphans(counts: DataFrame) -> DataFrame:
     """Keys that are referred to and do not exist now."""
     return counts.filter("reference_count > 0 AND existence_count = 0")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veridant.functions.periods import frequency_code, period_day
 from veridant.functions.timeparse import parse_instant
 from veridant.operators.asof import as_of_join, validity_intervals
-from veridant.operators.orphans import current_orphans, normal_key, orphan_references, orphan_report, signed_counts
+from veridant.operators.orphans import current_orphans, existence_deltas, normal_key, orphan_references, orphan_report, signed_counts
 from veridant.operators.regular_grid import regularize
 from veridant.operators.spikes import flag_readings
 from veridant.operators.timestamps import resolve_times
@@ -165,11 +165,20 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(p5_orphans(spark, sf_dir, ("period",)))
 
 
+#: Microseconds since 1970 up to which p5_current takes the counts as kept state: 2024-01-01. Any time gives the same report.
+KEPT_UNTIL = 1704067200 * 10**6
+
+
 def p5_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that records refer to and that do not exist after all deliveries, with their signed counts."""
-    references = _references(spark, sf_dir).select("key", F.lit(1).alias("delta"))
-    last = _objects(spark, sf_dir).filter("key IS NOT NULL AND at IS NOT NULL").groupBy("key").agg(F.max(F.struct("at", (~F.col("removed")).cast("int").alias("present"))).alias("s"))
-    return current_orphans(signed_counts(references, last.select("key", F.col("s.present").alias("delta"))))
+    """Keys that records refer to and that do not exist after all deliveries, with their signed counts.
+
+    The counts are maintained: those of all deltas up to KEPT_UNTIL are the state to which later deltas are added.
+    """
+    references = _references(spark, sf_dir).select("key", "at", F.lit(1).alias("delta"))
+    existence = existence_deltas(_objects(spark, sf_dir))
+    early = F.col("at") <= KEPT_UNTIL
+    state = signed_counts(references.filter(early), existence.filter(early))
+    return current_orphans(signed_counts(references.filter(~early), existence.filter(~early), state))
 
 
 # --- 6: one UTC instant for every written time
