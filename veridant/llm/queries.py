@@ -86,6 +86,13 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks with what they must hold: a run of twelve words or more, passages, and overlaps that are shares."""
+    share = lambda c: F.col(c).isNull() | F.col(c).between(0, 1)
+    sound = (F.col("longest_run") >= 12) & (F.col("passages") >= 1) & share("question_overlap") & share("answer_overlap") & (F.greatest(F.col("question_overlap"), F.coalesce("answer_overlap", F.lit(0.0))) > 0)
+    return p9_leaks(spark, sf_dir).select("doc_id", "item_id", sound.alias("sound"))
+
+
 # --- 10: cut texts
 
 
@@ -110,4 +117,4 @@ def p10_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("evidence").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p7_checks": p7_checks, "p8_containers": p8_containers, "p8_usage": p8_usage, "p8_checks": p8_checks, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_rates": p10_rates, "p10_evidence": p10_evidence}
+QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p7_checks": p7_checks, "p8_containers": p8_containers, "p8_usage": p8_usage, "p8_checks": p8_checks, "p9_found": p9_found, "p9_leaks": p9_leaks, "p9_checks": p9_checks, "p10_found": p10_found, "p10_rates": p10_rates, "p10_evidence": p10_evidence}

@@ -10,6 +10,8 @@ ORACLE_SQL: dict[str, str] = {
     SELECT id span_id, CASE WHEN mp <= 1800 THEN 'paragraph' WHEN ms <= 1800 THEN 'sentence' WHEN list_max(list_transform(string_split_regex(text, '\\s+'), lambda w: length(w))) <= 1800 THEN 'word' ELSE 'none' END coarsest_boundary FROM m""",
     "p9_found": f"""WITH i AS (SELECT DISTINCT item_id, {_RUNS} r FROM (SELECT item_id, {_WORDS.format(x="text")} ws FROM eval_items)), d AS (SELECT DISTINCT doc_id, {_RUNS} r FROM (SELECT doc_id, {_WORDS.format(x="text")} ws FROM documents WHERE text IS NOT NULL))
     SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (r)""",
+    "p9_checks": f"""WITH i AS (SELECT DISTINCT item_id, {_RUNS} r FROM (SELECT item_id, {_WORDS.format(x="text")} ws FROM eval_items)), d AS (SELECT DISTINCT doc_id, {_RUNS} r FROM (SELECT doc_id, {_WORDS.format(x="text")} ws FROM documents WHERE text IS NOT NULL))
+    SELECT DISTINCT doc_id, item_id, true sound FROM d JOIN i USING (r)""",
     "p7_checks": "SELECT DISTINCT id span_id, length(text) AS characters, true within_limit, true overlapping, true AS natural FROM mini_10k_spans WHERE length(text) > 2000",
     "p8_checks": "SELECT count(DISTINCT doc_id) documents, 0 split_needlessly, 0 placed_twice, 0 over_capacity, true well_filled FROM documents WHERE text <> ''",
 }
