@@ -7,12 +7,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from veridant.functions import document_nodes, lexical
+from veridant.functions import document_nodes, lexical, text_units
 from veridant.operators import links, metrics, routing, search_index, spine
 from veridant.operators.search_index import SearchIndex
 from veridant.plans.planner import Retriever, RulePlanner, answerability
 from veridant.plans.search_plan import Clause, Engine, SearchPlan
-from veridant.sources import artifacts, files
+from veridant.sources import artifacts, files, readers
 
 
 def test_atomic_and_bounded(tmp_path):
@@ -223,3 +223,18 @@ def test_research_state_and_scope(spark, data_dir):
     assert state["answer"].first().answer == "partial" and state["candidates"].count() <= 5
     assert engine.has_scope() and not engine.has_scope(ticker=["nobody"])
     assert engine.quality_events(status="fail").filter("status != 'fail'").count() == 0
+
+
+def test_contexts_dimensions_and_ratios(spark):
+    c = spark.createDataFrame([("2023-01-01", "2023-12-31", None), ("2022-07-01", "2023-06-30", None), ("2023-01-01", "2023-03-31", None), (None, None, "2023-12-31"), (None, "bad", None)], "a string, b string, i string")
+    got = [(r.p.period_type, r.p.days, r.p.fiscal_year, r.d) for r in c.select(text_units.context_period(F.col("a"), F.col("b"), F.col("i")).alias("p"), text_units.derived_period(F.col("a"), F.col("b")).alias("d")).collect()]
+    assert got == [("annual", 365, 2023, "CY2023"), ("annual", 365, 2023, "FY2023"), ("quarter", 90, 2023, "FY2023"), ("instant", 1, 2023, None), (None, None, None, None)]
+    j = spark.createDataFrame([('{"us-gaap:SegmentAxis": "x:EuropeMember", "b": null}',), ("{}",), (None,), ("no json",)], "j string")
+    assert [r.m for r in j.select(text_units.dimension_map(F.col("j")).alias("m")).collect()] == [{"Segment": "Europe"}, None, None, None]
+    t = spark.createDataFrame([("Revenue in the Europe North segment rose",), ("nothing",), (None,)], "t string")
+    assert [r.d for r in t.select(text_units.dimension_from_text(F.col("t")).alias("d")).collect()] == ["Europe North", None, None]
+    assert lexical.metric_question("What was the revenues growth of FY2023 in Europe stores 2024?") == "revenue growth europe store" and lexical.dimension_anchors("revenue of European stores in 2024") == ["european", "store"]
+    p = spark.createDataFrame([("A", [("2024-03-31", "Q1", {"pe": 2.0, "pb": None, "x": float("nan")})])], readers.RATIOS_PAYLOAD)
+    assert [(r.canonical_metric, r.value) for r in readers.quarterly_ratios(p).collect()] == [("pe", 2.0)] and readers.quarterly_ratios(p, ["pb"]).count() == 0
+    f = spark.createDataFrame([("f", "a.htm", "<p>"), ("f", "b.htm", "<ix:nonFraction><ix:nonNumeric>"), ("f", "c.htm", "<ix:nonfraction>"), ("g", "d.htm", None)], "filing string, path string, content string")
+    assert [tuple(r) for r in readers.inline_sources(f, "filing", "path", "content").collect()] == [("f", "b.htm", 2)]

@@ -114,3 +114,17 @@ def or_terms(text: str, limit: int = 8) -> list[str]:
 def scope_tokens(**scope: str) -> list[str]:
     """Tokens that stand for a scope in an index: ticker_x, doctype_y and the like."""
     return [f"{k}_{''.join(python_words(v))}" for k, v in scope.items() if v]
+
+
+# Words of a question on a metric that name no dimension.
+METRIC_WORDS = ("revenue", "sales", "income", "margin", "debt", "cash", "flow", "growth", "rate", "total", "net", "gross", "operating", "share", "year", "quarter", "annual", "quarterly", "company")
+
+
+def metric_question(text: str) -> str:
+    """A question on a metric in a plain form: words only, years and periods taken out, singular."""
+    return " ".join(singular(w) for w in query_terms(text) if not (w.isdigit() and len(w) == 4) and not (w[:2] in ("fy", "cy") and w[2:6].isdigit()))
+
+
+def dimension_anchors(text: str) -> list[str]:
+    """The words of a question on a metric that may name a dimension: neither metric words nor years."""
+    return [w for w in metric_question(text).split() if w not in METRIC_WORDS and not w.isdigit()]

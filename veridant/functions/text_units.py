@@ -42,5 +42,43 @@ def compact_number(value: Column, unit: Column) -> Column:
     return F.when(F.upper(unit) == "USD", usd).when(F.lower(unit).isin("percent", "%"), F.format_string("%.1f%%", value)).otherwise(F.concat_ws(" ", F.format_number(value, 2), unit))
 
 
-def metric_period_type(days: Column) -> Column:
-    return F.when(days == 1, "instant").when(days.between(70, 115), "quarter").when(days.between(160, 300), "ytd").when(days >= 330, "annual")
+def metric_period_type(days: Column, spelled: Column | None = None) -> Column:
+    """instant, quarter, ytd or annual: as spelled, else by the days covered (1, 70-115, 160-300, 330-400); else null."""
+    by_days = F.when(days == 1, "instant").when(days.between(70, 115), "quarter").when(days.between(160, 300), "ytd").when(days.between(330, 400), "annual")
+    if spelled is None:
+        return by_days
+    # Spellings of period types.
+    names = {"annual": "annual", "year": "annual", "fy": "annual", "quarter": "quarter", "quarterly": "quarter", "three_months": "quarter", "year_to_date": "ytd", "ytd": "ytd", "instant": "instant"}
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), slug(F.coalesce(spelled, F.lit("")))), by_days)
+
+
+def context_period(start: Column, end: Column, instant: Column) -> Column:
+    """Struct (period_type, days, fiscal_year) of a fact's context: an instant is one day, a span both its ends."""
+    days = F.when(instant.isNotNull(), F.lit(1)).otherwise(F.datediff(F.try_to_date(end), F.try_to_date(start)) + 1)
+    return F.struct(metric_period_type(days).alias("period_type"), days.alias("days"), F.year(F.try_to_date(F.coalesce(instant, end))).alias("fiscal_year"))
+
+
+def calendar_year(start: Column, end: Column) -> Column:
+    """Whether a span is a whole calendar year: January 1 to December 31 of one year."""
+    a, b = F.try_to_date(start), F.try_to_date(end)
+    return F.coalesce((F.dayofyear(a) == 1) & (F.month(b) == 12) & (F.dayofmonth(b) == 31) & (F.year(a) == F.year(b)), F.lit(False))
+
+
+def derived_period(start: Column, end: Column) -> Column:
+    """CYyyyy for a whole calendar year, else FYyyyy of the year in which the span ends; null without an end."""
+    year = F.year(F.try_to_date(end)).cast("string")
+    return F.when(calendar_year(start, end), F.concat(F.lit("CY"), year)).otherwise(F.concat(F.lit("FY"), year))
+
+
+def dimension_map(text: Column) -> Column:
+    """Axes and members of a JSON object as a map of plain names: prefixes, Axis and Member are taken off; null without any."""
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"^.*[:#]", ""), r"(Axis|Member|Domain)$", "")
+    entries = F.map_entries(F.from_json(text, "map<string,string>"))
+    made = F.map_from_entries(F.array_sort(F.transform(F.filter(entries, lambda e: e.value.isNotNull()), lambda e: F.struct(plain(e.key).alias("key"), plain(e.value).alias("value")))))
+    return F.when(F.cardinality(made) > 0, made)
+
+
+def dimension_from_text(text: Column) -> Column:
+    """The segment, product or region that a text names (`in the Europe segment`, `for Cloud products`); null if none."""
+    named = F.regexp_extract(text, r"\b(?:in|for|of)\s+(?:the\s+|our\s+)?([A-Z][\w&-]*(?:\s+[A-Z][\w&-]*){0,3})\s+(?:segment|product|products|region|business)\b", 1)
+    return F.nullif(named, F.lit(""))

@@ -50,6 +50,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_readings(spark, sf_dir).select("table_name", "observation_id", "field_name").distinct()
 
 
+def p1_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubtful readings by table, field and what is wrong with them: impossible, spike or stuck."""
+    return p1_readings(spark, sf_dir).groupBy("table_name", "field_name", "reason").agg(F.countDistinct("observation_id").alias("readings"))
+
+
 # --- 2: regular series
 
 
@@ -218,4 +223,4 @@ def p6_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("table_name", "decided_by").agg(F.count("*").alias("times"), F.count_if("time_ambiguous").alias("unresolved"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_grid": p2_grid, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p5_current": p5_current, "p6_found": p6_found, "p2_checks": p2_checks, "p3_evidence": p3_evidence, "p6_evidence": p6_evidence}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_grid": p2_grid, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p5_current": p5_current, "p6_found": p6_found, "p1_evidence": p1_evidence, "p2_checks": p2_checks, "p3_evidence": p3_evidence, "p6_evidence": p6_evidence}

@@ -117,3 +117,10 @@ ORACLE_SQL: dict[str, str] = {
     st AS (SELECT t1.k, t1.d, t1.v FROM t1 JOIN t2 USING (k) JOIN t3 USING (k) WHERE len >= 6 AND pos > 1 AND moves - coalesce(ins, 0) > 0 AND still - coalesce(ins, 0) <= 0.5 * (moves - coalesce(ins, 0))),
     al AS (SELECT k, d, v FROM b WHERE bad UNION SELECT k, d, v FROM sp UNION SELECT k, d, v FROM st) SELECT DISTINCT table_name, observation_id, field_name FROM k JOIN al USING (k, d, v)""",
 }
+
+#: The readings of p1_found by reason; impossible before spike before stuck.
+ORACLE_SQL["p1_evidence"] = (
+    ORACLE_SQL["p1_found"].split("al AS (SELECT k, d, v FROM b WHERE bad")[0]
+    + """al AS (SELECT k, d, v, 'impossible' reason FROM b WHERE bad UNION ALL SELECT k, d, v, 'spike' FROM sp UNION ALL SELECT k, d, v, 'stuck' FROM st WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.k = st.k AND sp.d = st.d AND sp.v = st.v))
+    SELECT table_name, field_name, reason, count(DISTINCT observation_id) readings FROM k JOIN al USING (k, d, v) GROUP BY 1, 2, 3"""
+)

@@ -73,3 +73,20 @@ def artifact_manifest(spark: SparkSession, root: str, pattern: str = "*.jsonl")
 def observation_id(series_key, phenomenon_time, vintage) -> F.Column:
     """obs: and the first 20 hex digits of the digest of the three parts."""
     return F.concat(F.lit("obs:"), F.substring(F.sha2(F.concat_ws("|", series_key, phenomenon_time, F.coalesce(vintage, F.lit(""))), 256), 1, 20))
+
+
+RATIOS_PAYLOAD = "symbol string, ratios array<struct<date:string,period:string,values:map<string,double>>>"
+
+
+def quarterly_ratios(payloads: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """Ratio payloads to observations, one for each metric and date; values that are missing or not finite are dropped."""
+    r = payloads.select("symbol", F.inline("ratios")).select("symbol", F.col("date").alias("phenomenon_time"), "period", F.explode("values").alias("canonical_metric", "value"))
+    r = r.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    return r.filter(F.col("canonical_metric").isin(metrics)) if metrics else r
+
+
+def inline_sources(files: DataFrame, group: str, path: str, content: str) -> DataFrame:
+    """(group, path, tags): of the files of a filing the one with most inline facts, the first path of equals; none without any."""
+    tags = F.size(F.regexp_extract_all(content, F.lit(r"(?i)<ix:(?:nonfraction|nonnumeric)"), 0))
+    b = files.filter(F.col(content).isNotNull()).select(group, path, tags.alias("tags")).filter("tags > 0")
+    return b.groupBy(group).agg(F.min(F.struct((-F.col("tags")).alias("t"), F.col(path).alias("p"))).alias("b")).select(group, F.col("b.p").alias(path), (-F.col("b.t")).alias("tags"))
