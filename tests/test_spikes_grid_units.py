@@ -2,10 +2,12 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from veridant.functions.periods import frequency_code, period_day
+from veridant.operators import regular_grid
 from veridant.operators.regular_grid import regularize, smooth
 from veridant.operators.spikes import flag_readings, is_placeholder, judge_source
 from veridant.operators.units import AliasIndex, to_common_units, weighted_distance
@@ -111,3 +113,26 @@ def test_common_units(spark):
     got = sorted(((r.id, r.exp10, r.unit_evidence) for r in to_common_units(df, "value", "formatted", "unit").collect()), key=repr)
     assert got == sorted([(1, 6, "text"), (2, 6, "unit"), (2, 6, "unit"), (3, 2, "text"), (4, 3, "unit"), (5, None, "none"), (6, None, "none"), (7, 6, "unit"), (8, 0, "text"), (9, None, "none")], key=repr)
     assert to_common_units(df.limit(0), "value", "formatted", "unit").count() == 0
+
+
+def test_long_sources_come_in_pieces_with_the_same_grid(monkeypatch):
+    rng = np.random.default_rng(3)
+    days = np.sort(rng.choice(np.arange(18000, 19500), 900, replace=False))
+    sec = np.repeat(days, 2) * 86400.0 + np.tile([3600.0, 40000.0], 900)
+    value = 100 + 10 * np.sin(sec / 5e6) + rng.normal(size=1800) * 0.05
+    day = pd.to_datetime(np.repeat(days, 2), unit="D").date
+    long = pd.DataFrame({"source": "a", "code": "D", "day": day, "sec": sec, "prefer": None, "value": value})
+    # a reading of a weekend belongs to its Friday
+    long["day"] = [d - dt.timedelta(days=max(d.weekday() - 4, 0)) for d in long["day"]]
+    short = long.iloc[:7].assign(source="b")
+    rows = pd.concat([long, short], ignore_index=True)
+    whole = regular_grid.fill_sources(rows.assign(low=None, high=None))
+    monkeypatch.setattr(regular_grid, "LONG_SOURCE", 500)
+    monkeypatch.setattr(regular_grid, "OVERLAP", 120)
+    pieces = list(regular_grid._whole_sources(rows.iloc[i : i + 100] for i in range(0, len(rows), 100)))
+    assert len(pieces) > 4 and max(map(len, pieces)) < 700
+    got = pd.concat([regular_grid.fill_sources(p) for p in pieces], ignore_index=True)
+    assert got[["source", "period_start", "missing"]].equals(whole[["source", "period_start", "missing"]])
+    assert np.array_equal(got["reading"], whole["reading"], equal_nan=True)
+    # pieces choose their split of the variance apart, so fills differ by little, far less than the series moves
+    assert np.abs(got["smoothed"] - whole["smoothed"]).max() < 0.5

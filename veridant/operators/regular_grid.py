@@ -7,7 +7,7 @@ standard error, and a flag if the period holds no reading. The split of the vari
 noise and drift is the one of greatest likelihood out of a few.
 
 Scale: readings are reduced to one per source and instant, with map-side combination, and
-sorted by source; a task streams over its sources and holds one batch of them, or a single longer one. The series of a
+sorted by source; a task streams over its sources and holds one batch of them, or a piece of a longer one. The series of a
 batch go through filter and smoother together, as arrays.
 """
 
@@ -26,6 +26,8 @@ from veridant.functions.periods import period_day
 SPLITS = ((0.05, 0.9, 1e-3), (0.25, 0.4, 1e-4), (0.45, 0.05, 1e-4), (0.5, 1e-3, 1e-6))
 #: Readings gathered for a batch, and steps times series that are smoothed together.
 BATCH_ROWS, BATCH_CELLS = 50_000, 500_000
+#: Readings from which a source is smoothed in pieces, and by how many the pieces overlap: far more than a smoother looks back.
+LONG_SOURCE, OVERLAP = 250_000, 2_000
 #: Nominal length of a period in days.
 PERIOD_DAYS = {"D": 1.4, "W": 7.0, "M": 30.4, "Q": 91.3}
 
@@ -141,6 +143,9 @@ def fill_sources(pdf: pd.DataFrame) -> pd.DataFrame:
     for (source, code), g in pdf.groupby(["source", "code"], sort=False):
         days, sec, value = g["day"].to_numpy().astype("datetime64[D]"), g["sec"].to_numpy(), g["value"].to_numpy()
         grid = grid_days(days.min(), days.max(), code)
+        low, high = g["low"].iat[0], g["high"].iat[-1]
+        mine = np.ones(len(grid), bool) if low is None else grid >= np.datetime64(low, "D")
+        mine &= True if high is None else grid < np.datetime64(high, "D")
         at = grid.astype("int64") * 86400
         t = np.concatenate([at, sec]) / (PERIOD_DAYS[code] * 86400)
         by_time = np.argsort(t, kind="stable")
@@ -152,30 +157,45 @@ def fill_sources(pdf: pd.DataFrame) -> pd.DataFrame:
         last = pd.DataFrame({"day": days, "prefer": g["prefer"].fillna("").astype(str).to_numpy(), "value": value}).sort_values(["day", "prefer", "value"], kind="stable").drop_duplicates("day", keep="last")
         read = np.full(len(grid), np.nan)
         read[np.searchsorted(grid, last["day"].to_numpy().astype("datetime64[D]"))] = last["value"].to_numpy()
-        grids.append((source, grid, read))
+        grids.append((source, grid, read, mine))
     smoothed = smooth_many(series)
     parts = [
-        pd.DataFrame({"source": source, "period_start": grid.astype(object), "reading": read, "missing": np.isnan(read), "smoothed": mean[spot], "std_error": error[spot]})
-        for (source, grid, read), (mean, error), spot in zip(grids, smoothed, spots, strict=True)
+        pd.DataFrame({"source": source, "period_start": grid.astype(object), "reading": read, "missing": np.isnan(read), "smoothed": mean[spot], "std_error": error[spot]})[mine]
+        for (source, grid, read, mine), (mean, error), spot in zip(grids, smoothed, spots, strict=True)
     ]
     return pd.concat(parts, ignore_index=True)
 
 
 def _whole_sources(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches in order of source, joined and parted anew so that each holds whole sources, of BATCH_ROWS rows or one source."""
+    """Batches in order of source, joined and parted anew so that each holds whole sources, of BATCH_ROWS rows or one source.
+
+    A source of more than LONG_SOURCE readings comes in pieces that overlap by OVERLAP readings on both sides of the day where
+    they part; `low` of the first row and `high` of the last say which grid days a piece is for.
+    """
     held: list[pd.DataFrame] = []
     rows = 0
     for pdf in batches:
-        held.append(pdf)
+        held.append(pdf.assign(low=None, high=None))
         rows += len(pdf)
-        if rows < BATCH_ROWS:
+        if rows < min(BATCH_ROWS, LONG_SOURCE):
             continue
         joined = pd.concat(held, ignore_index=True)
         key = joined["source"] + "\0" + joined["code"]
         whole = int((key != key.iloc[-1]).sum())
         if whole:
             yield joined.iloc[:whole]
-        held, rows = [joined.iloc[whole:]], len(joined) - whole
+        rest = joined.iloc[whole:].reset_index(drop=True)
+        if len(rest) >= LONG_SOURCE:
+            part = rest["day"].iloc[-OVERLAP]
+            first = int((rest["day"] < part).sum())
+            # a day of more readings than that is waited for until it has passed
+            if first > OVERLAP:
+                piece = rest.copy()
+                piece.loc[len(piece) - 1, "high"] = part
+                yield piece
+                rest = rest.iloc[first - OVERLAP :].reset_index(drop=True)
+                rest.loc[0, "low"] = part
+        held, rows = [rest], len(rest)
     if rows:
         yield pd.concat(held, ignore_index=True)
 
