@@ -628,7 +628,10 @@ def pricing_summary(spark, d):
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"), F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""WITH {_POINTS} SELECT series_key, period, CASE WHEN upper(unit) = 'USD' THEN CASE WHEN abs(value) >= 1e9 THEN printf('$%.1fB', round(value / 1e9, 1)) WHEN abs(value) >= 1e6 THEN printf('$%.1fM', round(value / 1e6, 1)) WHEN abs(value) >= 1e3 THEN printf('$%.1fK', round(value / 1e3, 1)) ELSE printf('$%.0f', round(value, 0)) END
+    WHEN lower(unit) IN ('percent', '%') THEN printf('%.1f%%', round(value, 1)) ELSE concat_ws(' ', CASE WHEN value IS NOT NULL THEN format('{{:,.2f}}', value) END, unit) END compact FROM ps"""
+)
 def formatted_points(spark, d):
     """Chart points in compact form."""
     return _points(spark, d).select("series_key", "period", compact_number(F.col("value"), F.col("unit")).alias("compact"))

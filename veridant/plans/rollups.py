@@ -260,6 +260,19 @@ def span_chunks(spark, d):
     return span_windows(_t(spark, d, "mini_10k_spans"), "id", "text").distinct()
 
 
+@query("SELECT DISTINCT id, length(text) AS characters, true covered, true within_limit, true overlapping FROM mini_10k_spans WHERE text <> ''")
+def span_chunk_checks(spark, d):
+    """What the windows of each text must hold: the whole text covered, at most 1,500 characters, each begins within the one before."""
+    t = _t(spark, d, "mini_10k_spans").filter("text != ''").select("id", "text").distinct()
+    # versions of a span are told apart, as windows are of one text
+    c = span_windows(t.withColumn("version", F.to_json(F.struct("id", F.xxhash64("text").alias("h")))), "version", "text")
+    w = Window.partitionBy("version").orderBy("position")
+    c = c.withColumn("before", F.lag("stop").over(w))
+    sound = F.when(F.col("position") == 0, F.col("start") == 0).otherwise((F.col("start") < F.col("before")) & (F.col("start") >= F.col("before") - 150))
+    g = c.groupBy("version").agg(F.max("stop").alias("characters"), F.min("start").alias("first"), F.bool_and(F.length("part") == F.col("stop") - F.col("start")).alias("parts"), F.bool_and(F.col("stop") - F.col("start") <= 1500).alias("within_limit"), F.bool_and(sound).alias("overlapping"))
+    return g.select(F.get_json_object("version", "$.id").alias("id"), "characters", ((F.col("first") == 0) & F.col("parts")).alias("covered"), "within_limit", "overlapping").distinct()
+
+
 @query()
 def quote_candidates(spark, d):
     """Sentences of sections, with offsets."""
