@@ -107,8 +107,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each source truncates; a document delivered again counts once."""
-    judged = judge_endings(_documents(spark, sf_dir).distinct(), ["doc_id", "source"], "text", "source")
-    return truncation_rates(judged, "source")
+    # deliveries are taken once after they are judged, as narrow rows
+    return truncation_rates(_judged(spark, sf_dir).distinct(), "source")
 
 
 def p10_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
