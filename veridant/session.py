@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,20 +38,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder, in a job of its own, and read it from there.
-
-    For what several branches of a plan use, and what must survive the loss of executors. The folder is
-    spark.checkpoint.dir of the session; only a session on one machine without it takes a temporary folder,
-    any other raises.
-    """
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's own folder below spark.checkpoint.dir; only a session on one machine without it takes a temporary folder."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "veridant-checkpoint"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder, if the session can still do it."""
+    try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # noqa: BLE001 - the session is over, and with it what could remove the folder
+        pass
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder as a table, in a job of its own, and read it from there.
+
+    For what several branches of a plan use, and what must survive the loss of executors. The folder is
+    spark.checkpoint.dir of the session; only a session on one machine without it takes a temporary folder,
+    any other raises. Tables are compressed, read by column, and removed when the program ends.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
